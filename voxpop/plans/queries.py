@@ -308,3 +308,208 @@ def registry() -> dict:
         "factor_stats_json": q_factor_stats_json,
         "demand_sentiment_cube": q_demand_sentiment_cube,
     }
+
+
+# ============================================================================= vectors, clusters, themes
+
+from voxpop.operators import clustering as CL  # noqa: E402
+from voxpop.operators import naming as NM  # noqa: E402
+from voxpop.operators import network as NW  # noqa: E402
+from voxpop.operators import ordering as OR  # noqa: E402
+from voxpop.operators import vectors as V  # noqa: E402
+
+_CLUSTER_CACHE: dict = {}
+
+
+def _emb(spark, sf_dir):
+    return TB.load(spark, sf_dir, "embeddings")
+
+
+def q_cosine_pairs(spark, sf_dir):
+    p = V.cosine_pairs(_emb(spark, sf_dir), "vec_id", "embedding", block_rows=1024)
+    return p.select("i", "j", F.round("sim", 6).alias("sim"), F.round("dist", 6).alias("dist"))
+
+
+def q_silhouette_by_label(spark, sf_dir):
+    e = V.normalize(_emb(spark, sf_dir), "embedding", "unit")
+    score = V.silhouette(e, "unit", "label")
+    stats = e.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("label").alias("n_clusters"))
+    return stats.select(F.round(F.lit(score), 6).alias("silhouette"), "n_rows", "n_clusters")
+
+
+def _label_clusters(spark, sf_dir):
+    return _emb(spark, sf_dir).select(F.col("vec_id").alias("row_id"), F.col("label").cast("long").alias("cluster_id"))
+
+
+def q_cluster_sizes(spark, sf_dir):
+    return CL.cluster_sizes(_label_clusters(spark, sf_dir)).withColumn("cluster_size", F.col("cluster_size").cast("long"))
+
+
+def q_cluster_members(spark, sf_dir):
+    m = OR.number_within(_label_clusters(spark, sf_dir), ["cluster_id"], "row_id", out_col="pos")
+    return CL.with_cluster_size(m).select("cluster_id", "pos", "row_id", "cluster_size")
+
+
+def _cluster_docs(spark, sf_dir):
+    docs = TB.posts(spark, sf_dir).select("row_id", "text")
+    return _label_clusters(spark, sf_dir).join(docs, "row_id")
+
+
+def q_cluster_samples(spark, sf_dir):
+    s = NM.samples(_cluster_docs(spark, sf_dir), "cluster_id", "row_id", "text", k=5)
+    return s.select("cluster_id", F.col("pos").cast("long").alias("pos"), "row_id", X.preview("text").alias("preview"))
+
+
+def q_cluster_fallback_name(spark, sf_dir):
+    h = NM.first_texts(_cluster_docs(spark, sf_dir), "cluster_id", "row_id", "text")
+    return h.select("cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"),
+                    NM.fallback_name(F.col("first_text")).alias("name"))
+
+
+def q_cluster_top_factor(spark, sf_dir):
+    ft = factor_table(spark, sf_dir).select("row_id", X.join_factors("factors").alias("factors_text"))
+    mem = _label_clusters(spark, sf_dir).join(ft, "row_id")
+    n = NM.top_factor_names(mem, "cluster_id", "row_id", "factors_text")
+    return n.select("cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"), "top_factor",
+                    F.col("top_n").cast("long").alias("top_n"), "name")
+
+
+def _ward(spark, sf_dir):
+    k = (id(spark), sf_dir)
+    if k not in _CLUSTER_CACHE:
+        e = _emb(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "embedding")
+        _CLUSTER_CACHE[k] = CL.cluster_texts(e, "row_id", "embedding", dedupe_col="embedding")
+    return _CLUSTER_CACHE[k]
+
+
+def q_ward_clusters(spark, sf_dir):
+    r = _ward(spark, sf_dir)
+    return r.assignments.select("row_id", "cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"))
+
+
+def q_threshold_sweep(spark, sf_dir):
+    r = _ward(spark, sf_dir)
+    return r.sweep.select(F.round("th", 6).alias("th"), F.round("t", 6).alias("t"), "n_clusters", "n_valid",
+                          F.round("silhouette", 6).alias("silhouette"))
+
+
+def q_ward_merges(spark, sf_dir):
+    return _ward(spark, sf_dir).merges
+
+
+def q_pca_2d(spark, sf_dir):
+    p = V.pca_2d(_emb(spark, sf_dir), "embedding", "vec_id")
+    return p.select("vec_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+
+
+def q_text_vectors(spark, sf_dir):
+    return V.text_vectors(TB.posts(spark, sf_dir), "text", "row_id")
+
+
+def q_theme_cooccurrence(spark, sf_dir):
+    return NW.cooccurrence(factor_table(spark, sf_dir))
+
+
+def q_theme_communities(spark, sf_dir):
+    return NW.communities(NW.cooccurrence(factor_table(spark, sf_dir)))
+
+
+def q_theme_ranking(spark, sf_dir):
+    return NW.theme_ranking(factor_table(spark, sf_dir), k=20)
+
+
+def q_theme_priority(spark, sf_dir):
+    return NW.theme_priority(factor_table(spark, sf_dir), k=20)
+
+
+def _members_sql() -> str:
+    return "mem AS (SELECT e.label::BIGINT AS cluster_id, d.doc_id AS row_id, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"
+
+
+def _theme_sql() -> str:
+    return _factor_sql() + """,
+    tr AS (SELECT DISTINCT row_id, sentiment, unnest(list_distinct(factors)) AS theme FROM g
+           WHERE factors[1] NOT IN ('无法提取', 'API错误')),
+    per AS (SELECT theme, sentiment, CASE sentiment WHEN '正面' THEN 1 WHEN '负面' THEN -1 ELSE 0 END AS code, count(*) AS n
+            FROM tr GROUP BY ALL),
+    maj AS (SELECT theme, sentiment FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY n DESC, code DESC) AS r FROM per) WHERE r = 1),
+    tt AS (SELECT theme, sum(n)::BIGINT AS frequency, sum(CASE WHEN sentiment = '负面' THEN n ELSE 0 END)::BIGINT AS n_negative
+           FROM per GROUP BY theme)
+    """
+
+
+def oracle_more() -> dict[str, str]:
+    return {
+        "cosine_pairs": """
+            WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+            SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS sim,
+                   round(greatest(0.0, 1 - list_cosine_similarity(a.e, b.e)), 6) AS dist
+            FROM v a JOIN v b ON a.vec_id < b.vec_id""",
+        "silhouette_by_label": """
+            WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+            p AS (SELECT a.vec_id AS i, b.label AS lj, greatest(0.0, 1 - list_cosine_similarity(a.e, b.e)) AS d
+                  FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+            m AS (SELECT i, lj, avg(d) AS md FROM p GROUP BY ALL),
+            s AS (SELECT v.vec_id, max(CASE WHEN lj = v.label THEN md END) AS a, min(CASE WHEN lj <> v.label THEN md END) AS b
+                  FROM v JOIN m ON m.i = v.vec_id GROUP BY v.vec_id)
+            SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette, count(*) AS n_rows,
+                   (SELECT count(DISTINCT label) FROM embeddings) AS n_clusters FROM s""",
+        "cluster_sizes": "SELECT label::BIGINT AS cluster_id, count(*) AS cluster_size FROM embeddings GROUP BY label",
+        "cluster_members": """
+            SELECT label::BIGINT AS cluster_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos,
+                   vec_id AS row_id, count(*) OVER (PARTITION BY label) AS cluster_size FROM embeddings""",
+        "cluster_samples": f"""
+            WITH {_members_sql()},
+            r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY row_id) AS pos FROM mem)
+            SELECT cluster_id, pos, row_id,
+                   CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS preview
+            FROM r WHERE pos <= 5""",
+        "cluster_fallback_name": f"""
+            WITH {_members_sql()}
+            SELECT cluster_id, count(*) AS cluster_size, '【自动生成】' || substring(arg_min(text, row_id), 1, 50) || '...' AS name
+            FROM mem GROUP BY cluster_id""",
+        "cluster_top_factor": _factor_sql() + """,
+            mem AS (SELECT e.label::BIGINT AS cluster_id, g.row_id, array_to_string(g.factors, '，') AS t
+                    FROM embeddings e JOIN g ON g.row_id = e.vec_id),
+            occ AS (SELECT cluster_id, row_id, unnest(string_split(t, '，')) AS f,
+                           generate_subscripts(string_split(t, '，'), 1) - 1 AS pos FROM mem),
+            cnt AS (SELECT cluster_id, trim(f) AS f, count(*) AS n, min({'r': row_id, 'p': pos}) AS fs FROM occ
+                    WHERE trim(f) <> '' GROUP BY ALL),
+            best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, fs.r, fs.p) AS rk FROM cnt) WHERE rk = 1),
+            heads AS (SELECT cluster_id, count(*) AS cluster_size, arg_min(t, row_id) AS first_text FROM mem GROUP BY cluster_id)
+            SELECT h.cluster_id, h.cluster_size, b.f AS top_factor, b.n AS top_n,
+                   coalesce(b.f, '【自动生成】' || substring(h.first_text, 1, 50) || '...') AS name
+            FROM heads h LEFT JOIN best b USING (cluster_id)""",
+        "theme_cooccurrence": _factor_sql() + """,
+            e AS (SELECT DISTINCT row_id, unnest(list_distinct(factors)) AS f FROM g WHERE factors[1] NOT IN ('无法提取', 'API错误'))
+            SELECT x.f AS a, y.f AS b, count(*) AS weight FROM e x JOIN e y ON x.row_id = y.row_id AND x.f < y.f GROUP BY ALL""",
+        "theme_ranking": _theme_sql() + """
+            SELECT row_number() OVER (ORDER BY frequency DESC, theme) AS rank, theme, frequency, m.sentiment
+            FROM tt JOIN maj m USING (theme) ORDER BY frequency DESC, theme LIMIT 20""",
+        "theme_priority": _theme_sql() + """,
+            pr AS (SELECT *, n_negative / frequency AS negative_share, (n_negative / frequency) * frequency AS priority FROM tt)
+            SELECT row_number() OVER (ORDER BY priority DESC, frequency DESC, theme) AS rank, theme, frequency, n_negative,
+                   round(negative_share, 6) AS negative_share, round(priority, 6) AS priority
+            FROM pr ORDER BY priority DESC, frequency DESC, theme LIMIT 20""",
+    }
+
+
+def registry_more() -> dict:
+    return {
+        "cosine_pairs": q_cosine_pairs,
+        "silhouette_by_label": q_silhouette_by_label,
+        "cluster_sizes": q_cluster_sizes,
+        "cluster_members": q_cluster_members,
+        "cluster_samples": q_cluster_samples,
+        "cluster_fallback_name": q_cluster_fallback_name,
+        "cluster_top_factor": q_cluster_top_factor,
+        "ward_clusters": q_ward_clusters,
+        "threshold_sweep": q_threshold_sweep,
+        "ward_merges": q_ward_merges,
+        "pca_2d": q_pca_2d,
+        "text_vectors": q_text_vectors,
+        "theme_cooccurrence": q_theme_cooccurrence,
+        "theme_communities": q_theme_communities,
+        "theme_ranking": q_theme_ranking,
+        "theme_priority": q_theme_priority,
+    }
