@@ -513,3 +513,128 @@ def registry_more() -> dict:
         "theme_ranking": q_theme_ranking,
         "theme_priority": q_theme_priority,
     }
+
+
+# ============================================================================= sources, sinks, streams
+
+from voxpop.sinks import files as K  # noqa: E402
+from voxpop.sources import csv as CSV  # noqa: E402
+from voxpop.sources import sectioned as SEC  # noqa: E402
+from voxpop.session import scratch_path  # noqa: E402
+from voxpop.streaming import scoring as ST  # noqa: E402
+
+NATION_SUFFIX = "（国家）"
+REGION_SUFFIX = "地区"
+
+
+def _nation_cn(spark, sf_dir):
+    n = TB.load(spark, sf_dir, "nation")
+    return n.select("n_nationkey", F.concat("n_name", F.lit(NATION_SUFFIX)).alias("n_name"), "n_regionkey")
+
+
+def _write_csv_bom(df: DataFrame, path: str) -> None:
+    """A UTF-8 CSV whose first bytes are a BOM: U+FEFF written by the UTF-8 text writer."""
+    header = "﻿" + ",".join(df.columns)
+    body = df.select(F.lit(1).alias("o"), F.col(df.columns[0]).cast("long").alias("k"),
+                     F.to_csv(F.struct(*[F.col(c).cast("string") for c in df.columns])).alias("value"))
+    lines = body.unionByName(df.sparkSession.createDataFrame([(0, 0, header)], "o int, k long, value string"))
+    lines.coalesce(1).sortWithinPartitions("o", "k").select("value").write.mode("overwrite").text(path)
+
+
+def q_csv_encodings(spark, sf_dir):
+    nat = _nation_cn(spark, sf_dir)
+    base = scratch_path(spark, "csv-encodings")
+    # the whole table, in two files of two encodings
+    (nat.where(F.col("n_regionkey") <= 1).coalesce(1).write.mode("overwrite")
+     .option("header", True).option("encoding", "GB18030").csv(f"{base}/gb"))
+    _write_csv_bom(nat.where(F.col("n_regionkey") > 1), f"{base}/bom")
+    back = CSV.read_csv_tolerant(spark, [f"{base}/gb", f"{base}/bom"], required="n_name")
+    return back.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name",
+                       F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+def q_mojibake_repair(spark, sf_dir):
+    reg = TB.load(spark, sf_dir, "region").select("r_regionkey", F.concat("r_name", F.lit(REGION_SUFFIX)).alias("r_name"))
+    path = scratch_path(spark, "mojibake")
+    reg.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "GB18030").csv(path)
+    garbled = CSV.read_csv_tolerant(spark, path, required="r_name", candidates=["latin1"])
+    fixed = CSV.repair_mojibake(garbled)
+    return fixed.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+
+
+def q_sectioned_text_roundtrip(spark, sf_dir):
+    n = TB.load(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("cluster_id"),
+                                                 F.col("n_nationkey").cast("long").alias("row_id"),
+                                                 F.col("n_name").alias("text"))
+    path = K.write_listing(K.listing_lines(n, "cluster_id", "row_id", "text"))
+    return SEC.read_sectioned(spark, path)
+
+
+def q_stream_equals_batch(spark, sf_dir):
+    """Posts written as files in two arrivals; the stream scores them across a restart."""
+    posts = TB.posts(spark, sf_dir).select("row_id", "text")
+    base = scratch_path(spark, "stream")
+    src, out, ck = f"{base}/src", f"{base}/out", f"{base}/ck"
+    schema = T_POSTS
+    half = posts.agg(F.percentile_approx("row_id", 0.5)).first()[0]
+    posts.where(F.col("row_id") <= half).repartition(4).write.mode("overwrite").parquet(f"{src}/a")
+    ST.stream_labels(spark, f"{src}/*", schema, out, ck, TB.demo_demand(), max_files_per_trigger=2)
+    posts.where(F.col("row_id") > half).repartition(4).write.mode("overwrite").parquet(f"{src}/b")
+    ST.stream_labels(spark, f"{src}/*", schema, out, ck, TB.demo_demand(), max_files_per_trigger=2)  # restart
+    scored = spark.read.parquet(out)
+    d = D.label_distribution(scored, TB.demo_demand(), "demand", order="count")
+    return d.withColumn("share", F.round("share", 6))
+
+
+def q_stream_running_counts(spark, sf_dir):
+    """ST2 over the stream's output: running counts per label equal the batch counts."""
+    posts = TB.posts(spark, sf_dir).select("row_id", "text")
+    base = scratch_path(spark, "stream2")
+    posts.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
+    ST.stream_labels(spark, f"{base}/src", T_POSTS, f"{base}/out", f"{base}/ck1", TB.demo_demand())
+    scored_schema = spark.read.parquet(f"{base}/out").schema
+    name = "running_" + base.rstrip("/").split("-")[-1]
+    t = ST.stream_distribution(spark, f"{base}/out", scored_schema, "demand", name, f"{base}/ck2")
+    return t.select(F.col("demand").alias("label"), F.col("n").cast("long").alias("n"), F.col("rows").cast("long").alias("rows"))
+
+
+def q_resumable_scoring(spark, sf_dir):
+    """K2: two runs over the same posts; the second scores nothing new."""
+    posts = TB.posts(spark, sf_dir).select("row_id", "text")
+    done = scratch_path(spark, "resume")
+    score = lambda df: SC.label_with_rules(df, TB.demo_demand(), "text", "demand").select("row_id", "demand")
+    half = posts.agg(F.percentile_approx("row_id", 0.5)).first()[0]
+    ST.resume_scoring(posts.where(F.col("row_id") <= half), done, score)  # a first run stopped half way
+    res = ST.resume_scoring(posts, done, score)
+    return res
+
+
+from pyspark.sql import types as _T  # noqa: E402
+
+T_POSTS = _T.StructType([_T.StructField("row_id", _T.LongType()), _T.StructField("text", _T.StringType())])
+
+
+def oracle_sources() -> dict[str, str]:
+    return {
+        "csv_encodings": f"SELECT n_nationkey, n_name || '{NATION_SUFFIX}' AS n_name, n_regionkey FROM nation",
+        "mojibake_repair": f"SELECT r_regionkey, r_name || '{REGION_SUFFIX}' AS r_name FROM region",
+        "sectioned_text_roundtrip": """
+            SELECT n_regionkey::BIGINT AS cluster_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos,
+                   n_name AS text FROM nation""",
+        "stream_equals_batch": _dist_sql(TB.demo_demand(), G.labelled_case(TB.demo_demand()), "documents"),
+        "stream_running_counts": f"""
+            WITH lab AS (SELECT {G.labelled_case(TB.demo_demand())} AS label, {G.norm('text')} = '' AS is_blank FROM documents)
+            SELECT label, count(*) FILTER (WHERE NOT is_blank) AS n, count(*) AS rows FROM lab GROUP BY label""",
+        "resumable_scoring": f"SELECT doc_id AS row_id, {G.labelled_case(TB.demo_demand())} AS demand FROM documents",
+    }
+
+
+def registry_sources() -> dict:
+    return {
+        "csv_encodings": q_csv_encodings,
+        "mojibake_repair": q_mojibake_repair,
+        "sectioned_text_roundtrip": q_sectioned_text_roundtrip,
+        "stream_equals_batch": q_stream_equals_batch,
+        "stream_running_counts": q_stream_running_counts,
+        "resumable_scoring": q_resumable_scoring,
+    }
