@@ -19,9 +19,14 @@ def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c: str | Column) -> Column:
-    """Python ``str.strip()`` (P2/F1); Spark's ``trim`` only removes ASCII spaces."""
-    return F.regexp_replace(col_of(c), f"\\A{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+\\z", "")
+    """Python ``str.strip()`` (P2/F1): ``trim`` with Python's whitespace set, which only
+    looks at the two ends (plain ``trim`` removes ASCII spaces only)."""
+    return F.trim(col_of(c), F.lit(PY_SPACE_CHARS))
 
 
 def strip_chars(c: str | Column, chars: str) -> Column:

@@ -6,7 +6,7 @@ One partial+final aggregation over the labelled rows; the category dimension
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxpop import schema as S
@@ -27,13 +27,13 @@ def label_distribution(labelled: DataFrame, taxonomy: S.Taxonomy, label_col: str
     blank = F.col("is_blank") if "is_blank" in labelled.columns else F.lit(False)
     counts = (labelled.groupBy(F.col(label_col).alias("label"))
               .agg(F.count(F.when(~blank, 1)).alias("n"), F.count(F.lit(1)).alias("rows")))
-    totals = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n_total")).withColumn("_k", F.lit(0))
+    # the total over the (one row per label) count table: one scan of the posts
+    counts = counts.withColumn("n_total", F.sum("rows").over(Window.partitionBy()))
     dim = F.broadcast(taxonomy.to_df(spark))  # size = number of categories
     out = (dim.join(counts, "label", "left")
            .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+           .withColumn("n_total", F.coalesce(F.max("n_total").over(Window.partitionBy()), F.lit(0)).cast("long"))
            .drop("rows")
-           .withColumn("_k", F.lit(0))
-           .join(F.broadcast(totals), "_k")  # one-row table of totals
            .withColumn("share", X.safe_div("n", "n_total"))
            .withColumn("share_pct", X.percent_text("share")))
     keys = [F.desc("n"), F.asc("ordinal")] if order == "count" else [F.asc("ordinal")]

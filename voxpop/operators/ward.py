@@ -113,7 +113,7 @@ def _materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def ward_merges(points: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, tail_clusters: int = 256) -> DataFrame:
+def ward_merges(points: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, tail_clusters: int = 1024) -> DataFrame:
     """V4. ``points(id, w)``: distinct points with multiplicity; ``pairs(i, j, dist)``: all i < j.
 
     Returns the merge table ``(child, parent, height, size, round)``: ``child`` is

@@ -151,11 +151,11 @@ class Taxonomy:
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """Dimension table ``(label, ordinal)``: one row per category."""
-        schema = T.StructType([
-            T.StructField("label", T.StringType(), False),
-            T.StructField("ordinal", T.IntegerType(), False),
-        ])
-        return spark.createDataFrame([(lab, i) for i, lab in enumerate(self.categories)], schema)
+        from pyspark.sql import functions as F
+
+        rows = F.array(*[F.struct(F.lit(lab).alias("label"), F.lit(i).alias("ordinal"))
+                         for i, lab in enumerate(self.categories)])
+        return spark.range(1).select(F.inline(rows))
 
 
 def demand_taxonomy(alternate: bool = False) -> Taxonomy:
