@@ -29,7 +29,7 @@ def factor_rows(df: DataFrame, key: str = "row_id", text_col: str = "text") -> D
         F.col(key), ordinal, "demand", "sentiment",
         X.preview(text_col).alias("preview"),
         X.join_factors("factors").alias("factors_text"),
-        F.col("n_factors").cast("long").alias("n_factors"),
+        F.size("factors").cast("long").alias("n_factors"),
         F.lit(None).cast("string").alias("error"))
     bad = df.where(F.col(text_col).isNull()).select(
         F.col(key), ordinal, F.lit("text is null").alias("error"))

@@ -98,14 +98,15 @@ def _read_group(spark: SparkSession, paths: list[str], encoding: str, na_values:
     return df.select(*cols, F.input_file_name().alias("_file"))
 
 
-def with_row_ids(df: DataFrame, files: list[str]) -> DataFrame:
-    """Stable ``row_id`` = file rank << 40 + position in the file (see module doc)."""
-    rank = F.create_map(*[x for i, p in enumerate(sorted(files)) for x in (F.lit(p), F.lit(i))])
-    mono = F.monotonically_increasing_id()
-    staged = df.withColumn("_m", mono)
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Stable ``row_id`` = file rank (path order) << 40 + position in the file (see module doc)."""
+    staged = df.withColumn("_m", F.monotonically_increasing_id())
     pos = F.col("_m") - F.min("_m").over(Window.partitionBy("_file"))  # a file is one partition already
-    return (staged.withColumn("row_id", F.try_element_at(rank, F.col("_file")).cast("long") * FILE_ID_SHIFT + pos)
-            .drop("_m"))
+    files = staged.select("_file").distinct()  # one row per file
+    ranks = files.withColumn("_fr", F.dense_rank().over(Window.orderBy("_file")) - 1)
+    return (staged.withColumn("_pos", pos).join(F.broadcast(ranks), "_file")
+            .withColumn("row_id", F.col("_fr").cast("long") * FILE_ID_SHIFT + F.col("_pos"))
+            .drop("_m", "_pos", "_fr"))
 
 
 def read_csv_tolerant(spark: SparkSession, paths: str | list[str], required: str | None = None,
@@ -127,7 +128,7 @@ def read_csv_tolerant(spark: SparkSession, paths: str | list[str], required: str
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if required is not None and required not in out.columns:
         raise ValueError(f"required column {required!r} missing; columns: {out.columns}")
-    return with_row_ids(out, [r.path for r in probe])
+    return with_row_ids(out)
 
 
 def read_optional(spark: SparkSession, path: str | None, required: str, **kw) -> DataFrame | None:
