@@ -2,8 +2,8 @@
 
 Rows of ``(row_id, demand, sentiment, factors ARRAY<STRING>)`` are exploded once
 and aggregated on ``(demand, sentiment, factor)`` with map-side partial
-aggregation; the top-k window then runs over the (much smaller) count table,
-partitioned by ``(demand, sentiment)``. Ties keep first-seen order, i.e. the
+aggregation; the top-k then runs over the (much smaller) count table in two
+stages (per salted bucket, then per group). Ties keep first-seen order, i.e. the
 smallest ``(row_id, position)`` where the factor occurred in the group, like the
 reference's stable sort over insertion order.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from voxpop import schema as S
 from voxpop.functions import text as X
+from voxpop.operators import ordering as O
 
 
 def factor_rows(df: DataFrame, key: str = "row_id", text_col: str = "text") -> DataFrame:
@@ -60,9 +61,12 @@ def factor_counts(df: DataFrame, key: str = "row_id", group_cols: tuple[str, ...
 
 
 def top_factors(counts: DataFrame, k: int = 10, group_cols: tuple[str, ...] = ("demand", "sentiment")) -> DataFrame:
-    """Top-k per group, count desc, ties by first-seen order; groups in first-seen order."""
-    w = Window.partitionBy(*group_cols).orderBy(F.desc("n"), F.asc("first_row"), F.asc("first_pos"))
-    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Top-k per group, count desc, ties by first-seen order; groups in first-seen order.
+
+    Two-stage (salted by factor) so a group with a huge vocabulary is never one task.
+    """
+    order = [F.desc("n"), F.asc("first_row"), F.asc("first_pos")]
+    return (O.top_k_within(counts, list(group_cols), order, k, "factor")
             .orderBy("group_first_row", "group_first_pos", "rank"))
 
 
