@@ -37,27 +37,42 @@ def factor_rows(df: DataFrame, key: str = "row_id", text_col: str = "text") -> D
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+def counted_factors(factors="factors"):
+    """P12 as an array expression: the row's factors, or an empty list when the
+    first one is a sentinel. (A ``where`` on a computed array would be pushed below
+    the projection and re-run the whole extraction inside the filter.)"""
+    arr = F.col(factors) if isinstance(factors, str) else factors
+    first = F.try_element_at(arr, F.lit(1))
+    return F.when((F.size(arr) > 0) & ~first.isin(*S.FACTOR_SENTINELS), arr).otherwise(F.array().cast("array<string>"))
+
+
 def exploded(df: DataFrame, key: str = "row_id", group_cols: tuple[str, ...] = ("demand", "sentiment")) -> DataFrame:
-    """P12 + posexplode: rows whose first factor is not a sentinel, one row per factor occurrence."""
-    first = F.try_element_at(F.col("factors"), F.lit(1))
-    return (df.where(F.col("text").isNotNull() if "text" in df.columns else F.lit(True))
-            .where(F.size("factors") > 0)
-            .where(~first.isin(*S.FACTOR_SENTINELS))
-            .select(key, *group_cols, F.posexplode("factors").alias("pos", "factor")))
+    """P12 + posexplode: one row per factor occurrence of rows whose first factor is not a sentinel."""
+    base = df.where(F.col("text").isNotNull()) if "text" in df.columns else df
+    return base.select(key, *group_cols, F.posexplode(counted_factors()).alias("pos", "factor"))
+
+
+POS_BITS = 4096  # factor positions per row are encoded below this bound (checked, never clamped)
+
+
+def first_seen_key(row_id, pos):
+    """(row_id, pos) as one long so ``min`` stays a hash aggregate (a struct min sorts)."""
+    return F.when(pos < POS_BITS, row_id * POS_BITS + pos).otherwise(
+        F.raise_error(F.lit("more than 4096 factors in one row")))
 
 
 def factor_counts(df: DataFrame, key: str = "row_id", group_cols: tuple[str, ...] = ("demand", "sentiment")) -> DataFrame:
     """A8 + A9 + C1: occurrences per (group, factor), the group total, and first-seen order."""
     occ = exploded(df, key, group_cols)
     counts = occ.groupBy(*group_cols, "factor").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(F.col(key).alias("r"), F.col("pos").alias("p"))).alias("first_seen"))
+        F.count(F.lit(1)).alias("n"), F.min(first_seen_key(F.col(key), F.col("pos"))).alias("fk"))
+    # group total and first-seen over the count table (one row per distinct factor of a
+    # group, bounded by the vocabulary, not by rows): one scan of the posts
     w = Window.partitionBy(*group_cols)
-    return (counts.withColumn("group_total", F.sum("n").over(w))
-            .withColumn("group_first", F.min("first_seen").over(w))
+    return (counts.withColumn("group_total", F.sum("n").over(w)).withColumn("gk", F.min("fk").over(w))
             .select(*group_cols, "factor", "n", "group_total",
-                    F.col("first_seen.r").alias("first_row"), F.col("first_seen.p").alias("first_pos"),
-                    F.col("group_first.r").alias("group_first_row"), F.col("group_first.p").alias("group_first_pos")))
+                    F.floor(F.col("fk") / POS_BITS).cast("long").alias("first_row"), F.pmod("fk", F.lit(POS_BITS)).alias("first_pos"),
+                    F.floor(F.col("gk") / POS_BITS).cast("long").alias("group_first_row"), F.pmod("gk", F.lit(POS_BITS)).alias("group_first_pos")))
 
 
 def top_factors(counts: DataFrame, k: int = 10, group_cols: tuple[str, ...] = ("demand", "sentiment")) -> DataFrame:

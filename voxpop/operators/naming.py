@@ -19,6 +19,7 @@ from voxpop import schema as S
 from voxpop.functions import reply as R
 from voxpop.functions import text as X
 from voxpop.operators import ordering as O
+from voxpop.operators.factors import first_seen_key
 from voxpop.operators import scoring as SC
 
 
@@ -46,9 +47,9 @@ def top_factor_names(df: DataFrame, cluster_col: str = "cluster_id", key: str =
     occ = (df.select(cluster_col, key, F.posexplode(items).alias("pos", "f"))
            .withColumn("f", X.py_strip("f")).where(F.col("f") != ""))
     counts = occ.groupBy(cluster_col, "f").agg(F.count(F.lit(1)).alias("n"),
-                                               F.min(F.struct(F.col(key).alias("r"), F.col("pos").alias("p"))).alias("fs"))
-    best = counts.groupBy(cluster_col).agg(
-        F.max(F.struct(F.col("n"), (-F.col("fs.r")).alias("nr"), (-F.col("fs.p")).alias("np"), F.col("f"))).alias("b"))
+                                               F.min(first_seen_key(F.col(key), F.col("pos"))).alias("fk"))
+    # most frequent, then first seen: a max over (n, -first) per cluster (partial aggregation, no window)
+    best = counts.groupBy(cluster_col).agg(F.max(F.struct(F.col("n"), (-F.col("fk")).alias("nfk"), F.col("f"))).alias("b"))
     heads = first_texts(df, cluster_col, key, text_col)
     return (heads.join(best, cluster_col, "left")
             .select(cluster_col, "cluster_size", F.col("b.f").alias("top_factor"), F.col("b.n").alias("top_n"),

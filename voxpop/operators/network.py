@@ -21,26 +21,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxpop import schema as S
 from voxpop.functions import reply as R
+from voxpop.operators.factors import counted_factors
 from voxpop.session import cut_lineage
 
 
 def theme_rows(df: DataFrame, key: str = "row_id") -> DataFrame:
     """``(row_id, sentiment, theme)``: distinct themes per row, sentinel rows skipped."""
-    first = F.try_element_at(F.col("factors"), F.lit(1))
-    keep = df.where((F.size("factors") > 0) & ~first.isin(*S.FACTOR_SENTINELS))
-    return keep.select(key, "sentiment", F.explode(F.array_distinct("factors")).alias("theme"))
+    return df.select(key, "sentiment", F.explode(F.array_distinct(counted_factors())).alias("theme"))
 
 
 def cooccurrence(df: DataFrame, key: str = "row_id") -> DataFrame:
     """G1: ``(a, b, weight)`` with a < b."""
-    first = F.try_element_at(F.col("factors"), F.lit(1))
-    keep = df.where((F.size("factors") > 1) & ~first.isin(*S.FACTOR_SENTINELS))
-    arr = F.array_sort(F.array_distinct("factors"))
+    staged = df.select(F.array_sort(F.array_distinct(counted_factors())).alias("arr"))
+    arr = F.col("arr")
     pairs = F.flatten(F.transform(arr, lambda x, i: F.transform(F.slice(arr, i + 2, F.greatest(F.size(arr) - i - 1, F.lit(0))),
                                                               lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return (keep.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+    return (staged.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")))
 
 

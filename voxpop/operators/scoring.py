@@ -133,7 +133,7 @@ def label_with_scorer(df: DataFrame, scorer: Scorer, taxonomy: S.Taxonomy, text_
 def cue_reply(text: str | Column, cues: list[tuple[str, str]], max_factors: int = 3) -> Column:
     """Built-in factor scorer: dictionary cues found in the text, mapped to factor names,
     distinct in order of first appearance, at most ``max_factors``, joined by '，'."""
-    pattern = S.literal_alternation([c for c, _ in cues])
+    pattern = S.literal_trie([c for c, _ in cues])
     cue_map = F.create_map(*[x for c, f in cues for x in (F.lit(c), F.lit(f))])
     found = F.regexp_extract_all(X.col_of(text), F.lit(pattern), 0)
     names = F.transform(found, lambda m: F.try_element_at(cue_map, m))
