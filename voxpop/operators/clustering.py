@@ -10,6 +10,9 @@ key (the reference's numbering is arbitrary).
 
 from __future__ import annotations
 
+import logging
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +25,9 @@ from voxpop.operators import ward as WD
 from voxpop.session import cut_lineage
 
 
+log = logging.getLogger(__name__)
+
+
 def threshold_grid(init: float = S.SWEEP_INIT_THRESHOLD, points: int = S.SWEEP_POINTS) -> list[float]:
     """V6: ``points`` even steps from max(.6, init-.1) to min(.9, init+.1)."""
     return [float(x) for x in np.linspace(max(0.6, init - 0.1), min(0.9, init + 0.1), points)]
@@ -60,9 +66,11 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
         empty = spark.createDataFrame([], "th double, t double, n_clusters long, n_valid long, silhouette double")
         return ClusterResult(rows.limit(0), spark.createDataFrame([], "child long, parent long, height double, size double, round int"),
                              empty, None, None, spark.createDataFrame([], "th double, id long, rep long"))
+    t0 = time.time()
     pairs = V.cosine_pairs(pts.select("id", F.col("unit").alias("v")), "id", "v", block_rows=block_rows, n_rows=n)
     merges = cut_lineage(WD.ward_merges(pts.select("id", "w"), pairs.select("i", "j", "dist")))
     zmax = merges.agg(F.max("height")).first()[0] or 0.0
+    log.info("sweep: merges of %d points %.1fs", n, time.time() - t0)
     cuts = spark.createDataFrame([(float(th), float((1 - th) * zmax * 0.7)) for th in ths], "th double, t double")
     reps = cut_lineage(WD.flat_clusters(pts.select("id"), merges, cuts))
     sized = reps.join(pts.select("id", "w"), "id")
@@ -70,19 +78,24 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
     per_th = csize.groupBy("th").agg(F.count(F.lit(1)).alias("n_clusters"),
                                      F.count(F.when(F.col("size") > 1, 1)).alias("n_valid"))
     stats = {r.th: (r.n_clusters, r.n_valid) for r in per_th.collect()}  # one row per threshold
+    log.info("sweep: cuts %.1fs", time.time() - t0)
     valid_rows = (sized.join(csize.where("size > 1"), ["th", "rep"], "left_semi")
                   .join(pts.select("id", "unit"), "id"))
     valid_rows = cut_lineage(valid_rows)
+    valid_ths = [float(th) for th in ths if stats.get(float(th), (0, 0))[1] >= 2]
+    # one small job per valid threshold, submitted concurrently (Spark runs them side by side)
+    with ThreadPoolExecutor(max_workers=max(1, min(4, len(valid_ths)))) as pool:
+        scores = dict(zip(valid_ths, pool.map(
+            lambda th: V.silhouette(valid_rows.where(F.col("th") == th), "unit", "rep", "w"), valid_ths)))
     sweep_rows, best_th, best = [], None, -1.0
     for th in ths:  # T10: strict '>' from -1 in grid order, the first best wins
         th = float(th)
         nc, nv = stats.get(th, (0, 0))
-        score = None
-        if nv >= 2:
-            score = V.silhouette(valid_rows.where(F.col("th") == th), "unit", "rep", "w")
-            if score > best:
-                best, best_th = score, th
+        score = scores.get(th)
+        if score is not None and score > best:
+            best, best_th = score, th
         sweep_rows.append((th, float((1 - th) * zmax * 0.7), int(nc), int(nv), score))
+    log.info("sweep: silhouettes %.1fs", time.time() - t0)
     sweep = spark.createDataFrame(sweep_rows, "th double, t double, n_clusters long, n_valid long, silhouette double")
     if best_th is None:
         assign = rows.limit(0).withColumn("cluster_id", F.lit(None).cast("long")).withColumn("cluster_size", F.lit(None).cast("long"))

@@ -638,3 +638,38 @@ def registry_sources() -> dict:
         "stream_running_counts": q_stream_running_counts,
         "resumable_scoring": q_resumable_scoring,
     }
+
+
+# ============================================================================= end-to-end workflows
+
+from voxpop.plans import workflows as WF  # noqa: E402
+
+_FACTOR_CLUSTER_CACHE: dict = {}
+
+
+def _factor_clusters(spark, sf_dir):
+    k = (id(spark), sf_dir)
+    if k not in _FACTOR_CLUSTER_CACHE:
+        _FACTOR_CLUSTER_CACHE[k] = WF.cluster_and_name(factor_table(spark, sf_dir))
+    return _FACTOR_CLUSTER_CACHE[k]
+
+
+def q_factor_text_clusters(spark, sf_dir):
+    """U4 -> V12 on the joined factor strings of every post (duplicates collapsed with weights)."""
+    r = _factor_clusters(spark, sf_dir).result
+    return r.assignments.select("row_id", "text", "cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"))
+
+
+def q_factor_cluster_report(spark, sf_dir):
+    """U5 + T4 + K5 rows for the factor-text clusters."""
+    rep = _factor_clusters(spark, sf_dir).report
+    if rep is None:
+        return spark.createDataFrame([], "cluster_id long, cluster_size long, name string, samples array<string>")
+    return rep.select("cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"), "name", "samples")
+
+
+def registry_workflows() -> dict:
+    return {
+        "factor_text_clusters": q_factor_text_clusters,
+        "factor_cluster_report": q_factor_cluster_report,
+    }
