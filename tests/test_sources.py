@@ -78,3 +78,22 @@ def test_sectioned_text_edge_cases(spark):
     _write(f"{d}/listing.txt", text.encode("utf-8"))
     got = [(r.cluster_id, r.pos, r.text) for r in SEC.read_sectioned(spark, d).orderBy("cluster_id", "pos").collect()]
     assert got == [(1, 1, "播报温暖，守护陪伴"), (1, 2, "3. bb"), (1, 3, "appended"), (2, 1, "车厢拥挤")]
+
+
+def test_listing_layout(spark):
+    import glob
+
+    from voxpop.sinks import files as K
+
+    df = spark.createDataFrame([(2, 10, "车厢拥挤"), (1, 3, "播报温暖，守护陪伴"), (1, 5, "情感共鸣")],
+                               "cluster_id long, row_id long, text string")
+    path = K.write_listing(K.listing_lines(df))
+    local = path[len("file:"):] if path.startswith("file:") else path
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{local}/part-*")))
+    lines = []
+    for cid, items in ((1, ["播报温暖，守护陪伴", "情感共鸣"]), (2, ["车厢拥挤"])):
+        header = f"\n◆ 簇 {cid} (共 {len(items)} 条):"
+        lines += [header, "-" * len(header)] + [f"{i}. {t}" for i, t in enumerate(items, 1)]
+    assert text == "\n".join(lines) + "\n"
+    back = SEC.read_sectioned(spark, path).orderBy("cluster_id", "pos").collect()
+    assert [(r.cluster_id, r.pos, r.text) for r in back] == [(1, 1, "播报温暖，守护陪伴"), (1, 2, "情感共鸣"), (2, 1, "车厢拥挤")]
