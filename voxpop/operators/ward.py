@@ -152,7 +152,11 @@ def ward_merges(points: DataFrame, pairs: DataFrame, max_rounds: int = 100_000,
         both = p.join(cx, "x").join(cy, "y").select(F.explode(F.array(
             F.struct(F.col("x").alias("c"), F.col("y").alias("o"), d.alias("d")),
             F.struct(F.col("y").alias("c"), F.col("x").alias("o"), d.alias("d")))).alias("e")).select("e.*")
-        nn = both.groupBy("c").agg(F.min(F.struct("d", "o")).alias("m")).select("c", F.col("m.o").alias("o"), F.col("m.d").alias("d"))
+        # nearest neighbour, ties to the smaller id, as two hash aggregations
+        # (a min over a struct would sort all pair rows)
+        dmin = _materialize(both.groupBy("c").agg(F.min("d").alias("dm")), f"{state}/dmin-{rnd}")
+        nn = (both.join(_bc(dmin, n_clusters), "c").where(F.col("d") == F.col("dm"))
+              .groupBy("c").agg(F.min("o").alias("o"), F.min("dm").alias("d")))
         nn = _materialize(nn, f"{state}/nn-{rnd}")
         a, b = nn.alias("a"), nn.alias("b")
         mutual = (a.join(b, (F.col("a.o") == F.col("b.c")) & (F.col("b.o") == F.col("a.c")))
