@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import logging
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from voxpop import schema as S
 from voxpop.operators import vectors as V
 from voxpop.operators import ward as WD
-from voxpop.session import cut_lineage
+from voxpop.session import materialize
 
 
 log = logging.getLogger(__name__)
@@ -59,7 +58,7 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
     rows = df.where(F.col(vec_col).isNotNull())
     if dedupe_col is not None:
         rows = rows.where(F.col(dedupe_col).isNotNull())
-    pts = cut_lineage(V.normalize(_distinct_points(rows, key, vec_col, dedupe_col), "vec", "unit"))
+    pts = materialize(V.normalize(_distinct_points(rows, key, vec_col, dedupe_col), "vec", "unit"), "sweep-points")
     n = pts.count()
     ths = thresholds if thresholds is not None else threshold_grid()
     if n < 2:
@@ -68,11 +67,11 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
                              empty, None, None, spark.createDataFrame([], "th double, id long, rep long"))
     t0 = time.time()
     pairs = V.cosine_pairs(pts.select("id", F.col("unit").alias("v")), "id", "v", block_rows=block_rows, n_rows=n)
-    merges = cut_lineage(WD.ward_merges(pts.select("id", "w"), pairs.select("i", "j", "dist")))
+    merges = materialize(WD.ward_merges(pts.select("id", "w"), pairs.select("i", "j", "dist")), "sweep-merges")
     zmax = merges.agg(F.max("height")).first()[0] or 0.0
     log.info("sweep: merges of %d points %.1fs", n, time.time() - t0)
     cuts = spark.createDataFrame([(float(th), float((1 - th) * zmax * 0.7)) for th in ths], "th double, t double")
-    reps = cut_lineage(WD.flat_clusters(pts.select("id"), merges, cuts))
+    reps = materialize(WD.flat_clusters(pts.select("id"), merges, cuts), "sweep-cuts")
     sized = reps.join(pts.select("id", "w"), "id")
     csize = sized.groupBy("th", "rep").agg(F.sum("w").alias("size"))
     per_th = csize.groupBy("th").agg(F.count(F.lit(1)).alias("n_clusters"),
@@ -81,12 +80,13 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
     log.info("sweep: cuts %.1fs", time.time() - t0)
     valid_rows = (sized.join(csize.where("size > 1"), ["th", "rep"], "left_semi")
                   .join(pts.select("id", "unit"), "id"))
-    valid_rows = cut_lineage(valid_rows)
+    valid_rows = materialize(valid_rows, "sweep-valid")
     valid_ths = [float(th) for th in ths if stats.get(float(th), (0, 0))[1] >= 2]
-    # one small job per valid threshold, submitted concurrently (Spark runs them side by side)
-    with ThreadPoolExecutor(max_workers=max(1, min(4, len(valid_ths)))) as pool:
-        scores = dict(zip(valid_ths, pool.map(
-            lambda th: V.silhouette(valid_rows.where(F.col("th") == th), "unit", "rep", "w"), valid_ths)))
+    scores = {}
+    if valid_ths:  # all valid thresholds in one distributed job
+        sil = V.silhouettes(valid_rows.where(F.col("th").isin(*valid_ths)), "unit", "rep", "w", by="th",
+                            block_rows=block_rows)
+        scores = {float(r.g): float(r.silhouette) for r in sil.collect()}  # one row per threshold
     sweep_rows, best_th, best = [], None, -1.0
     for th in ths:  # T10: strict '>' from -1 in grid order, the first best wins
         th = float(th)

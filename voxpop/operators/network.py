@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from voxpop.functions import reply as R
 from voxpop.operators.factors import counted_factors
-from voxpop.session import cut_lineage
+from voxpop.session import materialize
 
 
 def theme_rows(df: DataFrame, key: str = "row_id") -> DataFrame:
@@ -64,15 +64,15 @@ def _degrees(edges: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     """``(node, community)``; community id = a member node's name (string)."""
     m = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
-    deg = cut_lineage(_degrees(edges))
+    deg = materialize(_degrees(edges), "net-degrees")
     comm = deg.select("node", F.col("node").alias("community"))
     if m == 0:
         return comm
-    und = cut_lineage(edges.select("a", "b", "weight").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    und = materialize(edges.select("a", "b", "weight").unionByName(
+        edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "net-edges")
     idle = 0
     for rnd in range(max_rounds):
-        comm = cut_lineage(comm)
+        comm = materialize(comm, "net-comm")
         tot = (comm.join(deg, "node").groupBy("community").agg(F.sum("k").alias("tot")))
         # weight from each node to each neighbouring community
         kin = (und.join(comm.withColumnRenamed("node", "b").withColumnRenamed("community", "cb"), "b")
@@ -93,7 +93,7 @@ def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
                 .join(own_gain, "a")
                 .where(F.col("bst.gain") > F.col("g_own") + 1e-12)
                 .select(F.col("a").alias("node"), F.col("bst.cb").alias("new")))
-        best = cut_lineage(best)
+        best = materialize(best, "net-moves")
         if best.count() == 0:
             idle += 1
             if idle >= 2:  # neither direction moves anything: converged

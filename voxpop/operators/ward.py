@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxpop.session import checkpoint_dir, cut_lineage, scratch_path
+from voxpop.session import checkpoint_dir, materialize, scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -225,10 +225,10 @@ def flat_clusters(points: DataFrame, merges: DataFrame, cuts: DataFrame) -> Data
     base = pts.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")
     ptr = (base.join(par, "id", "left")
            .select("th", "id", F.when(F.col("height") <= F.col("t"), F.col("parent")).otherwise(F.col("id")).alias("ptr")))
-    ptr = cut_lineage(ptr)
+    ptr = materialize(ptr, "cut-ptr")
     steps = max(1, math.ceil(math.log2(max(n_rounds, 1))) + 1)
     for _ in range(steps):
         nxt = ptr.select("th", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
-        ptr = cut_lineage(ptr.join(nxt, ["th", "ptr"], "left")
-                          .select("th", "id", F.coalesce("ptr2", "ptr").alias("ptr")))
+        ptr = materialize(ptr.join(nxt, ["th", "ptr"], "left")
+                          .select("th", "id", F.coalesce("ptr2", "ptr").alias("ptr")), "cut-ptr")
     return ptr.select("th", "id", F.col("ptr").alias("rep"))

@@ -331,10 +331,10 @@ def q_cosine_pairs(spark, sf_dir):
 
 
 def q_silhouette_by_label(spark, sf_dir):
-    e = V.normalize(_emb(spark, sf_dir), "embedding", "unit")
-    score = V.silhouette(e, "unit", "label")
+    e = _emb(spark, sf_dir)
+    sil = V.silhouettes(e, "embedding", "label")
     stats = e.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("label").alias("n_clusters"))
-    return stats.select(F.round(F.lit(score), 6).alias("silhouette"), "n_rows", "n_clusters")
+    return sil.select(F.round("silhouette", 6).alias("silhouette")).join(stats, how="inner")
 
 
 def _label_clusters(spark, sf_dir):
