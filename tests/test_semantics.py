@@ -206,3 +206,35 @@ def test_pca_centred(spark):
     p = V.pca_2d(df, "embedding", "id").toPandas()
     assert abs(p.pc1.mean()) < 1e-9 and abs(p.pc2.mean()) < 1e-9
     assert p.pc1.var() >= p.pc2.var()
+
+
+def test_weighted_silhouette_equals_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist(), int(i % 4), int(1 + i % 3)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, c int, w int")
+    got = V.silhouette(df, "v", "c", "w")
+    x = np.array([v for _, v, _, w in rows for _ in range(w)])
+    c = np.array([k for _, _, k, w in rows for _ in range(w)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.maximum(1 - u @ u.T, 0)
+    np.fill_diagonal(d, 0)
+    s = []
+    for i in range(len(u)):
+        own = c == c[i]
+        a = d[i, own].sum() / (own.sum() - 1)
+        b = min(d[i, c == k].mean() for k in set(c) if k != c[i])
+        s.append((b - a) / max(a, b))
+    assert abs(got - float(np.mean(s))) < 1e-9
+
+
+def test_literal_trie_equals_alternation():
+    import random
+    import re
+
+    rnd = random.Random(3)
+    for _ in range(500):
+        ws = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 8))]
+        a, t = S.literal_alternation(ws), S.literal_trie(ws)
+        for _ in range(20):
+            text = "".join(rnd.choice("abcx") for _ in range(25))
+            assert re.findall(a, text) == re.findall(t, text)
