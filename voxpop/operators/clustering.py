@@ -124,3 +124,43 @@ def valid_rows(assign: DataFrame, cluster_col: str = "cluster_id") -> DataFrame:
     """J5 + A13: rows of clusters with more than one member (left-semi join)."""
     sizes = cluster_sizes(assign, cluster_col).where("cluster_size > 1")
     return assign.join(sizes, cluster_col, "left_semi")
+
+
+def cluster_bisecting(df: DataFrame, key: str = "row_id", vec_col: str = "embedding", ks: list[int] | None = None,
+                      seed: int = 7) -> ClusterResult:
+    """The scale-out alternative to exact Ward: ``BisectingKMeans``
+    with cosine distance for each k of a grid, scored by the same silhouette over
+    clusters with more than one row; the first best k wins. It answers the same
+    question (variance-based hierarchy, silhouette-chosen cut) with another
+    partition, at O(n k) per level instead of O(n^2) pairs."""
+    from pyspark.ml.clustering import BisectingKMeans
+
+    spark = df.sparkSession
+    pts = materialize(V.normalize(df.select(F.col(key).cast("long").alias("id"), F.col(vec_col).alias("vec")), "vec", "unit")
+                      .select("id", F.col("unit").alias("vec"), V.array_to_vector("unit").alias("features")), "bisect-points")
+    ks = ks or [2, 4, 8, 16, 32]
+    labelled = None
+    for k in ks:
+        model = BisectingKMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="features",
+                                predictionCol="c").fit(pts)
+        part = model.transform(pts).select(F.lit(float(k)).alias("th"), "id", F.col("c").cast("long").alias("rep"), "vec")
+        labelled = part if labelled is None else labelled.unionByName(part)
+    labelled = materialize(labelled, "bisect-labels")
+    csize = labelled.groupBy("th", "rep").agg(F.count(F.lit(1)).alias("size"))
+    per_th = {r.th: (r.n_clusters, r.n_valid) for r in csize.groupBy("th").agg(
+        F.count(F.lit(1)).alias("n_clusters"), F.count(F.when(F.col("size") > 1, 1)).alias("n_valid")).collect()}
+    valid = labelled.join(csize.where("size > 1"), ["th", "rep"], "left_semi")
+    scores = {float(r.g): float(r.silhouette) for r in V.silhouettes(valid, "vec", "rep", by="th").collect()}
+    rows_, best_k, best = [], None, -1.0
+    for k in ks:
+        nc, nv = per_th.get(float(k), (0, 0))
+        score = scores.get(float(k)) if nv >= 2 else None
+        if score is not None and score > best:
+            best, best_k = score, float(k)
+        rows_.append((float(k), None, int(nc), int(nv), score))
+    sweep = spark.createDataFrame(rows_, "th double, t double, n_clusters long, n_valid long, silhouette double")
+    empty = spark.createDataFrame([], "child long, parent long, height double, size double, round int")
+    if best_k is None:
+        return ClusterResult(df.limit(0), empty, sweep, None, None, labelled.select("th", "id", "rep"))
+    assign = labelled.where(F.col("th") == best_k).select(F.col("id").alias(key), F.col("rep").alias("cluster_id"))
+    return ClusterResult(with_cluster_size(assign), empty, sweep, best_k, best, labelled.select("th", "id", "rep"))

@@ -668,8 +668,16 @@ def q_factor_cluster_report(spark, sf_dir):
     return rep.select("cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"), "name", "samples")
 
 
+def q_bisecting_clusters(spark, sf_dir):
+    """The scale-out alternative clustering of the embeddings (BisectingKMeans, silhouette-chosen k)."""
+    e = _emb(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "embedding")
+    r = CL.cluster_bisecting(e, "row_id", "embedding")
+    return r.assignments.select("row_id", "cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"))
+
+
 def registry_workflows() -> dict:
     return {
+        "bisecting_clusters": q_bisecting_clusters,
         "factor_text_clusters": q_factor_text_clusters,
         "factor_cluster_report": q_factor_cluster_report,
     }
