@@ -544,6 +544,7 @@ def _write_csv_bom(df: DataFrame, path: str) -> None:
 def q_csv_encodings(spark, sf_dir):
     nat = _nation_cn(spark, sf_dir)
     base = scratch_path(spark, "csv-encodings")
+    CSV.allow_charset(spark, "GB18030")
     # the whole table, in two files of two encodings
     (nat.where(F.col("n_regionkey") <= 1).coalesce(1).write.mode("overwrite")
      .option("header", True).option("encoding", "GB18030").csv(f"{base}/gb"))
@@ -556,6 +557,7 @@ def q_csv_encodings(spark, sf_dir):
 def q_mojibake_repair(spark, sf_dir):
     reg = TB.load(spark, sf_dir, "region").select("r_regionkey", F.concat("r_name", F.lit(REGION_SUFFIX)).alias("r_name"))
     path = scratch_path(spark, "mojibake")
+    CSV.allow_charset(spark, "GB18030")
     reg.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "GB18030").csv(path)
     garbled = CSV.read_csv_tolerant(spark, path, required="r_name", candidates=["latin1"])
     fixed = CSV.repair_mojibake(garbled)

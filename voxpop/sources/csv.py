@@ -85,7 +85,18 @@ def probe_encodings(spark: SparkSession, paths: str | list[str], required: str |
     return files.mapInPandas(_probe(cands, required, probe_bytes), "path string, encoding string, ok boolean")
 
 
+STANDARD_CHARSETS = {"UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
+
+
+def allow_charset(spark: SparkSession, charset: str) -> None:
+    """Spark 4 accepts only a short charset list in CSV and ``encode``/``decode``;
+    GB18030 and GBK need ``spark.sql.legacy.javaCharsets`` (a runtime SQL conf)."""
+    if charset.upper() not in STANDARD_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _read_group(spark: SparkSession, paths: list[str], encoding: str, na_values: list[str]) -> DataFrame:
+    allow_charset(spark, JAVA_CHARSET.get(encoding, encoding))
     reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
               .option("escape", '"').option("encoding", JAVA_CHARSET.get(encoding, encoding))
               .option("mode", "PERMISSIVE"))
