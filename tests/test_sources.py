@@ -1,8 +1,6 @@
 import codecs
-import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from voxpop.sources import csv as CSV
 from voxpop.sources import sectioned as SEC
