@@ -63,7 +63,7 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
     ths = thresholds if thresholds is not None else threshold_grid()
     if n < 2:
         empty = spark.createDataFrame([], "th double, t double, n_clusters long, n_valid long, silhouette double")
-        return ClusterResult(rows.limit(0), spark.createDataFrame([], "child long, parent long, height double, size double, round int"),
+        return ClusterResult(rows.drop(vec_col).limit(0), spark.createDataFrame([], "child long, parent long, height double, size double, round int"),
                              empty, None, None, spark.createDataFrame([], "th double, id long, rep long"))
     t0 = time.time()
     pairs = V.cosine_pairs(pts.select("id", F.col("unit").alias("v")), "id", "v", block_rows=block_rows, n_rows=n)
@@ -98,14 +98,15 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
     log.info("sweep: silhouettes %.1fs", time.time() - t0)
     sweep = spark.createDataFrame(sweep_rows, "th double, t double, n_clusters long, n_valid long, silhouette double")
     if best_th is None:
-        assign = rows.limit(0).withColumn("cluster_id", F.lit(None).cast("long")).withColumn("cluster_size", F.lit(None).cast("long"))
+        assign = (rows.drop(vec_col).limit(0).withColumn("cluster_id", F.lit(None).cast("long"))
+                  .withColumn("cluster_size", F.lit(None).cast("long")))
         return ClusterResult(assign, merges, sweep, None, None, reps)
     at_best = reps.where(F.col("th") == best_th).select("id", F.col("rep").alias("cluster_id"))
     if dedupe_col is not None:
         link = pts.select("id", "_dk").join(at_best, "id").select(F.col("_dk").alias(dedupe_col), "cluster_id")
-        assign = rows.join(link, dedupe_col)
+        assign = rows.join(link, dedupe_col).drop(vec_col)  # the vector may be the dedupe key itself
     else:
-        assign = rows.join(at_best.withColumnRenamed("id", key), key)
+        assign = rows.drop(vec_col).join(at_best.withColumnRenamed("id", key), key)
     assign = with_cluster_size(assign)
     return ClusterResult(assign, merges, sweep, best_th, best, reps)
 

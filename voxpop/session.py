@@ -28,9 +28,39 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``voxpop`` importable in the Python workers (like ``--py-files``).
+
+    Python stages (scorers, the encoding probe, block matmuls) pickle functions
+    that refer to this package; executors import it from a zip the driver adds
+    with ``SparkContext.addPyFile``. Idempotent per application.
+    """
+    import zipfile
+
+    import voxpop
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(voxpop.__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="voxpop-pkg-"), "voxpop.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
