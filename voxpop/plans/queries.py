@@ -375,7 +375,7 @@ def q_cluster_top_factor(spark, sf_dir):
 
 
 def _ward(spark, sf_dir):
-    k = (id(spark), sf_dir)
+    k = (spark.sparkContext.applicationId, sf_dir)  # a new session never reuses a stale plan
     if k not in _CLUSTER_CACHE:
         e = _emb(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "embedding")
         _CLUSTER_CACHE[k] = CL.cluster_texts(e, "row_id", "embedding", dedupe_col="embedding")
@@ -650,7 +650,7 @@ _FACTOR_CLUSTER_CACHE: dict = {}
 
 
 def _factor_clusters(spark, sf_dir):
-    k = (id(spark), sf_dir)
+    k = (spark.sparkContext.applicationId, sf_dir)  # a new session never reuses a stale plan
     if k not in _FACTOR_CLUSTER_CACHE:
         _FACTOR_CLUSTER_CACHE[k] = WF.cluster_and_name(factor_table(spark, sf_dir))
     return _FACTOR_CLUSTER_CACHE[k]

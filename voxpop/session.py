@@ -68,14 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder and register it.
     """
     sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     if not configured:
         configured = tempfile.mkdtemp(prefix="voxpop-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
