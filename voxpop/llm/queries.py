@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxpop.llm import minhash
-from voxpop.llm.common import table
+from pyspark.sql import functions as F
+
+from voxpop.llm import minhash, quality, toxicity
+from voxpop.llm.common import held_out, table
 
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +40,28 @@ FROM n LEFT JOIN k USING (doc_id) LEFT JOIN r ON r.k = k.k LEFT JOIN m ON m.node
 """
 
 
+def _scored(docs: DataFrame, threshold: float) -> DataFrame:
+    return docs.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _scored(quality.score_quality(docs.select("doc_id", "text"), labels, ~held_out()), 0.3)
+
+
+def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _scored(toxicity.score_toxicity(docs.select("doc_id", "text"), labels, ~held_out()), 0.5)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_neardup": op2_minhash_neardup}
+    return {
+        "op2_minhash_neardup": op2_minhash_neardup,
+        "op3_quality_pu": op3_quality_pu,
+        "op7_toxicity_fm": op7_toxicity_fm,
+    }
 
 
 def oracle() -> dict[str, str]:
