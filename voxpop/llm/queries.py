@@ -8,10 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from voxpop.llm import minhash, quality, toxicity
+from voxpop.llm import minhash, quality, secrets, toxicity
 from voxpop.llm.common import held_out, table
 
 
+def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.findings(docs).withColumnRenamed("doc_id", "_id")
+    every = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    every = every.withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    text = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return every.select(
+        "doc_id", *[count(r.kind) for r in secrets.BASE_RULES], F.sha2(text(base), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -58,6 +72,7 @@ def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_ledger": op1_secret_ledger,
         "op2_minhash_neardup": op2_minhash_neardup,
         "op3_quality_pu": op3_quality_pu,
         "op7_toxicity_fm": op7_toxicity_fm,
