@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from voxpop.llm import minhash, quality, secrets, toxicity
+from voxpop.llm import minhash, packing, quality, secrets, toxicity
 from voxpop.llm.common import held_out, table
 
 
@@ -65,6 +65,10 @@ def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(docs.select("doc_id", "text"), labels, ~held_out()), 0.3)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))[1]
+
+
 def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return _scored(toxicity.score_toxicity(docs.select("doc_id", "text"), labels, ~held_out()), 0.5)
@@ -75,6 +79,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_ledger": op1_secret_ledger,
         "op2_minhash_neardup": op2_minhash_neardup,
         "op3_quality_pu": op3_quality_pu,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op7_toxicity_fm": op7_toxicity_fm,
     }
 
