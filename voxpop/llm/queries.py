@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from voxpop.llm import minhash, packing, quality, secrets, toxicity
+from voxpop.llm import minhash, packing, quality, secrets, toxicity, vectors
 from voxpop.llm.common import held_out, table
 
 
@@ -74,6 +74,26 @@ def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(docs.select("doc_id", "text"), labels, ~held_out()), 0.5)
 
 
+def op8_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+c(node, comp) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, c.comp FROM c JOIN p ON p.a = c.node),
+m AS (SELECT node, min(comp) AS comp FROM c GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, m.comp AS component_id, vec_id = m.comp AS kept
+FROM embeddings JOIN m ON m.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ledger": op1_secret_ledger,
@@ -81,8 +101,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_pu": op3_quality_pu,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op7_toxicity_fm": op7_toxicity_fm,
+        "op8_subspace_join": op8_subspace_join,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_minhash_neardup": OP2_SQL}
+    return {"op2_minhash_neardup": OP2_SQL, "op8_subspace_join": OP8_SQL}
