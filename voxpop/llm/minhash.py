@@ -14,10 +14,14 @@ give the right components, so candidates are taken in three steps:
 1. each bucket has a pseudo-random leader; a document is confirmed against the
    leader with the closest sketch;
 2. the other (document, leader) pairs that still lie in different components;
-3. all other pairs of one bucket that still lie in different components (a
-   blocked self-join: at most ``BLOCK`` rows of a bucket on one side).
-
-After step 3 every banded pair that the sketch lets pass is confirmed,
+3. all other pairs of one bucket that still lie in different components: a
+   blocked self-join with at most ``BLOCK`` rows of a bucket on one side. Its
+   condition compares set sizes, the sketches, and finer sketches of 2048
+   samples that only these documents get, and lets a pair pass in its first
+   common bucket only. So groups of thousands of documents that resemble each
+   other without being near-duplicates give few pairs.
+
+After step 3 every banded pair that the sketches let pass is confirmed,
 refused, or already connected, so no cap on buckets exists. A pair of
 similarity 0.8 shares no bucket with probability (1 - 0.8^4)^32 < 1e-7.
 """
@@ -39,9 +43,10 @@ from voxpop.session import ship_package
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 1024
-#: Most rows of a bucket that one block of the self-join holds.
+#: Samples and bits of the finer sketch.
+FINE_SAMPLES, FINE_BITS = 2048, 8192
+#: Rows of a bucket that one block of the self-join holds on average, at most.
 BLOCK = 1000
-_WORDS = SKETCH_BITS // 64
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,15 +101,16 @@ def minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One 32-bit minimum per hash function, in bounded blocks."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 4096):
-        np.minimum(out, (x[None, at : at + 4096] * a[:, None] + b[:, None]).min(axis=1), out=out)
+    step = max(1, 2**19 // len(a))
+    for at in range(0, len(x), step):
+        np.minimum(out, (x[None, at : at + step] * a[:, None] + b[:, None]).min(axis=1), out=out)
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmap of the (position, value) samples, as 64-bit integers."""
     where = _mix(samples.astype(np.uint64) + np.arange(len(samples), dtype=np.uint64) * _GOLD) >> np.uint64(32)
-    parity = np.bincount((where % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    parity = np.bincount((where % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -115,15 +121,16 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def most_flips(percent: int, n: int = BANDS * ROWS) -> int:
+def most_flips(percent: int, n: int, bits: int, deviations: float) -> int:
     """Population count of an XOR beyond which a pair is surely below the threshold.
 
-    The samples in which a pair of that similarity differs are binomial; six
-    deviations more, each flipping two random bits, give the expected count.
+    The number of samples in which a pair of that similarity differs is
+    binomial; so many deviations more, each flipping two random bits, give the
+    expected count.
     """
     t = percent / 100
-    differ = n * (1 - t) + 6 * (n * t * (1 - t)) ** 0.5
-    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ)))
+    differ = n * (1 - t) + deviations * (n * t * (1 - t)) ** 0.5
+    return int(bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ)))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -160,14 +167,37 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     )
 
 
+def fine_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(id, size, fine array<long>) of rows (id, text)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _params(FINE_SAMPLES)
+        for batch in batches:
+            n, found = [], []
+            for text in batch.column(1):
+                h = shingle_hashes(words_of(text.as_py()), size)
+                n.append(len(h))
+                found.append(odd_sketch(minhash(h, a, b), FINE_BITS))
+            flat = np.concatenate(found) if found else np.empty(0, np.int64)
+            fine = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, FINE_BITS // 64, dtype=np.int32), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), fine], ["id", "size", "fine"])
+
+    return texts.select("id", "text").mapInArrow(sign, "id long, size long, fine array<long>")
+
+
 def _flips(a: str, b: str):
-    """Population count of the XOR of two sketches, as one expression."""
+    """Population count of the XOR of two sketches, as one compiled expression."""
     out = F.lit(0)
-    for i in range(_WORDS):
+    for i in range(SKETCH_BITS // 64):
         out = out + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
     return out
 
 
+def _fine_flips(a: str, b: str):
+    """The same for the longer sketches, too long to be spelled out."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
 
@@ -220,7 +250,7 @@ def near_duplicates(
     )
     members, members_path = written(rows.join(leaders, "bucket"), "members")
     sketches = first.select("id", "sketch")
-    limit = most_flips(percent)
+    limit = most_flips(percent, BANDS * ROWS, SKETCH_BITS, 6)
 
     star = members.where("id <> leader").select("id", "leader").distinct()
     star = (
@@ -268,25 +298,28 @@ def near_duplicates(
         .select("bucket", "n", "id", F.coalesce("component", "id").alias("comp"))
     )
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    placed = placed.join(mixed.select("bucket"), "bucket").join(sketches, "id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = placed.select(
-        "bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"),
-        F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"),
-    )
-    right = placed.select(
-        "bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-        F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"),
-    )
-    rest = (
-        left.join(right, ["bucket", "block"])
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_flips("sa", "sb") <= limit))
-        .select("a", "b")
-        .distinct()
-    )
-    rest, _ = written(rest, "rest")
-    if not rest.isEmpty():
-        more(rest)
+    placed, _ = written(placed.join(mixed.select("bucket"), "bucket"), "placed")
+    if not placed.isEmpty():
+        fine = fine_sketches(texts.join(placed.select("id").distinct(), "id", "left_semi"), size)
+        traits, _ = written(fine.join(first, "id"), "traits")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "comp", "size", "sketch", "fine", "bands")]
+        placed = placed.join(traits, "id")
+        left = placed.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), *named("a"))
+        right = placed.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *named("b"))
+        band = F.array_position("a_bands", F.col("bucket")).cast("int")
+        rest = left.join(right, ["bucket", "block"]).where(
+            (F.col("a_id") < F.col("b_id"))
+            & (F.col("a_comp") != F.col("b_comp"))
+            & (100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
+            & (_flips("a_sketch", "b_sketch") <= limit)
+            & ~F.arrays_overlap(F.slice("a_bands", F.lit(1), band - 1), F.slice("b_bands", F.lit(1), band - 1))
+            & (_fine_flips("a_fine", "b_fine") <= most_flips(percent, FINE_SAMPLES, FINE_BITS, 5.5))
+        )
+        rest = rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+        rest, _ = written(rest, "rest")
+        if not rest.isEmpty():
+            more(rest)
 
     classes = (
         reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -303,7 +336,7 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the near-duplicates of a document with a smaller id; rows that repeat a kept row stay one row."""
+    """``docs`` without the near-duplicates of a document with a smaller id; repeated rows of a kept id all stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.where("not kept").select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")
