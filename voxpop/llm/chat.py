@@ -48,7 +48,7 @@ class Template:
     @cached_property
     def controls(self) -> list[str]:
         found = {x for pair in self.marks.values() for x in pair} | set(self.other)
-        if any("\\" in x or len(x) < 2 or len(set(x[0]) & set("".join(y[1:] for y in found))) > 0 and False for x in found):
+        if any("\\" in x or len(x) < 2 for x in found):
             raise ValueError("control strings need two characters and no backslash")
         return sorted(found, key=lambda x: (-len(x), x))
 
@@ -152,8 +152,8 @@ def format_chats(
     return out.withColumnRenamed("conv", conv_col)
 
 
-def read_back(chats: DataFrame, template: Template | None = None, conv_col: str = "conv_id") -> DataFrame:
-    """(id, turns array<struct<role, text>>, loss_text): what a formatted table says, unescaped."""
+def read_back(chats: DataFrame, template: Template | None = None, conv_col: str = "conv_id", *keep: str) -> DataFrame:
+    """(id, turns array<struct<role, text>>, loss_text, and the columns to keep): what a formatted table says, unescaped."""
     ship_package(chats.sparkSession)
     template = template or Template()
 
@@ -166,4 +166,18 @@ def read_back(chats: DataFrame, template: Template | None = None, conv_col: str
         return texts.map(template.unescape)
 
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")
-    return chats.select(conv_col, turns("formatted").alias("turns"), plain(loss).alias("loss_text"))
+    return chats.select(conv_col, turns("formatted").alias("turns"), plain(loss).alias("loss_text"), *keep)
+
+
+def digests(chats: DataFrame, template: Template | None = None, conv_col: str = "conv_id") -> DataFrame:
+    """(id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) as read back from the output of :func:`format_chats`."""
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    both = read_back(chats.select(conv_col, "formatted", "segments"), template, conv_col, "formatted")
+    return both.select(
+        conv_col,
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from voxpop.llm import minhash, packing, quality, secrets, toxicity, vectors
+from voxpop.llm import chat, fingerprints, minhash, packing, quality, secrets, toxicity, vectors
 from voxpop.llm.common import held_out, table
 
 
@@ -69,6 +69,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))[1]
 
 
+def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return _scored(toxicity.score_toxicity(docs.select("doc_id", "text"), labels, ~held_out()), 0.5)
@@ -94,16 +98,46 @@ FROM embeddings JOIN m ON m.node = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 
+def op10_chat_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(extra).alias("x"), F.lit(said).alias("text"))
+    extra = extra.select("conv_id", F.col("x.turn").cast(rows.schema["turn"].dataType).alias("turn"), "x.role", "text")
+    return chat.digests(chat.format_chats(rows.unionByName(extra)))
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(
+    replace(text, '\', '\\'),
+    '(<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\])', chr(1) || '\1', 'g') AS marked,
+    role IN ('system', 'user', 'assistant') AS known
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(marked) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length(role) END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ledger": op1_secret_ledger,
         "op2_minhash_neardup": op2_minhash_neardup,
         "op3_quality_pu": op3_quality_pu,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
         "op7_toxicity_fm": op7_toxicity_fm,
         "op8_subspace_join": op8_subspace_join,
+        "op10_chat_fsm": op10_chat_fsm,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_minhash_neardup": OP2_SQL, "op8_subspace_join": OP8_SQL}
+    return {"op2_minhash_neardup": OP2_SQL, "op8_subspace_join": OP8_SQL, "op10_chat_fsm": OP10_SQL}
