@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from voxpop.llm import chat, fingerprints, minhash, packing, quality, secrets, toxicity, vectors
+from voxpop.llm import chat, fingerprints, minhash, packing, quality, secrets, surrogates, toxicity, transducer, vectors
 from voxpop.llm.common import held_out, table
 
 
@@ -69,6 +69,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))[1]
 
 
+def op5_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelled = transducer.decode(transducer.encode(table(spark, sf_dir, "documents")))
+    return spelled.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("decoded_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents"))
 
@@ -82,6 +90,10 @@ def op8_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
@@ -132,9 +144,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_neardup": op2_minhash_neardup,
         "op3_quality_pu": op3_quality_pu,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_sentencepiece_wfst": op5_sentencepiece_wfst,
         "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
         "op7_toxicity_fm": op7_toxicity_fm,
         "op8_subspace_join": op8_subspace_join,
+        "op9_surrogates": op9_surrogates,
         "op10_chat_fsm": op10_chat_fsm,
     }
 
