@@ -5,6 +5,8 @@ All of these are built-in Spark expressions, so they stay inside whole-stage cod
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,17 +96,32 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
 
 
 def round_even(x: str | Column, places: int = 4) -> Column:
-    """Python ``round(x, n)`` (F14): half to even."""
-    return F.bround(col_of(x), places)
+    """Python ``round(x, n)`` (F14): half to even on the binary value, not on its decimal text
+    (``bround`` takes 0.12345 for a tie; the double lies above it)."""
+    pattern = "0." + "0" * places if places else "0"
+    return F.call_function("format_number", col_of(x).cast("double"), F.lit(pattern)).cast("double")
+
 
+def fill_template(template: str, c: str | Column, limit: int | None = S.SCORE_TEXT_LIMIT,
+                  **slots: str | Column) -> Column:
+    """``template.format(text[:limit], **slots)`` (F16) as a concat of literals and columns.
 
-def fill_template(template: str, c: str | Column, limit: int | None = S.SCORE_TEXT_LIMIT) -> Column:
-    """``template.format(text[:limit])`` (F16) as a concat of literals and the column."""
-    if template.count("{}") != 1:
-        raise ValueError("template needs exactly one '{}' placeholder")
-    head, tail = template.split("{}")
+    ``{}`` or ``{text}`` is the text; every other ``{name}`` needs a slot. Nulls
+    print as ``nan`` like the reference's pandas.
+    """
     body = truncate(c, limit) if limit else col_of(c)
-    return F.concat(F.lit(head), body, F.lit(tail))
+    values = {"": body, "text": body, **{k: col_of(v) for k, v in slots.items()}}
+    parts, used = [], set()
+    for literal, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(literal))
+        if name is not None:
+            if name not in values:
+                raise ValueError(f"template slot {{{name}}} has no column")
+            used.add(name)
+            parts.append(F.coalesce(values[name], F.lit("nan")))
+    if not used & {"", "text"}:
+        raise ValueError("template needs a '{}' or '{text}' placeholder")
+    return F.concat(*parts)
 
 
 def group_key(a: str | Column, b: str | Column) -> Column:

@@ -104,9 +104,10 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
     at_best = reps.where(F.col("th") == best_th).select("id", F.col("rep").alias("cluster_id"))
     if dedupe_col is not None:
         link = pts.select("id", "_dk").join(at_best, "id").select(F.col("_dk").alias(dedupe_col), "cluster_id")
-        assign = rows.join(link, dedupe_col).drop(vec_col)  # the vector may be the dedupe key itself
+        # rows without a direction (zero vector) stay, without a cluster; the vector may be the dedupe key itself
+        assign = rows.join(link, dedupe_col, "left").drop(vec_col)
     else:
-        assign = rows.drop(vec_col).join(at_best.withColumnRenamed("id", key), key)
+        assign = rows.drop(vec_col).join(at_best.withColumnRenamed("id", key), key, "left")
     assign = with_cluster_size(assign)
     return ClusterResult(assign, merges, sweep, best_th, best, reps)
 
@@ -118,7 +119,7 @@ def cluster_sizes(assign: DataFrame, cluster_col: str = "cluster_id") -> DataFra
 
 def with_cluster_size(assign: DataFrame, cluster_col: str = "cluster_id") -> DataFrame:
     """J4 as a join with the A12 aggregate (partial aggregation, no per-cluster window)."""
-    return assign.join(cluster_sizes(assign, cluster_col), cluster_col)
+    return assign.join(cluster_sizes(assign.where(F.col(cluster_col).isNotNull()), cluster_col), cluster_col, "left")
 
 
 def valid_rows(assign: DataFrame, cluster_col: str = "cluster_id") -> DataFrame:
@@ -139,7 +140,8 @@ def cluster_bisecting(df: DataFrame, key: str = "row_id", vec_col: str = "embedd
     spark = df.sparkSession
     pts = materialize(V.normalize(df.select(F.col(key).cast("long").alias("id"), F.col(vec_col).alias("vec")), "vec", "unit")
                       .select("id", F.col("unit").alias("vec"), V.array_to_vector("unit").alias("features")), "bisect-points")
-    ks = ks or [2, 4, 8, 16, 32]
+    if ks is None:  # powers of two up to the square root of the rows
+        ks = [2**i for i in range(1, max(1, int(np.log2(max(4, pts.count())) / 2)) + 1)]
     labelled = None
     for k in ks:
         model = BisectingKMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="features",

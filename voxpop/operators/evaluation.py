@@ -1,8 +1,8 @@
 """Evaluation of predicted labels against a truth table.
 
 Truth and prediction are aligned by key (an equi-join on ``row_id``), never by
-position. Everything is one or two aggregations over the joined rows; the label
-dimension is the (small, closed) set of labels seen.
+position. The joined rows are aggregated once, to the counts of (truth, pred)
+pairs; everything else is computed from that small table.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from voxpop import schema as S
 from voxpop.functions import text as X
+from voxpop.session import materialize
+
+COUNT_COLUMNS = ["truth", "pred", "n"]
 
 
 def align(pred: DataFrame, truth: DataFrame, key: str = "row_id", pred_col: str = "pred",
@@ -29,41 +32,51 @@ def align(pred: DataFrame, truth: DataFrame, key: str = "row_id", pred_col: str
             .join(truth.select(key, F.col(true_col).alias("truth")), key, "inner"))
 
 
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """``(truth, pred, n)``: the only pass over the rows; at most labels x labels rows.
+
+    Written once, so that the labels, the matrix, the class metrics and the
+    total all read this small table and the predictions are computed once.
+    """
+    if pairs.columns == COUNT_COLUMNS:
+        return pairs
+    return materialize(pairs.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
+
+
 def observed_labels(pairs: DataFrame) -> DataFrame:
-    """X1 + T8: sorted union of truth and predicted labels (code-point order)."""
-    return (pairs.select(F.col("truth").alias("label")).union(pairs.select(F.col("pred").alias("label")))
-            .where(F.col("label").isNotNull()).distinct())
+    """X1 + T8: union of truth and predicted labels, in code-point order."""
+    counts = pair_counts(pairs)
+    return (counts.select(F.col("truth").alias("label")).union(counts.select(F.col("pred").alias("label")))
+            .where(F.col("label").isNotNull()).distinct().orderBy("label"))
 
 
-def _label_list(pairs: DataFrame, labels: list[str] | None) -> list[str]:
-    if labels is not None:
-        return list(labels)
-    # The label set is closed (a taxonomy); collecting its distinct values is bounded.
-    return sorted(r.label for r in observed_labels(pairs).collect())
+def _labels(counts: DataFrame, labels: list[str] | None) -> DataFrame:
+    if labels is None:
+        return observed_labels(counts)
+    return counts.sparkSession.createDataFrame([(x,) for x in labels], "label string")
 
 
 def confusion_long(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """A2 long form ``(truth, pred, n)`` over labels x labels, zeros kept."""
-    labs = _label_list(pairs, labels)
-    counts = pairs.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
-    lab_arr = F.array(*[F.lit(x) for x in labs])
-    grid = (pairs.sparkSession.range(1).select(F.explode(lab_arr).alias("truth"))
-            .withColumn("pred", F.explode(lab_arr)))
-    return (F.broadcast(grid).join(counts, ["truth", "pred"], "left")
+    counts = pair_counts(pairs)
+    labs = _labels(counts, labels)
+    # the grid from each label's array of all labels: the label set is closed and small
+    every = labs.agg(F.sort_array(F.collect_list("label")).alias("all"))
+    grid = every.select(F.explode("all").alias("truth"), "all").select("truth", F.explode("all").alias("pred"))
+    return (grid.join(counts, ["truth", "pred"], "left")
             .select("truth", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
 def confusion_wide(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """A2 wide form: one row per true label, one column per predicted label."""
-    labs = _label_list(pairs, labels)
-    return (confusion_long(pairs, labs).groupBy("truth").pivot("pred", labs).agg(F.sum("n"))
+    return (confusion_long(pairs, labels).groupBy("truth").pivot("pred", labels).agg(F.sum("n"))
             .orderBy("truth"))
 
 
 def crosstab(pairs: DataFrame) -> DataFrame:
     """A3: observed labels only; rows with a null on either side drop out."""
-    clean = pairs.where(F.col("truth").isNotNull() & F.col("pred").isNotNull())
-    return clean.groupBy("truth").pivot("pred").agg(F.count(F.lit(1))).na.fill(0).orderBy("truth")
+    clean = pair_counts(pairs).where(F.col("truth").isNotNull() & F.col("pred").isNotNull())
+    return clean.groupBy("truth").pivot("pred").agg(F.sum("n")).na.fill(0).orderBy("truth")
 
 
 def class_metrics(pairs: DataFrame, labels: list[str] | None = None, round_to: int | None = 4) -> DataFrame:
@@ -72,16 +85,14 @@ def class_metrics(pairs: DataFrame, labels: list[str] | None = None, round_to: i
     ``labels=None``: every label seen (demand form, rounded half-even to 4);
     a fixed list with ``round_to=None``: the sentiment form.
     """
-    labs = _label_list(pairs, labels)
-    # one pass: each row votes tp for its label, or fn for the true and fp for the predicted label
-    hit = F.col("truth") == F.col("pred")
-    votes = pairs.select(F.explode(F.when(hit, F.array(F.struct(F.col("truth").alias("label"), F.lit("tp").alias("kind"))))
-                                   .otherwise(F.array(F.struct(F.col("truth").alias("label"), F.lit("fn").alias("kind")),
-                                                      F.struct(F.col("pred").alias("label"), F.lit("fp").alias("kind")))))
-                         .alias("v")).select("v.*")
-    agg = votes.groupBy("label").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("tp", "fp", "fn")])
-    dim = pairs.sparkSession.createDataFrame([(x,) for x in labs], "label string")
-    m = (F.broadcast(dim).join(agg, "label", "left").na.fill(0, ["tp", "fp", "fn"])
+    counts = pair_counts(pairs)
+    # each cell votes tp for its label, or fn for the true and fp for the predicted label
+    vote = lambda label, kind: F.struct(F.col(label).alias("label"), F.lit(kind).alias("kind"))
+    votes = counts.select("n", F.explode(F.when(F.col("truth") == F.col("pred"), F.array(vote("truth", "tp")))
+                                         .otherwise(F.array(vote("truth", "fn"), vote("pred", "fp")))).alias("v"))
+    agg = votes.groupBy("v.label").agg(*[
+        F.coalesce(F.sum(F.when(F.col("v.kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("tp", "fp", "fn")])
+    m = (_labels(counts, labels).join(agg, "label", "left").na.fill(0, ["tp", "fp", "fn"])
          .withColumn("precision", X.safe_div("tp", F.col("tp") + F.col("fp")))
          .withColumn("recall", X.safe_div("tp", F.col("tp") + F.col("fn")))
          .withColumn("f1", X.safe_div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
@@ -93,14 +104,17 @@ def class_metrics(pairs: DataFrame, labels: list[str] | None = None, round_to: i
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
-    """Σtp / rows (one row)."""
-    return pairs.agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"),
-                     F.count(F.lit(1)).alias("support"))
+    """Right rows / all rows (one row); a null truth or prediction is a wrong row, as in the reference."""
+    counts = pair_counts(pairs)
+    right = F.coalesce(F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n"))), F.lit(0))
+    rows = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    return counts.agg(F.when(rows > 0, right.cast("double") / rows).alias("accuracy"), rows.alias("support"))
 
 
 def evaluation_report(pairs: DataFrame, labels: list[str] | None = None, round_to: int | None = 4) -> DataFrame:
     """A7 + X2: class rows, then one total row (metrics null, support = rows, accuracy only here)."""
-    cls = class_metrics(pairs, labels, round_to).select("label", "precision", "recall", "f1", "support")
-    total = accuracy(pairs).select(F.lit(S.TOTAL_ROW_LABEL).alias("label"), "support", "accuracy")
+    counts = pair_counts(pairs)
+    cls = class_metrics(counts, labels, round_to).select("label", "precision", "recall", "f1", "support")
+    total = accuracy(counts).select(F.lit(S.TOTAL_ROW_LABEL).alias("label"), "support", "accuracy")
     return cls.withColumn("is_total", F.lit(False)).unionByName(
         total.withColumn("is_total", F.lit(True)), allowMissingColumns=True)

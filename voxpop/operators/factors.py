@@ -10,7 +10,7 @@ reference's stable sort over insertion order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxpop import schema as S
@@ -25,16 +25,15 @@ def factor_rows(df: DataFrame, key: str = "row_id", text_col: str = "text") -> D
     A null text is an error row: only ordinal and ``error`` (the reference fails
     on the preview of a null and records the error instead).
     """
-    ordinal = (F.col(key) + 1).cast("long").alias("ordinal")
-    good = df.where(F.col(text_col).isNotNull()).select(
-        F.col(key), ordinal, "demand", "sentiment",
-        X.preview(text_col).alias("preview"),
-        X.join_factors("factors").alias("factors_text"),
-        F.size("factors").cast("long").alias("n_factors"),
-        F.lit(None).cast("string").alias("error"))
-    bad = df.where(F.col(text_col).isNull()).select(
-        F.col(key), ordinal, F.lit("text is null").alias("error"))
-    return good.unionByName(bad, allowMissingColumns=True)
+    good = F.col(text_col).isNotNull()
+    only = lambda c: F.when(good, c)
+    return df.select(
+        F.col(key), (F.col(key) + 1).cast("long").alias("ordinal"),
+        only(F.col("demand")).alias("demand"), only(F.col("sentiment")).alias("sentiment"),
+        only(X.preview(text_col)).alias("preview"),
+        only(X.join_factors("factors")).alias("factors_text"),
+        only(F.size("factors").cast("long")).alias("n_factors"),
+        F.when(~good, F.lit("text is null")).alias("error"))
 
 
 def counted_factors(factors="factors"):
@@ -52,27 +51,40 @@ def exploded(df: DataFrame, key: str = "row_id", group_cols: tuple[str, ...] = (
     return base.select(key, *group_cols, F.posexplode(counted_factors()).alias("pos", "factor"))
 
 
-POS_BITS = 4096  # factor positions per row are encoded below this bound (checked, never clamped)
+#: Positions in one row's list stay below this: an array has at most 2^31 elements.
+POSITIONS = 10**10
 
 
 def first_seen_key(row_id, pos):
-    """(row_id, pos) as one long so ``min`` stays a hash aggregate (a struct min sorts)."""
-    return F.when(pos < POS_BITS, row_id * POS_BITS + pos).otherwise(
-        F.raise_error(F.lit("more than 4096 factors in one row")))
+    """(row_id, pos) as one decimal, exact for every long row id, so that ``min`` stays a hash aggregate (a struct min sorts)."""
+    shifted = row_id.cast("decimal(20,0)") * F.lit(POSITIONS).cast("decimal(11,0)")
+    return (shifted + pos.cast("decimal(10,0)")).cast("decimal(33,0)")
+
+
+def first_seen(key):
+    """The row id and the position of a :func:`first_seen_key`."""
+    pos = F.pmod(key, F.lit(POSITIONS).cast("decimal(33,0)")).cast("long")
+    return ((key - pos.cast("decimal(10,0)")) / F.lit(POSITIONS).cast("decimal(11,0)")).cast("long"), pos
 
 
 def factor_counts(df: DataFrame, key: str = "row_id", group_cols: tuple[str, ...] = ("demand", "sentiment")) -> DataFrame:
-    """A8 + A9 + C1: occurrences per (group, factor), the group total, and first-seen order."""
+    """A8 + A9 + C1: occurrences per (group, factor), the group total, and first-seen order.
+
+    One scan of the posts; totals are an aggregate of the count table joined
+    back, so a group with a large open vocabulary is never one task. Null
+    labels form groups like others.
+    """
     occ = exploded(df, key, group_cols)
     counts = occ.groupBy(*group_cols, "factor").agg(
         F.count(F.lit(1)).alias("n"), F.min(first_seen_key(F.col(key), F.col("pos"))).alias("fk"))
-    # group total and first-seen over the count table (one row per distinct factor of a
-    # group, bounded by the vocabulary, not by rows): one scan of the posts
-    w = Window.partitionBy(*group_cols)
-    return (counts.withColumn("group_total", F.sum("n").over(w)).withColumn("gk", F.min("fk").over(w))
-            .select(*group_cols, "factor", "n", "group_total",
-                    F.floor(F.col("fk") / POS_BITS).cast("long").alias("first_row"), F.pmod("fk", F.lit(POS_BITS)).alias("first_pos"),
-                    F.floor(F.col("gk") / POS_BITS).cast("long").alias("group_first_row"), F.pmod("gk", F.lit(POS_BITS)).alias("group_first_pos")))
+    totals = counts.groupBy(*[F.col(c).alias(f"_{c}") for c in group_cols]).agg(
+        F.sum("n").alias("group_total"), F.min("fk").alias("gk"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group_cols]
+    row, pos = first_seen(F.col("fk"))
+    group_row, group_pos = first_seen(F.col("gk"))
+    return counts.join(totals, same).select(
+        *group_cols, "factor", "n", "group_total", row.alias("first_row"), pos.alias("first_pos"),
+        group_row.alias("group_first_row"), group_pos.alias("group_first_pos"))
 
 
 def top_factors(counts: DataFrame, k: int = 10, group_cols: tuple[str, ...] = ("demand", "sentiment")) -> DataFrame:

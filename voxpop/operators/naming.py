@@ -29,11 +29,13 @@ def fallback_name(first_text) -> object:
 
 
 def first_texts(df: DataFrame, cluster_col: str = "cluster_id", key: str = "row_id", text_col: str = "text") -> DataFrame:
-    """Per cluster: size and first text in input order (A15 + the fallback's input)."""
-    return df.groupBy(cluster_col).agg(
-        F.count(F.lit(1)).alias("cluster_size"),
-        F.min(F.struct(F.col(key).alias("k"), F.col(text_col).alias("t"))).alias("_f")).select(
-        cluster_col, "cluster_size", F.col("_f.t").alias("first_text"))
+    """Per cluster: size and first text in input order (A15 + the fallback's input).
+
+    Sizes and smallest keys are a hash aggregate; only one text per cluster is fetched.
+    """
+    heads = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("cluster_size"), F.min(key).alias(key))
+    return heads.join(df.select(cluster_col, key, text_col), [cluster_col, key]).select(
+        cluster_col, "cluster_size", F.col(text_col).alias("first_text"))
 
 
 def top_factor_names(df: DataFrame, cluster_col: str = "cluster_id", key: str = "row_id", text_col: str = "text",
@@ -64,9 +66,12 @@ def samples(df: DataFrame, cluster_col: str = "cluster_id", key: str = "row_id",
 
 
 def cluster_report(df: DataFrame, cluster_col: str = "cluster_id", key: str = "row_id", text_col: str = "text",
-                   k: int = 5) -> DataFrame:
-    """K5 rows: cluster id, size, standard phrase, up to ``k`` samples (ARRAY in order)."""
-    names = top_factor_names(df, cluster_col, key, text_col)
+                   k: int = 5, names: DataFrame | None = None) -> DataFrame:
+    """K5 rows: cluster id, size, standard phrase, up to ``k`` samples (ARRAY in order).
+
+    ``names``: (cluster, cluster_size, name) of another namer than the built-in one.
+    """
+    names = top_factor_names(df, cluster_col, key, text_col) if names is None else names
     smp = (samples(df, cluster_col, key, text_col, k).groupBy(cluster_col)
            .agg(F.sort_array(F.collect_list(F.struct("pos", text_col))).alias("_s")))  # at most k per cluster
     return (names.join(smp, cluster_col)
@@ -76,14 +81,17 @@ def cluster_report(df: DataFrame, cluster_col: str = "cluster_id", key: str = "r
 
 
 def name_with_scorer(df: DataFrame, scorer: SC.Scorer, cluster_col: str = "cluster_id", key: str = "row_id",
-                     text_col: str = "text", template: str = "{}", max_lines: int = 200) -> DataFrame:
-    """U5 with a pluggable namer: one prompt per cluster, made of its ``max_lines``
-    most frequent distinct texts as ``text (xN)`` lines; the reply is stripped of
+                     text_col: str = "text", template: str = "{}", max_lines: int | None = None) -> DataFrame:
+    """U5 with a pluggable namer: one prompt per cluster, made of its distinct texts,
+    most frequent first, as ``text (xN)`` lines (all of them, or ``max_lines`` where
+    the namer's context is short); the reply is stripped of
     quotes, spaces and newlines (F2); a failure gives the fallback name."""
     distinct = df.groupBy(cluster_col, text_col).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
-    top = O.top_k_within(distinct, [cluster_col], [F.desc("n"), F.asc("first")], max_lines, text_col, rank_col="rk")
-    lines = (top.groupBy(cluster_col)
-             .agg(F.sort_array(F.collect_list(F.struct("rk", F.format_string("%s (x%d)", F.col(text_col), F.col("n"))
+    if max_lines is not None:
+        distinct = O.top_k_within(distinct, [cluster_col], [F.desc("n"), F.asc("first")], max_lines, text_col)
+    # a prompt is one value: it holds each distinct text of its cluster once
+    lines = (distinct.groupBy(cluster_col)
+             .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rk"), "first", F.format_string("%s (x%d)", F.col(text_col), F.col("n"))
                                                         .alias("line")))).alias("_l"))
              .select(cluster_col, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("body")))
     heads = first_texts(df, cluster_col, key, text_col)

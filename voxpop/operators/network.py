@@ -61,8 +61,12 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("weight").alias("k"))
 
 
-def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """``(node, community)``; community id = a member node's name (string)."""
+def communities(edges: DataFrame) -> DataFrame:
+    """``(node, community)``; community id = a member node's name (string).
+
+    Rounds go on until no node moves in either direction, or until a round in
+    each direction no longer raises the modularity.
+    """
     m = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
     deg = materialize(_degrees(edges), "net-degrees")
     comm = deg.select("node", F.col("node").alias("community"))
@@ -70,9 +74,15 @@ def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         return comm
     und = materialize(edges.select("a", "b", "weight").unionByName(
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "net-edges")
-    idle = 0
-    for rnd in range(max_rounds):
+    idle, rnd, best_q = 0, -1, -1.0
+    while True:
+        rnd += 1
         comm = materialize(comm, "net-comm")
+        if rnd and rnd % 2 == 0:
+            q = modularity(edges, comm)
+            if q <= best_q + 1e-12:
+                break
+            best_q = q
         tot = (comm.join(deg, "node").groupBy("community").agg(F.sum("k").alias("tot")))
         # weight from each node to each neighbouring community
         kin = (und.join(comm.withColumnRenamed("node", "b").withColumnRenamed("community", "cb"), "b")
@@ -116,19 +126,20 @@ def theme_table(df: DataFrame, key: str = "row_id") -> DataFrame:
         F.col("_maj.sentiment").alias("sentiment"))
 
 
-def theme_ranking(df: DataFrame, k: int = 20, key: str = "row_id") -> DataFrame:
-    """Top-k themes ``(rank, theme, frequency, sentiment)``."""
-    top = theme_table(df, key).orderBy(F.desc("frequency"), F.asc("theme")).limit(k)
-    w = Window.orderBy(F.desc("frequency"), F.asc("theme"))  # over at most k rows
+def theme_ranking(df: DataFrame, k: int | None = None, key: str = "row_id") -> DataFrame:
+    """Themes ``(rank, theme, frequency, sentiment)``, all of them or the top k."""
+    top = theme_table(df, key)
+    top = top.orderBy(F.desc("frequency"), F.asc("theme")).limit(k) if k else top
+    w = Window.orderBy(F.desc("frequency"), F.asc("theme"))  # over the themes, not the rows
     return top.withColumn("rank", F.row_number().over(w).cast("long")).select("rank", "theme", "frequency", "sentiment")
 
 
-def theme_priority(df: DataFrame, k: int = 20, key: str = "row_id") -> DataFrame:
-    """Top-k themes by negative share x frequency (= negative rows), ties by frequency desc, theme asc."""
+def theme_priority(df: DataFrame, k: int | None = None, key: str = "row_id") -> DataFrame:
+    """Themes (all, or the top k) by negative share x frequency (= negative rows), ties by frequency desc, theme asc."""
     t = theme_table(df, key).withColumn("negative_share", F.col("n_negative") / F.col("frequency")) \
         .withColumn("priority", F.col("negative_share") * F.col("frequency"))
-    top = t.orderBy(F.desc("priority"), F.desc("frequency"), F.asc("theme")).limit(k)
-    w = Window.orderBy(F.desc("priority"), F.desc("frequency"), F.asc("theme"))  # over at most k rows
+    top = t.orderBy(F.desc("priority"), F.desc("frequency"), F.asc("theme")).limit(k) if k else t
+    w = Window.orderBy(F.desc("priority"), F.desc("frequency"), F.asc("theme"))  # over the themes, not the rows
     return top.withColumn("rank", F.row_number().over(w).cast("long")).select(
         "rank", "theme", "frequency", "n_negative", F.round("negative_share", 6).alias("negative_share"),
         F.round("priority", 6).alias("priority"))

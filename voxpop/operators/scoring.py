@@ -4,23 +4,24 @@ Two kinds of scorer:
 
 * built-in rules (a :class:`Taxonomy`): pure column expressions, no Python stage;
 * a pluggable scorer ``Callable[[pandas.Series], pandas.Series]`` (prompt -> raw
-  reply), run with ``mapInPandas`` on Arrow batches. Replies are normalised by
-  Spark expressions afterwards. A failing batch is retried row by row; a failing
-  row gets a null reply (hence the default label) and its error text in
-  ``score_error``, so one bad row never fails the job.
-
-Blank rows (P3) never reach a scorer: Catalyst cannot push a filter through
-``mapInPandas``, so they are split off before and unioned back after.
+  reply), run as an iterator pandas UDF: only the prompt goes to Python, in calls
+  of at most ``CALL_ROWS`` prompts. Replies are normalised by Spark expressions
+  afterwards. A failing call is retried row by row; a failing row gets a null
+  reply (hence the default label) and its error text in ``score_error``, so one
+  bad row never fails the job nor repeats more than one call.
+
+Blank rows (P3) never reach a scorer: they are split off before and unioned
+back after. A scorer may be paid for or random: write a scored table (K2, or
+``session.materialize``) before several outputs read it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voxpop import schema as S
 from voxpop.functions import reply as R
@@ -40,8 +41,8 @@ def rule_label(text: str | Column, taxonomy: S.Taxonomy) -> Column:
 
 
 def label_with_rules(df: DataFrame, taxonomy: S.Taxonomy, text_col: str = "text", out_col: str | None = None,
-                     limit: int = S.SCORE_TEXT_LIMIT) -> DataFrame:
-    """Rule scorer over the stripped, truncated text; blank rows get the default label.
+                     limit: int | None = None) -> DataFrame:
+    """Rule scorer over the whole stripped text (or its first ``limit`` code points); blank rows get the default label.
 
     Adds ``<out_col>`` and ``is_blank``. Narrow projection: one pass, no shuffle.
     """
@@ -51,52 +52,51 @@ def label_with_rules(df: DataFrame, taxonomy: S.Taxonomy, text_col: str = "text"
         df.withColumn("_norm", norm)
         .withColumn("is_blank", F.col("_norm") == "")
         .withColumn(out_col, F.when(F.col("is_blank"), F.lit(taxonomy.default))
-                    .otherwise(rule_label(X.truncate("_norm", limit), taxonomy)))
+                    .otherwise(rule_label(X.truncate("_norm", limit) if limit else "_norm", taxonomy)))
         .drop("_norm")
     )
 
 
-def _isolated(scorer: Scorer) -> Callable:
-    """Wrap a scorer so that failures stay per row."""
-
-    def run(it):
-        for pdf in it:
-            prompts = pdf["_prompt"]
-            try:
-                out = pd.Series(scorer(prompts), index=prompts.index).astype(object)
-                err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            except Exception:  # noqa: BLE001 - batch failed: retry row by row
-                vals, errs = [], []
-                for p in prompts:
-                    try:
-                        vals.append(scorer(pd.Series([p])).iloc[0])
-                        errs.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        vals.append(None)
-                        errs.append(f"{type(e).__name__}: {e}"[:500])
-                out = pd.Series(vals, index=pdf.index, dtype=object)
-                err = pd.Series(errs, index=pdf.index, dtype=object)
-            res = pdf.drop(columns=["_prompt"])
-            res["_reply"] = out.where(out.notna(), None)
-            res["score_error"] = err
-            yield res
-
-    return run
-
-
-def score_replies(df: DataFrame, scorer: Scorer, prompt: Column) -> DataFrame:
-    """Run a pluggable scorer on ``prompt``; adds ``_reply`` and ``score_error`` (strings)."""
-    staged = df.withColumn("_prompt", prompt)
-    out_schema = T.StructType(
-        [f for f in staged.schema.fields if f.name != "_prompt"]
-        + [T.StructField("_reply", T.StringType(), True), T.StructField("score_error", T.StringType(), True)]
-    )
-    return staged.mapInPandas(_isolated(scorer), out_schema)
+#: Most prompts in one call of a scorer.
+CALL_ROWS = 64
+
+
+def score_replies(df: DataFrame, scorer: Scorer, prompt: Column, call_rows: int = CALL_ROWS) -> DataFrame:
+    """Run a pluggable scorer on ``prompt``; adds ``_reply`` and ``score_error`` (strings). Failures stay per row."""
+
+    def call(prompts: pd.Series) -> tuple[list, list]:
+        try:
+            out = pd.Series(scorer(prompts), index=prompts.index).astype(object)
+            return out.where(out.notna(), None).tolist(), [None] * len(prompts)
+        except Exception:  # noqa: BLE001 - the call failed: retry row by row
+            replies, errors = [], []
+            for p in prompts:
+                try:
+                    reply = pd.Series(scorer(pd.Series([p]))).iloc[0]
+                    replies.append(None if pd.isna(reply) else reply)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    replies.append(None)
+                    errors.append(f"{type(e).__name__}: {e}"[:500])
+            return replies, errors
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            replies, errors = [], []
+            for at in range(0, len(batch), call_rows):
+                r, e = call(batch.iloc[at : at + call_rows].reset_index(drop=True))
+                replies += r
+                errors += e
+            yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    scored = F.pandas_udf(run, "reply string, error string").asNondeterministic()
+    return (df.withColumn("_scored", scored(prompt)).withColumn("_reply", F.col("_scored.reply"))
+            .withColumn("score_error", F.col("_scored.error")).drop("_scored"))
 
 
 def label_with_scorer(df: DataFrame, scorer: Scorer, taxonomy: S.Taxonomy, text_col: str = "text",
                       out_col: str | None = None, template: str = "{}", match: str = "exact",
-                      dedupe: bool = False, limit: int = S.SCORE_TEXT_LIMIT) -> DataFrame:
+                      dedupe: bool = False, limit: int | None = S.SCORE_TEXT_LIMIT, call_rows: int = CALL_ROWS) -> DataFrame:
     """Pluggable scorer path of U1/U2.
 
     ``match='exact'``: stripped reply must equal a label (demand, F7);
@@ -113,10 +113,10 @@ def label_with_scorer(df: DataFrame, scorer: Scorer, taxonomy: S.Taxonomy, text_
     if dedupe:
         keyed = todo.withColumn("_p", prompt)
         uniq = keyed.select("_p").distinct()
-        scored_u = score_replies(uniq, scorer, F.col("_p"))
+        scored_u = score_replies(uniq, scorer, F.col("_p"), call_rows)
         scored = keyed.join(scored_u, "_p", "left").drop("_p")
     else:
-        scored = score_replies(todo, scorer, prompt)
+        scored = score_replies(todo, scorer, prompt, call_rows)
     out = scored.unionByName(blank)
     content = R.reply_content("_reply")
     if match == "exact":
@@ -130,19 +130,23 @@ def label_with_scorer(df: DataFrame, scorer: Scorer, taxonomy: S.Taxonomy, text_
 
 # --------------------------------------------------------------------------- factors
 
-def cue_reply(text: str | Column, cues: list[tuple[str, str]], max_factors: int = 3) -> Column:
-    """Built-in factor scorer: dictionary cues found in the text, mapped to factor names,
-    distinct in order of first appearance, at most ``max_factors``, joined by '，'."""
+def cue_reply(text: str | Column, cues: list[tuple[str, str]]) -> Column:
+    """Built-in factor scorer: dictionary cues found in the whole text, mapped to factor names,
+    distinct in order of first appearance, joined by '，'."""
     pattern = S.literal_trie([c for c, _ in cues])
     cue_map = F.create_map(*[x for c, f in cues for x in (F.lit(c), F.lit(f))])
     found = F.regexp_extract_all(X.col_of(text), F.lit(pattern), 0)
     names = F.transform(found, lambda m: F.try_element_at(cue_map, m))
-    return X.join_factors(F.slice(F.array_distinct(names), 1, max_factors))
+    return X.join_factors(F.array_distinct(names))
 
 
 def extract_factors(df: DataFrame, text_col: str = "text", cues: list[tuple[str, str]] | None = None,
-                    scorer: Scorer | None = None, template: str = "{}", max_factors: int = 3) -> DataFrame:
-    """One row -> list of 1..n factors.
+                    scorer: Scorer | None = None, template: str = "{}", max_factors: int | None = None,
+                    slots: dict[str, str] | None = None) -> DataFrame:
+    """One row -> list of 1..n factors (of those with a usable length, the first ``max_factors`` if given).
+
+    ``slots`` names further columns for the template, e.g. ``{"demand":
+    "demand", "sentiment": "sentiment"}`` for ``{demand}`` and ``{sentiment}``.
 
     The reply (built-in cue dictionary, or a pluggable scorer) is parsed by F5 +
     P14; nothing usable -> ``[无法提取]``; a scorer error -> ``[API错误]``.
@@ -150,15 +154,16 @@ def extract_factors(df: DataFrame, text_col: str = "text", cues: list[tuple[str,
     Adds ``factors ARRAY<STRING>``, ``n_factors`` and ``score_error``.
     """
     if scorer is None:
-        reply = cue_reply(F.col(text_col), cues or S.FACTOR_CUES, max_factors)
+        reply = cue_reply(F.col(text_col), cues or S.FACTOR_CUES)
         out = df.withColumn("_reply", reply).withColumn("score_error", F.lit(None).cast("string"))
     else:
         good = df.where(F.col(text_col).isNotNull())
         bad = (df.where(F.col(text_col).isNull()).withColumn("_reply", F.lit(None).cast("string"))
                .withColumn("score_error", F.lit(None).cast("string")))
-        out = score_replies(good, scorer, X.fill_template(template, text_col, None)).unionByName(bad)
+        out = score_replies(good, scorer, X.fill_template(template, text_col, None, **(slots or {}))).unionByName(bad)
         out = out.withColumn("_reply", R.reply_content("_reply"))
-    parsed = X.or_default_list(X.split_factors("_reply"), S.FACTOR_NONE)
+    usable = X.split_factors("_reply")
+    parsed = X.or_default_list(F.slice(usable, 1, max_factors) if max_factors else usable, S.FACTOR_NONE)
     factors = F.when(F.col("score_error").isNotNull(), F.array(F.lit(S.FACTOR_ERROR))).otherwise(parsed)
     return (out.withColumn("factors", factors)
             .withColumn("n_factors", F.size("factors"))

@@ -168,7 +168,7 @@ def _factor_sql() -> str:
     WITH base AS ({_posts_labelled_sql()}),
     m AS (SELECT *, list_transform(regexp_extract_all(text, {G.q(pattern)}), lambda x: {G.map_case('x', TB.DEMO_FACTOR_CUES)}) AS names FROM base),
     d AS (SELECT *, list_filter(names, lambda x, i: NOT list_contains(names[1:i-1], x)) AS uniq FROM m),
-    f AS (SELECT *, list_filter(uniq[1:3], lambda x: length(x) BETWEEN 2 AND 5) AS kept FROM d),
+    f AS (SELECT *, list_filter(uniq, lambda x: length(x) BETWEEN 2 AND 5) AS kept FROM d),
     g AS (SELECT *, CASE WHEN len(kept) > 0 THEN kept ELSE ['无法提取'] END AS factors FROM f)
     """
 
@@ -257,13 +257,13 @@ def oracle() -> dict[str, str]:
                    count(*) FILTER (WHERE toxic <> 1) AS clean, count(*) FILTER (WHERE toxic = 1) AS toxic
             FROM labels GROUP BY 1""",
         "class_metrics": _class_metrics_sql() + """
-            SELECT label, tp, fp, fn, round_even(pr, 4) AS precision, round_even(rc, 4) AS recall,
-                   round_even(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 4) AS f1,
+            SELECT label, tp, fp, fn, CAST(printf('%.4f', pr) AS DOUBLE) AS precision, CAST(printf('%.4f', rc) AS DOUBLE) AS recall,
+                   CAST(printf('%.4f', CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END) AS DOUBLE) AS f1,
                    tp + fn AS support
             FROM m""",
         "evaluation_report": _class_metrics_sql() + """
-            SELECT label, round_even(pr, 4) AS precision, round_even(rc, 4) AS recall,
-                   round_even(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 4) AS f1,
+            SELECT label, CAST(printf('%.4f', pr) AS DOUBLE) AS precision, CAST(printf('%.4f', rc) AS DOUBLE) AS recall,
+                   CAST(printf('%.4f', CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END) AS DOUBLE) AS f1,
                    tp + fn AS support, CAST(NULL AS DOUBLE) AS accuracy, false AS is_total FROM m
             UNION ALL
             SELECT '总体', NULL, NULL, NULL, count(*), round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6), true FROM p""",
@@ -415,11 +415,11 @@ def q_theme_communities(spark, sf_dir):
 
 
 def q_theme_ranking(spark, sf_dir):
-    return NW.theme_ranking(factor_table(spark, sf_dir), k=20)
+    return NW.theme_ranking(factor_table(spark, sf_dir))
 
 
 def q_theme_priority(spark, sf_dir):
-    return NW.theme_priority(factor_table(spark, sf_dir), k=20)
+    return NW.theme_priority(factor_table(spark, sf_dir))
 
 
 def _members_sql() -> str:
@@ -485,12 +485,12 @@ def oracle_more() -> dict[str, str]:
             SELECT x.f AS a, y.f AS b, count(*) AS weight FROM e x JOIN e y ON x.row_id = y.row_id AND x.f < y.f GROUP BY ALL""",
         "theme_ranking": _theme_sql() + """
             SELECT row_number() OVER (ORDER BY frequency DESC, theme) AS rank, theme, frequency, m.sentiment
-            FROM tt JOIN maj m USING (theme) ORDER BY frequency DESC, theme LIMIT 20""",
+            FROM tt JOIN maj m USING (theme) """,
         "theme_priority": _theme_sql() + """,
             pr AS (SELECT *, n_negative / frequency AS negative_share, (n_negative / frequency) * frequency AS priority FROM tt)
             SELECT row_number() OVER (ORDER BY priority DESC, frequency DESC, theme) AS rank, theme, frequency, n_negative,
                    round(negative_share, 6) AS negative_share, round(priority, 6) AS priority
-            FROM pr ORDER BY priority DESC, frequency DESC, theme LIMIT 20""",
+            FROM pr """,
     }
 
 

@@ -14,7 +14,7 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-NORM = "regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
+NORM = "regexp_replace(coalesce({c}, ''), '^[\\s\u3000]+|[\\s\u3000]+$', '', 'g')"
 
 
 def norm(col: str) -> str:
@@ -25,15 +25,16 @@ def rule_case(t: S.Taxonomy, text_sql: str, blank_sql: str | None = None) -> str
     parts = ["CASE"]
     if blank_sql:
         parts.append(f"WHEN {blank_sql} THEN {q(t.default)}")
-    for label, pattern in t.rules():
-        parts.append(f"WHEN regexp_matches({text_sql}, {q(pattern)}) THEN {q(label)}")
+    for label, words in t.cues:
+        any_of = " OR ".join(f"contains({text_sql}, {q(w)})" for w in words)
+        parts.append(f"WHEN {any_of} THEN {q(label)}")
     parts.append(f"ELSE {q(t.default)} END")
     return " ".join(parts)
 
 
-def labelled_case(t: S.Taxonomy, col: str = "text", limit: int = S.SCORE_TEXT_LIMIT) -> str:
+def labelled_case(t: S.Taxonomy, col: str = "text") -> str:
     n = norm(col)
-    return rule_case(t, f"substring({n}, 1, {limit})", f"{n} = ''")
+    return rule_case(t, n, f"{n} = ''")
 
 
 def values_dim(t: S.Taxonomy) -> str:

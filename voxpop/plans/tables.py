@@ -7,6 +7,8 @@ rules and factor dictionary use words found in that prose; the Chinese rules of
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def demo_demand() -> S.Taxonomy:
 
 def demo_sentiment() -> S.Taxonomy:
     t = S.Taxonomy.from_cues(DEMO_SENTIMENT_RULES, S.SENTIMENT_DEFAULT, "sentiment")
-    return S.Taxonomy(t.labels, t.patterns, t.default, t.name, {"order": S.SENTIMENT_LABELS})
+    return replace(t, extra={"order": S.SENTIMENT_LABELS})
 
 
 def demo_quality() -> S.Taxonomy:
@@ -59,6 +61,15 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", "lang", "source")
 
 
+def posts_with_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and for each row of ``labels`` one more post without content: null for toxic
+    ones, blank (ideographic and ASCII spaces) for good ones, empty for the rest."""
+    blank = load(spark, sf_dir, "labels").select(
+        (-1 - F.col("doc_id")).alias("row_id"),
+        F.when(F.col("toxic") == 1, F.lit(None)).when(F.col("quality") == 1, F.lit("\u3000 \t")).otherwise(F.lit("")).alias("text"))
+    return posts(spark, sf_dir).select("row_id", "text").unionByName(blank)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as a second post table (key ``conv_id, turn``)."""
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -28,6 +28,7 @@ from voxpop.operators import factors as FA
 from voxpop.operators import naming as NM
 from voxpop.operators import scoring as SC
 from voxpop.operators import vectors as V
+from voxpop.session import materialize
 from voxpop.sinks import files as K
 
 
@@ -43,19 +44,26 @@ class Labelled:
 def label_and_evaluate(posts: DataFrame, demand: S.Taxonomy | None = None, sentiment: S.Taxonomy | None = None,
                        demand_truth: DataFrame | None = None, sentiment_truth: DataFrame | None = None,
                        demand_scorer: SC.Scorer | None = None, sentiment_scorer: SC.Scorer | None = None,
-                       require_same_rows: bool = False) -> Labelled:
-    """Workflow 1. Truth tables are ``(row_id, truth)``; evaluation is skipped when absent."""
+                       require_same_rows: bool = False, demand_template: str = "{}",
+                       sentiment_template: str = "{}") -> Labelled:
+    """Workflow 1. Truth tables are ``(row_id, truth)``; evaluation is skipped when absent.
+
+    A scorer runs once per post: its labels are written before anything reads
+    them. ``demand_error`` and ``sentiment_error`` keep why a row has no reply.
+    """
     demand = demand or S.demand_taxonomy()
     sentiment = sentiment or S.sentiment_taxonomy()
     if demand_scorer is None:
         lab = SC.label_with_rules(posts, demand, "text", "demand")
     else:
-        lab = SC.label_with_scorer(posts, demand_scorer, demand, "text", "demand", match="exact").drop("score_error")
+        lab = SC.label_with_scorer(posts, demand_scorer, demand, "text", "demand", demand_template, match="exact")
+        lab = materialize(lab.withColumnRenamed("score_error", "demand_error"), "demand")
     if sentiment_scorer is None:
         lab = SC.label_with_rules(lab.drop("is_blank"), sentiment, "text", "sentiment")
     else:
         lab = SC.label_with_scorer(lab.drop("is_blank"), sentiment_scorer, sentiment, "text", "sentiment",
-                                   match="contains").drop("score_error")
+                                   sentiment_template, match="contains")
+        lab = materialize(lab.withColumnRenamed("score_error", "sentiment_error"), "sentiment")
     lab = lab.withColumn("sentiment_code", R.sentiment_code("sentiment"))
     d_eval = s_eval = None
     if demand_truth is not None:
@@ -77,9 +85,12 @@ class Mined:
 
 
 def mine_factors(labelled: DataFrame, cues: list[tuple[str, str]] | None = None, scorer: SC.Scorer | None = None,
-                 k: int = 10) -> Mined:
-    """Workflow 2."""
-    table = SC.extract_factors(labelled, "text", cues, scorer)
+                 k: int = 10, template: str = "{}") -> Mined:
+    """Workflow 2. The template may hold ``{text}``, ``{demand}`` and ``{sentiment}``; a scorer runs once per post."""
+    slots = {"demand": "demand", "sentiment": "sentiment"}
+    table = SC.extract_factors(labelled, "text", cues, scorer, template, slots=slots)
+    if scorer is not None:
+        table = materialize(table, "factors")
     counts = FA.factor_counts(table)
     top = FA.top_factors(counts, k)
     return Mined(FA.factor_rows(table), counts, top, FA.stats_json(top), table)
@@ -92,9 +103,13 @@ class Clustered:
 
 
 def cluster_and_name(factor_table: DataFrame, text_col: str = "factors_text", thresholds: list[float] | None = None,
-                     encoder_vectors: DataFrame | None = None, exclude_sentinels: bool = False) -> Clustered:
+                     encoder_vectors: DataFrame | None = None, exclude_sentinels: bool = False,
+                     namer: SC.Scorer | None = None, name_template: str = "{}") -> Clustered:
     """Workflow 3 over the joined factor strings (the reference's unit of clustering).
 
+    ``namer``: a scorer from a cluster's texts to its standard phrase; the
+    built-in one takes the most frequent factor.
+
     ``encoder_vectors``: optional ``(row_id, embedding)`` from a user encoder;
     default is the built-in hashed character n-gram TF-IDF.
     """
@@ -106,7 +121,11 @@ def cluster_and_name(factor_table: DataFrame, text_col: str = "factors_text", th
     res = CL.cluster_texts(texts.join(vecs, "row_id"), "row_id", "embedding", dedupe_col="text", thresholds=thresholds)
     report = None
     if res.best_threshold is not None:
-        report = NM.cluster_report(res.assignments, "cluster_id", "row_id", "text")
+        placed = res.assignments.where(F.col("cluster_id").isNotNull())
+        names = None
+        if namer is not None:
+            names = materialize(NM.name_with_scorer(placed, namer, "cluster_id", "row_id", "text", name_template), "names")
+        report = NM.cluster_report(placed, "cluster_id", "row_id", "text", names=names)
     return Clustered(res, report)
 
 
@@ -118,17 +137,20 @@ def write_outputs(base: str, labelled: Labelled | None = None, mined: Mined | No
         out["labels"] = K.write_parquet(labelled.posts, f"{base}/labels")
         out["labels_csv"] = K.write_csv(labelled.posts.select("text", "demand", "sentiment", "sentiment_code"),
                                         f"{base}/labels_csv", export_names=True)
-        out["demand_stats"] = K.write_csv(labelled.demand_stats, f"{base}/demand_stats")
-        out["sentiment_stats"] = K.write_csv(labelled.sentiment_stats, f"{base}/sentiment_stats")
+        for name, stats in (("demand_stats", labelled.demand_stats), ("sentiment_stats", labelled.sentiment_stats)):
+            out[name] = K.write_csv(stats.select("label", "n", "share_pct"), f"{base}/{name}", export_names=True)
         for name, ev in (("demand_eval", labelled.demand_eval), ("sentiment_eval", labelled.sentiment_eval)):
             if ev is not None:
-                out[name] = K.write_csv(ev, f"{base}/{name}")
+                out[name] = K.write_csv(ev.drop("is_total"), f"{base}/{name}", export_names=True)
     if mined is not None:
         out["factor_rows"] = K.write_csv(mined.rows, f"{base}/factor_rows", export_names=True)
-        out["factor_stats"] = K.write_stats_json(mined.stats, f"{base}/factor_stats")
+        out["factor_stats"] = K.write_stats_object(mined.stats, f"{base}/factor_stats")
     if clustered is not None:
         out["clusters"] = K.write_csv(clustered.result.assignments, f"{base}/clusters", export_names=True)
         out["sweep"] = K.write_csv(clustered.result.sweep, f"{base}/sweep")
+        members = clustered.result.assignments.where(F.col("cluster_id").isNotNull())
+        if "text" in members.columns:
+            out["listing"] = K.write_listing(K.listing_lines(members), f"{base}/listing")
         if clustered.report is not None:
             out["report"] = K.write_cluster_report(clustered.report, f"{base}/report")
     return out

@@ -7,7 +7,7 @@ label. Rule scorers test the patterns in ordinal order; the first match wins.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +54,9 @@ EXPORT_NAMES = {
     "cluster_id": "簇ID",
     "cluster_size": "簇大小",
 }
-SOURCE_TEXT_COLUMN = "微博正文"
 
-# Cue words for the built-in rule scorers, taken from the label definitions
-# and worked examples in the reference's prompts (fixed values).
+# Cue words for the built-in rule scorers: defaults that a caller replaces by
+# passing another taxonomy.
 DEMAND_CUES = {
     "基础层": ["安检", "故障", "延误", "急刹", "安全", "准点"],
     "保障层": ["设施", "电梯", "扶梯", "直达", "支付", "诉求", "动线", "通车", "运营"],
@@ -74,7 +73,7 @@ DEMAND_CUES_ALT = {
 }
 # Sentiment cue order: comparison cues, then negative, then positive.
 SENTIMENT_RULES = [
-    ("正面", ["不如南京地铁", "比以前好"]),
+    ("正面", ["比以前好"]),
     ("负面", ["不如", "不满", "批评", "抱怨", "太低", "耽误", "不舒服", "窒息", "太冷", "太热", "希望改进", "拥挤"]),
     ("正面", ["认可", "满意", "怀念", "向往", "自豪", "纪念", "赞赏", "热情", "清晰", "干净", "舒适", "很好", "凉快", "熟悉", "贴心", "温暖"]),
 ]
@@ -98,12 +97,6 @@ FACTOR_CUES = [
 ]
 # ---------------------------------------------------------------------------
 
-COLS = (
-    "row_id text demand sentiment sentiment_code factors n_factors cluster_id cluster_size "
-    "n share precision recall f1 support accuracy"
-).split()
-
-
 def literal_alternation(words: list[str]) -> str:
     """A regex that matches any of the given literal words (first listed word wins at a position)."""
     return "|".join(re.escape(w) for w in words)
@@ -164,6 +157,8 @@ class Taxonomy:
     default: str
     name: str = "label"
     extra: dict = field(default_factory=dict, compare=False)
+    #: The (label, words) that the patterns stand for.
+    cues: tuple = field(default=(), compare=False)
 
     @staticmethod
     def from_cues(cues: dict[str, list[str]] | list[tuple[str, list[str]]], default: str, name: str = "label",
@@ -178,7 +173,7 @@ class Taxonomy:
         if default not in labels:
             labels.append(default)
             patterns.append(None)
-        return Taxonomy(tuple(labels), tuple(patterns), default, name)
+        return Taxonomy(tuple(labels), tuple(patterns), default, name, cues=tuple(items))
 
     @property
     def categories(self) -> list[str]:
@@ -209,7 +204,9 @@ def demand_taxonomy(alternate: bool = False) -> Taxonomy:
     return Taxonomy.from_cues(DEMAND_CUES, DEMAND_DEFAULT, "demand", DEMAND_LABELS)
 
 
-def sentiment_taxonomy() -> Taxonomy:
-    t = Taxonomy.from_cues(SENTIMENT_RULES, SENTIMENT_DEFAULT, "sentiment")
+def sentiment_taxonomy(subject: str = "南京地铁") -> Taxonomy:
+    """``subject``: what the posts are about; "not as good as" it is praise."""
+    (label, cues), *rest = SENTIMENT_RULES
+    t = Taxonomy.from_cues([(label, [f"不如{subject}", *cues]), *rest], SENTIMENT_DEFAULT, "sentiment")
     # categories must follow the fixed order 正面/中性/负面 for reports
-    return Taxonomy(t.labels, t.patterns, t.default, t.name, {"order": SENTIMENT_LABELS})
+    return replace(t, extra={"order": SENTIMENT_LABELS})

@@ -24,13 +24,15 @@ STATS_JSON_SCHEMA = T.StructType([
 ])
 
 
-def write_csv(df: DataFrame, path: str | None = None, export_names: bool = False, mode: str = "overwrite") -> str:
-    """K1/K6: header, RFC-4180 quoting (quote doubled, not backslash-escaped), UTF-8."""
+def write_csv(df: DataFrame, path: str | None = None, export_names: bool = False, mode: str = "overwrite",
+              encoding: str = "UTF-8") -> str:
+    """K1/K6: header, RFC-4180 quoting (quote doubled, not backslash-escaped), white space kept."""
     path = path or scratch_path(df.sparkSession, "csv")
     if export_names:
         df = df.select(*[F.col(c).alias(S.EXPORT_NAMES.get(c, c)) for c in df.columns])
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-     .option("encoding", "UTF-8").csv(path))
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("encoding", encoding).csv(path))
     return path
 
 
@@ -41,12 +43,24 @@ def write_parquet(df: DataFrame, path: str | None = None, mode: str = "overwrite
 
 
 def write_stats_json(stats: DataFrame, path: str | None = None) -> str:
-    """K3: one JSON object per group: key, total, ordered top factors (UTF-8, non-ASCII kept)."""
+    """K3 as lines: one JSON object per group with key, total and ordered top factors (UTF-8, non-ASCII kept)."""
     path = path or scratch_path(stats.sparkSession, "stats-json")
     stats.coalesce(1).write.mode("overwrite").json(path)  # one row per (demand, sentiment): bounded
     return path
 
 
+def write_stats_object(stats: DataFrame, path: str | None = None) -> str:
+    """K3 as the reference writes it: one object ``{group: {总记录数, 高频因素: {factor: n}}}``, groups in
+    first-seen order. It holds one entry per (demand, sentiment) label pair, so it is one small value."""
+    path = path or scratch_path(stats.sparkSession, "stats-object")
+    entry = lambda x: F.concat(F.to_json(F.array(x["group_key"])), F.lit(":"), x["json"])
+    one = stats.agg(F.collect_list(F.struct("group_key", "json")).alias("g"))
+    key = lambda x: F.regexp_replace(entry(x), r'^\["((?:[^"\\\\]|\\\\.)*)"\]:', '"$1": ')
+    text = F.concat(F.lit("{"), F.array_join(F.transform("g", key), ", "), F.lit("}"))
+    one.select(text.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def listing_lines(groups: DataFrame, group_col: str = "cluster_id", order_col: str = "row_id",
                   text_col: str = "text") -> DataFrame:
     """K4 as rows: per group a header ``◆ 簇 <id> (共 <n> 条):`` (preceded by an empty
@@ -73,13 +87,14 @@ def _header_sql(group_col: str) -> str:
     return f"concat('\\n', format_string('◆ 簇 %s (共 %s 条):', cast({group_col} as string), cast(n as string)))"
 
 
-def write_listing(lines: DataFrame, path: str | None = None, group_col: str = "cluster_id") -> str:
+def write_listing(lines: DataFrame, path: str | None = None, group_col: str = "cluster_id", files: int | None = None) -> str:
     """K4: the listing as text, range-partitioned on (group, line_no) and sorted inside
     each file, so concatenating the part files in name order gives the reference's
     layout; a large group spreads over several files instead of one row or task."""
     path = path or scratch_path(lines.sparkSession, "listing")
-    (lines.repartitionByRange(group_col, "line_no").sortWithinPartitions(group_col, "line_no")
-     .select(F.col("line").alias("value")).write.mode("overwrite").text(path))
+    by = (group_col, "line_no")
+    dealt = lines.repartitionByRange(files, *by) if files else lines.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
     return path
 
 
@@ -99,8 +114,17 @@ def cluster_report_lines(report: DataFrame) -> DataFrame:
     return report.select("cluster_id", body.alias("value"))
 
 
-def write_cluster_report(report: DataFrame, path: str | None = None) -> str:
+# Fixed value: the title of the report's file.
+REPORT_TITLE = "南京地铁情感因素聚类结果 - 语义对齐标准表述"
+
+
+def write_cluster_report(report: DataFrame, path: str | None = None, title: str = REPORT_TITLE) -> str:
+    """K5: the title block, then the clusters by id; part files in name order give the report."""
     path = path or scratch_path(report.sparkSession, "cluster-report")
-    (cluster_report_lines(report).repartitionByRange("cluster_id").sortWithinPartitions("cluster_id")
+    rule = "=" * 60
+    block = report.sparkSession.range(1).select(
+        F.lit(0).alias("o"), F.lit(None).cast("long").alias("cluster_id"), F.lit(f"{rule}\n{title}\n{rule}\n").alias("value"))
+    body = cluster_report_lines(report).select(F.lit(1).alias("o"), F.col("cluster_id").cast("long").alias("cluster_id"), "value")
+    (block.unionByName(body).repartitionByRange("o", "cluster_id").sortWithinPartitions("o", "cluster_id")
      .select("value").write.mode("overwrite").text(path))
     return path

@@ -1,28 +1,38 @@
 """Encoding-tolerant CSV scans.
 
-1. ``binaryFile`` lists the files; the first ``probe_bytes`` of each file are cut
-   JVM-side and a strict-decode probe (``mapInPandas``, one row per file) picks
-   the first candidate encoding that decodes strictly and whose header holds the
-   required column. A wrong charset never fails inside Spark's CSV reader (it
-   yields U+FFFD or plausible nonsense), so the probe decides, as in the
-   reference.
-2. Files are grouped by encoding and read by Spark's CSV reader with
-   pandas-compatible quoting (``"`` doubled, multi-line cells), an explicit
-   all-string schema (no inference), and pandas' default NA strings as nulls.
-3. ``row_id`` is assigned once at ingestion: the file's rank in path order times
+1. One pass over all raw lines (the text source hands over bytes, files are
+   split) decodes every line strictly in every candidate encoding; a line break
+   is never part of a longer character in them, so a file decodes if its lines
+   do. Per file and split one row of flags is kept, and the header line. A wrong
+   charset never fails inside Spark's CSV reader (it yields U+FFFD or plausible
+   nonsense), so this decides: the first candidate that decodes the whole file
+   without U+FFFD and whose header holds the required column.
+2. A file that none decodes is an error or, with ``recover=True``, read with
+   replacement characters; without the required column it is then taken as
+   GB18030 bytes read as latin1 and repaired, as in the reference.
+3. Files are grouped by encoding and header and read by Spark's CSV reader with
+   pandas-compatible quoting (``"`` doubled, multi-line cells), all strings (no
+   inference), and pandas' default NA strings as nulls. Columns are matched by
+   name across files, never by position.
+4. ``row_id`` is assigned once at ingestion: the file's rank in path order times
    2^40 plus the row's position in the file (a multi-line CSV file is one
-   partition, read in order), so it is stable across re-reads of the same files.
+   task, read in order), so it is stable across re-reads of the same files.
 """
 
 from __future__ import annotations
 
 import codecs
+import csv
+import io
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxpop.session import materialize
+
 # Candidate orders of the reference's two readers, and pandas'
 # default NA strings (cells read as null).
 SIMPLE_ENCODINGS = ["gb18030", "gbk", "utf-8-sig", "utf-8"]
@@ -36,53 +46,49 @@ FILE_ID_SHIFT = 1 << 40
 
 
 def _header_cells(line: str) -> list[str]:
-    import csv
-    import io
-
     try:
         return next(csv.reader(io.StringIO(line)))
     except (StopIteration, csv.Error):
         return []
 
 
-def _probe(candidates: list[str], required: str | None, probe_bytes: int):
-    def decode_strict(raw: bytes, enc: str, truncated: bool) -> str | None:
-        # a head cut may split the last character: allow dropping up to 3 trailing bytes
-        for cut in (0, 1, 2, 3) if truncated else (0,):
-            try:
-                return codecs.decode(raw[: len(raw) - cut] if cut else raw, enc, errors="strict")
-            except (UnicodeDecodeError, LookupError):
-                continue
-        return None
+RECOVER_ENCODINGS = ["gb18030", "gbk", "utf-8"]
+
 
-    def run(it):
-        for pdf in it:
-            encs, oks = [], []
-            for raw, length in zip(pdf["head"], pdf["length"]):
-                raw = bytes(raw) if raw is not None else b""
-                chosen = None
-                for enc in candidates:
-                    text = decode_strict(raw, enc, length > probe_bytes)
-                    if text is None or text.strip() == "":
-                        continue
-                    header = text.lstrip("﻿").splitlines()[0] if text else ""
-                    if required is None or required in [h.strip() for h in _header_cells(header)]:
-                        chosen = enc
-                        break
-                encs.append(chosen)
-                oks.append(chosen is not None)
-            yield pd.DataFrame({"path": pdf["path"], "encoding": encs, "ok": oks})
-
-    return run
-
-
-def probe_encodings(spark: SparkSession, paths: str | list[str], required: str | None,
-                    candidates: list[str] | None = None, probe_bytes: int = 1 << 20) -> DataFrame:
-    """``(path, encoding, ok)`` per file; ``encoding`` null when no candidate fits."""
+def probe_encodings(spark: SparkSession, paths: str | list[str], candidates: list[str] | None = None) -> DataFrame:
+    """``(path, header, ok)`` per file: the bytes of its first line, and the candidates that decode all of it."""
     cands = candidates or ROBUST_ENCODINGS
-    files = (spark.read.format("binaryFile").load(paths)
-             .select("path", "length", F.substring("content", 1, probe_bytes).alias("head")))
-    return files.mapInPandas(_probe(cands, required, probe_bytes), "path string, encoding string, ok boolean")
+
+    def decodes(raw: bytes, enc: str) -> bool:
+        try:
+            return "\ufffd" not in codecs.decode(raw, enc, errors="strict")
+        except (UnicodeDecodeError, LookupError):
+            return False
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = set()
+        for f in frames:
+            for (path, start), part in f.groupby(["path", "start"], sort=False):
+                lines = part["line"].tolist()
+                block = b"\n".join(lines)
+                ok = [enc for enc in cands if decodes(block, enc)]
+                first = start == 0 and path not in begun
+                begun.add(path)
+                yield pd.DataFrame({"path": [path], "header": [lines[0] if first else None], "bad": [[e for e in cands if e not in ok]]})
+
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("value").cast("binary").alias("line"))
+    parts = lines.mapInPandas(run, "path string, header binary, bad array<string>")
+    every = F.array(*[F.lit(e) for e in cands])
+    return parts.groupBy("path").agg(
+        F.max("header").alias("header"), F.array_distinct(F.flatten(F.collect_set("bad"))).alias("bad")
+    ).select("path", "header", F.array_except(every, F.col("bad")).alias("ok"))
+
+
+def _header(raw: bytes | None, enc: str, errors: str = "strict") -> list[str]:
+    text = codecs.decode(bytes(raw or b""), enc, errors=errors).lstrip("\ufeff").rstrip("\r")
+    return [cell.strip() for cell in _header_cells(text)]
 
 
 STANDARD_CHARSETS = {"UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
@@ -96,6 +102,7 @@ def allow_charset(spark: SparkSession, charset: str) -> None:
 
 
 def _read_group(spark: SparkSession, paths: list[str], encoding: str, na_values: list[str]) -> DataFrame:
+    """Files of one encoding and one header."""
     allow_charset(spark, JAVA_CHARSET.get(encoding, encoding))
     reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
               .option("escape", '"').option("encoding", JAVA_CHARSET.get(encoding, encoding))
@@ -103,45 +110,65 @@ def _read_group(spark: SparkSession, paths: list[str], encoding: str, na_values:
     df = reader.csv(paths)  # all columns are strings without inferSchema
     cols = []
     for c in df.columns:
-        name = c.lstrip("﻿")  # a UTF-8 BOM may stick to the first header
+        name = c.lstrip("\ufeff").strip()  # a UTF-8 BOM may stick to the first header
         v = F.col(f"`{c}`")
         cols.append(F.when(v.isin(*na_values) | v.isNull(), F.lit(None).cast("string")).otherwise(v).alias(name))
-    return df.select(*cols, F.input_file_name().alias("_file"))
+    return df.select(*cols, F.col("_metadata.file_path").alias("_file"))
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
     """Stable ``row_id`` = file rank (path order) << 40 + position in the file (see module doc)."""
-    staged = df.withColumn("_m", F.monotonically_increasing_id())
-    pos = F.col("_m") - F.min("_m").over(Window.partitionBy("_file"))  # a file is one partition already
-    files = staged.select("_file").distinct()  # one row per file
-    ranks = files.withColumn("_fr", F.dense_rank().over(Window.orderBy("_file")) - 1)
-    return (staged.withColumn("_pos", pos).join(F.broadcast(ranks), "_file")
-            .withColumn("row_id", F.col("_fr").cast("long") * FILE_ID_SHIFT + F.col("_pos"))
-            .drop("_m", "_pos", "_fr"))
+    staged = materialize(df.withColumn("_m", F.monotonically_increasing_id()), "csv-rows")
+    files = staged.groupBy("_file").agg(F.min("_m").alias("_first"))  # one row per file
+    files = files.withColumn("_fr", F.row_number().over(Window.orderBy("_file")) - 1)
+    row_id = F.col("_fr").cast("long") * FILE_ID_SHIFT + F.col("_m") - F.col("_first")
+    return staged.join(files, "_file").withColumn("row_id", row_id).drop("_m", "_first", "_fr")
 
 
 def read_csv_tolerant(spark: SparkSession, paths: str | list[str], required: str | None = None,
                       candidates: list[str] | None = None, na_values: list[str] | None = None,
-                      probe_bytes: int = 1 << 20) -> DataFrame:
-    """S1/S2/S4 + P15: every file in the first encoding that decodes it strictly and
-    has the required column; raise before any job on the data when a file fits none."""
+                      recover: bool = False) -> DataFrame:
+    """S1/S2/S4 + P15: every file in the first encoding that decodes all of it strictly and
+    has the required column. A file that fits none is an error before any job on
+    the data, or with ``recover`` the reference's recovery (see module doc)."""
     na = PANDAS_NA_VALUES if na_values is None else na_values
-    probe = probe_encodings(spark, paths, required, candidates, probe_bytes).collect()  # one row per file
-    bad = [r.path for r in probe if not r.ok]
+    groups: dict[tuple, list[str]] = {}
+    bad: list[str] = []
+    for r in probe_encodings(spark, paths, candidates).collect():  # one row per file, as the file listing itself
+        if r.header is None or not bytes(r.header).strip():
+            bad.append(r.path)
+            continue
+        fits = [enc for enc in r.ok if required is None or required in _header(r.header, enc)]
+        mode = "strict"
+        if not fits and recover:
+            fits, mode = [e for e in RECOVER_ENCODINGS if required in _header(r.header, e, "replace")], "replace"
+            if not fits:
+                fits, mode = ["latin1"], "repair"
+        if not fits:
+            bad.append(r.path)
+            continue
+        errors = "strict" if mode == "strict" else "replace"
+        groups.setdefault((fits[0], mode, tuple(_header(r.header, fits[0], errors))), []).append(r.path)
     if bad:
         raise ValueError(f"no candidate encoding reads {bad[:5]} with column {required!r}")
-    groups: dict[str, list[str]] = {}
-    for r in probe:
-        groups.setdefault(r.encoding, []).append(r.path)
     out = None
-    for enc, ps in sorted(groups.items()):
+    for (enc, mode, _), ps in sorted(groups.items()):
         part = _read_group(spark, ps, enc, na)
+        if mode == "repair":
+            part = repair_mojibake(part, required)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no files under {paths}")
     if required is not None and required not in out.columns:
         raise ValueError(f"required column {required!r} missing; columns: {out.columns}")
     return with_row_ids(out)
 
 
+def read_csv_simple(spark: SparkSession, paths: str | list[str], required: str | None = None, **kw) -> DataFrame:
+    """The short candidate list of the reference's simple reader."""
+    return read_csv_tolerant(spark, paths, required, candidates=SIMPLE_ENCODINGS, **kw)
+
+
 def read_optional(spark: SparkSession, path: str | None, required: str, **kw) -> DataFrame | None:
     """A table used only if it exists and has the column; any failure -> None."""
     if not path:
@@ -152,9 +179,9 @@ def read_optional(spark: SparkSession, path: str | None, required: str, **kw) ->
         return None
 
 
-@F.pandas_udf(T.StringType())
-def _latin1_to_gb18030(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v.encode("latin1").decode("gb18030", errors="ignore") if isinstance(v, str) else v)
+def _latin1_to_gb18030(c):
+    """latin1 bytes decoded as GB18030, bytes that are no character left out (Python's ``errors='ignore'``)."""
+    return F.regexp_replace(F.decode(F.encode(c, "ISO-8859-1"), "GB18030"), "\ufffd", "")
 
 
 def repair_mojibake(df: DataFrame, required: str | None = None) -> DataFrame:
@@ -173,6 +200,7 @@ def repair_mojibake(df: DataFrame, required: str | None = None) -> DataFrame:
     strings = [f.name for f in renamed.schema.fields if isinstance(f.dataType, T.StringType) and not f.name.startswith("_")]
     if not strings:
         return renamed
+    allow_charset(df.sparkSession, "GB18030")
     latin = "^[\\x00-\\xFF]*$"
     checks = renamed.agg(*[F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").rlike(latin)).alias(f"c{i}")
                            for i, c in enumerate(strings)]).first()  # one row of flags

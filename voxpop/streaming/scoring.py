@@ -1,8 +1,9 @@
 """Incremental and resumable scoring (ST1, ST2, K2).
 
 * ``resume_scoring`` (K2 re-aimed): a result table keyed by ``row_id``; each run
-  scores only ``src ⟕anti done`` and appends. A crash loses at most the batch in
-  flight; nothing is scored twice.
+  scores only ``src ⟕anti done``, in hashed slices that are committed one by one.
+  A crash loses at most the slice in flight; what is committed is never scored
+  again.
 * ``stream_labels`` (ST1): ``readStream`` over new post files -> stateless rule
   scoring -> ``foreachBatch`` writing ``<out>/batch=<id>`` with overwrite, so a
   replayed batch id rewrites the same folder (idempotent); with the checkpoint a
@@ -19,17 +20,27 @@ from pyspark.sql import types as T
 
 from voxpop import schema as S
 from voxpop.operators import scoring as SC
+from voxpop.session import path_exists
 
 
-def resume_scoring(src: DataFrame, done_path: str, score, key: str = "row_id") -> DataFrame:
-    """K2: score rows of ``src`` not yet in ``done_path`` and append them; returns the whole result table."""
+def resume_scoring(src: DataFrame, done_path: str, score, key: str = "row_id", slices: int = 16) -> DataFrame:
+    """K2: score rows of ``src`` not yet in ``done_path`` and append them; returns the whole result table.
+
+    Every slice is one committed append. A result table that cannot be read, or
+    lacks the key, is an error: taking it for a first run would score rows twice.
+    """
     spark = src.sparkSession
-    try:
-        done = spark.read.parquet(done_path)
-        todo = src.join(done.select(key), key, "left_anti")
-    except Exception:  # noqa: BLE001 - first run: nothing done yet
-        todo = src
-    score(todo).write.mode("append").parquet(done_path)
+    for i in range(slices):
+        todo = src.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
+        if path_exists(spark, f"{done_path}/_SUCCESS"):
+            done = spark.read.parquet(done_path)
+            if key not in done.columns:
+                raise ValueError(f"result table {done_path} has no column {key!r}")
+            todo = todo.join(done.select(key), key, "left_anti")
+        scored = score(todo)
+        if key not in scored.columns:
+            raise ValueError(f"scored rows have no column {key!r}")
+        scored.write.mode("append").parquet(done_path)
     return spark.read.parquet(done_path)
 
 
