@@ -31,7 +31,7 @@ from voxpop.llm.common import connected_components, written
 from voxpop.session import ship_package
 
 SUBSPACES = 4
-CHUNK = 4096
+CHUNK = 16384
 #: Most pivots; cells that are too large for them are split into chunks.
 PIVOTS = 256
 _TILE = 1024
