@@ -113,7 +113,7 @@ def _materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def ward_merges(points: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, tail_clusters: int = 1024) -> DataFrame:
+def ward_merges(points: DataFrame, pairs: DataFrame, tail_clusters: int = 256) -> DataFrame:
     """V4. ``points(id, w)``: distinct points with multiplicity; ``pairs(i, j, dist)``: all i < j.
 
     Returns the merge table ``(child, parent, height, size, round)``: ``child`` is
@@ -143,7 +143,7 @@ def ward_merges(points: DataFrame, pairs: DataFrame, max_rounds: int = 100_000,
     p = _materialize(p, f"{state}/pairs-0")
     parts: list[DataFrame] = []
     rnd = 0
-    while n_clusters > max(1, tail_clusters) and rnd < max_rounds:
+    while n_clusters > max(1, tail_clusters):
         rnd += 1
         t_round = time.time()
         cx = _bc(clusters, n_clusters).select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("sw").alias("swx"))

@@ -394,7 +394,13 @@ def q_threshold_sweep(spark, sf_dir):
 
 
 def q_ward_merges(spark, sf_dir):
-    return _ward(spark, sf_dir).merges
+    return _ward(spark, sf_dir).merges.withColumn("height", F.round("height", 6))
+
+
+def q_pca_abs(spark, sf_dir):
+    """V11 without the signs of the axes, which are arbitrary."""
+    p = V.pca_2d(_emb(spark, sf_dir), "embedding", "vec_id")
+    return p.select("vec_id", F.round(F.abs("pc1"), 5).alias("pc1"), F.round(F.abs("pc2"), 5).alias("pc2"))
 
 
 def q_pca_2d(spark, sf_dir):
@@ -438,8 +444,86 @@ def _theme_sql() -> str:
     """
 
 
+# Ward by recursion: all reciprocal nearest neighbours merge in each step, as in any reducible linkage.
+WARD_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p0 AS (SELECT a.vec_id AS a, b.vec_id AS b, pow(greatest(0.0, 1 - list_cosine_similarity(a.e, b.e)), 2) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id),
+r(it, a, b, s, na, nb, wa, wb) AS (
+  SELECT 0, a, b, s, 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM p0
+  UNION ALL
+  SELECT x.it + 1, x.a, x.b, x.s, x.na, x.nb, x.wa, x.wb FROM (
+    WITH d AS (SELECT *, 2 * na * nb / (na + nb) * (s / (na * nb) - wa / (na * na) - wb / (nb * nb)) AS h FROM r),
+    o AS (SELECT a AS x, b AS y, h FROM d UNION ALL SELECT b, a, h FROM d),
+    nn AS (SELECT x, arg_min(y, h) AS y FROM o GROUP BY x),
+    m AS (SELECT f.x AS keep, f.y AS gone FROM nn f JOIN nn g ON f.x = g.y AND f.y = g.x WHERE f.x < f.y),
+    st AS (SELECT keep, gone, na + nb AS n, wa + wb + s AS w FROM m JOIN d ON a = keep AND b = gone),
+    q AS (
+      SELECT d.it, coalesce(ga.keep, d.a) AS a, coalesce(gb.keep, d.b) AS b, d.s,
+             coalesce(ga.n, ka.n, d.na) AS na, coalesce(gb.n, kb.n, d.nb) AS nb,
+             coalesce(ga.w, ka.w, d.wa) AS wa, coalesce(gb.w, kb.w, d.wb) AS wb
+      FROM d LEFT JOIN st ga ON ga.gone = d.a LEFT JOIN st gb ON gb.gone = d.b
+             LEFT JOIN st ka ON ka.keep = d.a LEFT JOIN st kb ON kb.keep = d.b)
+    SELECT max(it) AS it, least(a, b) AS a, greatest(a, b) AS b, sum(s) AS s,
+           any_value(CASE WHEN a < b THEN na ELSE nb END) AS na, any_value(CASE WHEN a < b THEN nb ELSE na END) AS nb,
+           any_value(CASE WHEN a < b THEN wa ELSE wb END) AS wa, any_value(CASE WHEN a < b THEN wb ELSE wa END) AS wb
+    FROM q WHERE a <> b GROUP BY least(a, b), greatest(a, b)) x),
+d AS (SELECT *, 2 * na * nb / (na + nb) * (s / (na * nb) - wa / (na * na) - wb / (nb * nb)) AS h FROM r),
+o AS (SELECT it, a AS x, b AS y, h FROM d UNION ALL SELECT it, b, a, h FROM d),
+nn AS (SELECT it, x, arg_min(y, h) AS y FROM o GROUP BY it, x),
+m AS (SELECT f.it, f.x AS keep, f.y AS gone FROM nn f JOIN nn g ON f.it = g.it AND f.x = g.y AND f.y = g.x WHERE f.x < f.y),
+t AS (SELECT m.it, gone AS child, keep AS parent, sqrt(greatest(0.0, h)) AS height, na + nb AS size FROM m JOIN d ON d.it = m.it AND a = keep AND b = gone)"""
+
+SWEEP_SQL = WARD_SQL + """,
+cut AS (SELECT th, (1 - th) * (SELECT max(height) FROM t) * 0.7 AS t
+        FROM (SELECT 0.67 + (0.87 - 0.67) * unnest(range(15)) / 14.0 AS th)),
+path(th, t, id, rep) AS (
+  SELECT th, t, vec_id, vec_id FROM cut, v
+  UNION ALL SELECT path.th, path.t, path.id, t.parent FROM path JOIN t ON t.child = path.rep AND t.height <= path.t),
+flat AS (SELECT th, id, min(rep) AS rep FROM path GROUP BY th, id),
+size AS (SELECT th, rep, count(*) AS size FROM flat GROUP BY th, rep),
+per AS (SELECT th, count(*) AS n_clusters, count(*) FILTER (size > 1) AS n_valid FROM size GROUP BY th),
+ok AS (SELECT flat.th, id, flat.rep FROM flat JOIN size ON size.th = flat.th AND size.rep = flat.rep JOIN per ON per.th = flat.th
+       WHERE size > 1 AND n_valid >= 2),
+dist AS (SELECT a, b, sqrt(s) AS d FROM p0 UNION ALL SELECT b, a, sqrt(s) FROM p0),
+mean AS (SELECT x.th, x.id, x.rep, y.rep AS other, avg(d) AS md FROM ok x JOIN ok y ON x.th = y.th AND x.id <> y.id
+         JOIN dist ON dist.a = x.id AND dist.b = y.id GROUP BY ALL),
+own AS (SELECT th, id, max(CASE WHEN other = rep THEN md END) AS a, min(CASE WHEN other <> rep THEN md END) AS b FROM mean GROUP BY th, id),
+sil AS (SELECT th, avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM own GROUP BY th)
+"""
+
+
 def oracle_more() -> dict[str, str]:
     return {
+        "ward_merges": WARD_SQL + """
+            SELECT child, parent, round(height, 6) AS height, size, (it + 1)::INTEGER AS round FROM t""",
+        "threshold_sweep": SWEEP_SQL + """
+            SELECT round(cut.th, 6) AS th, round(cut.t, 6) AS t, n_clusters, n_valid, round(silhouette, 6) AS silhouette
+            FROM cut JOIN per USING (th) LEFT JOIN sil USING (th)""",
+        "ward_clusters": SWEEP_SQL + """
+            SELECT id AS row_id, flat.rep AS cluster_id, size AS cluster_size
+            FROM flat JOIN size ON size.th = flat.th AND size.rep = flat.rep
+            WHERE flat.th = (SELECT th FROM sil ORDER BY silhouette DESC, th LIMIT 1)""",
+        "pca_abs": """
+            WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+            u AS (SELECT vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS c FROM e),
+            mu AS (SELECT i, avg(c) AS m FROM u GROUP BY i),
+            w AS (SELECT vec_id, u.i, c - m AS c FROM u JOIN mu USING (i)),
+            z AS (SELECT vec_id, list(c ORDER BY i) AS x FROM w GROUP BY vec_id),
+            cov AS (SELECT a.i, b.i AS j, sum(a.c * b.c) AS s FROM w a JOIN w b USING (vec_id) GROUP BY ALL),
+            m1 AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(s ORDER BY j) AS r FROM cov GROUP BY i)),
+            it1(n, v) AS (
+              SELECT 0, list_transform(c, lambda r, k: 1.0 + k / 100) FROM m1
+              UNION ALL SELECT n + 1, list_transform(y, lambda t: t / sqrt(list_dot_product(y, y)))
+              FROM (SELECT n, list_transform(c, lambda r: list_dot_product(r, v)) AS y FROM it1, m1 WHERE n < 3000)),
+            v1 AS (SELECT v FROM it1 WHERE n = 3000),
+            m2 AS (SELECT list_transform(c, lambda r, i: list_transform(r, lambda s, j: s - l * v[i] * v[j])) AS c
+                   FROM (SELECT c, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM m1, v1)),
+            it2(n, v) AS (
+              SELECT 0, list_transform(c, lambda r, k: 1.0 - k / 90) FROM m2
+              UNION ALL SELECT n + 1, list_transform(y, lambda t: t / sqrt(list_dot_product(y, y)))
+              FROM (SELECT n, list_transform(c, lambda r: list_dot_product(r, v)) AS y FROM it2, m2 WHERE n < 3000)),
+            v2 AS (SELECT v FROM it2 WHERE n = 3000)
+            SELECT vec_id, round(abs(list_dot_product(x, v1.v)), 5) AS pc1, round(abs(list_dot_product(x, v2.v)), 5) AS pc2 FROM z, v1, v2""",
         "cosine_pairs": """
             WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
             SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS sim,
@@ -507,6 +591,7 @@ def registry_more() -> dict:
         "threshold_sweep": q_threshold_sweep,
         "ward_merges": q_ward_merges,
         "pca_2d": q_pca_2d,
+        "pca_abs": q_pca_abs,
         "text_vectors": q_text_vectors,
         "theme_cooccurrence": q_theme_cooccurrence,
         "theme_communities": q_theme_communities,
