@@ -193,6 +193,19 @@ def test_cooccurrence_and_communities(spark):
     assert NW.modularity(e, comm) > 0.3
 
 
+def test_community_levels_contract(spark):
+    """A ring of 12 triangles: the second level joins neighbouring triangles only if that raises Q."""
+    edges = []
+    for c in range(12):
+        a, b, d = (f"n{c:02d}{x}" for x in "abd")
+        edges += [(a, b, 3), (a, d, 3), (b, d, 3), (min(d, f"n{(c + 1) % 12:02d}a"), max(d, f"n{(c + 1) % 12:02d}a"), 1)]
+    e = spark.createDataFrame(edges, "a string, b string, weight long")
+    comm, levels = NW.community_levels(e)
+    got = {r.node: r.community for r in comm.collect()}
+    assert len(got) == 36 and all(got[f"n{c:02d}a"] == got[f"n{c:02d}b"] == got[f"n{c:02d}d"] for c in range(12))
+    assert levels == sorted(levels) and abs(levels[-1] - NW.modularity(e, comm)) < 1e-9 and levels[-1] > 0.75
+
+
 def test_text_vectors_unit_and_equal(spark):
     df = spark.createDataFrame([(0, "列车空调"), (1, "列车空调"), (2, "安检服务")], "row_id long, text string")
     v = {r.row_id: np.array(r.embedding) for r in V.text_vectors(df).collect()}

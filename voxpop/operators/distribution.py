@@ -53,11 +53,10 @@ def row_counts(df: DataFrame, n_factors_col: str = "n_factors") -> DataFrame:
 def demand_sentiment_table(labelled: DataFrame, demand_col: str = "demand", sentiment_col: str = "sentiment",
                            with_totals: bool = True) -> DataFrame:
     """Demand x sentiment counts; ``cube`` adds the margins (null = all)."""
-    if with_totals:
-        g = labelled.cube(demand_col, sentiment_col)
-    else:
-        g = labelled.groupBy(demand_col, sentiment_col)
-    return g.agg(F.count(F.lit(1)).alias("n"))
+    cells = labelled.groupBy(demand_col, sentiment_col).agg(F.count(F.lit(1)).alias("n"))
+    if not with_totals:
+        return cells
+    return cells.cube(demand_col, sentiment_col).agg(F.sum("n").alias("n"))  # of the few cells, not of every post
 
 
 def demand_sentiment_wide(labelled: DataFrame, demand_col: str = "demand", sentiment_col: str = "sentiment") -> DataFrame:

@@ -64,22 +64,60 @@ def _degrees(edges: DataFrame) -> DataFrame:
 def communities(edges: DataFrame) -> DataFrame:
     """``(node, community)``; community id = a member node's name (string).
 
-    Rounds go on until no node moves in either direction, or until a round in
-    each direction no longer raises the modularity.
+    Levels of local moving by modularity gain: after each, communities become
+    the nodes of a smaller graph (inner weight as loops), until no level moves
+    anything.
     """
+    return community_levels(edges)[0]
+
+
+def community_levels(edges: DataFrame) -> tuple[DataFrame, list[float]]:
+    """The communities and the modularity Q after each level."""
+    edges = materialize(edges.select("a", "b", "weight"), "net-level")
     m = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
-    deg = materialize(_degrees(edges), "net-degrees")
-    comm = deg.select("node", F.col("node").alias("community"))
+    comm = _degrees(edges).select("node", F.col("node").alias("community"))
     if m == 0:
-        return comm
+        return comm, []
+    graph, loops = edges, edges.select(F.col("a").alias("node"), "weight").limit(0)
+    levels: list[float] = []
+    while True:
+        moved = materialize(_moved(graph, loops, m), "net-moved")
+        if moved.where("node <> community").isEmpty():
+            return comm, levels
+        up = moved.select(F.col("node").alias("community"), F.col("community").alias("_up"))
+        comm = materialize(comm.join(up, "community", "left").select("node", F.coalesce("_up", "community").alias("community")), "net-comm")
+        levels.append(modularity(edges, comm))
+        to = lambda c: moved.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+        merged = graph.join(to("a"), "a").join(to("b"), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight")
+        merged = materialize(merged.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "net-level")
+        inner = merged.where("a = b").select(F.col("a").alias("node"), "weight").unionByName(
+            loops.join(moved, "node").select(F.col("community").alias("node"), "weight"))
+        loops = materialize(inner.groupBy("node").agg(F.sum("weight").alias("weight")), "net-loops")
+        graph = merged.where("a <> b")
+
+
+def _quality(edges: DataFrame, deg: DataFrame, comm: DataFrame, m: float) -> float:
+    """Modularity of a level's graph but for the share of its loops, which no move changes."""
+    to = lambda c: comm.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    inner = edges.join(to("a"), "a").join(to("b"), "b").where("ca = cb").agg(F.sum("weight")).first()[0] or 0.0
+    spread = deg.join(comm, "node").groupBy("community").agg(F.sum("k").alias("d")).agg(F.sum(F.pow(F.col("d") / (2.0 * m), 2))).first()[0] or 0.0
+    return float(inner) / m - float(spread)
+
+
+def _moved(edges: DataFrame, loops: DataFrame, m: float) -> DataFrame:
+    """One level: ``(node, community)``. Rounds go on until no node moves in either direction, or
+    until a round in each direction no longer raises the modularity of the level's graph."""
+    both = _degrees(edges).unionByName(loops.select("node", (2 * F.col("weight")).alias("k")))
+    deg = materialize(both.groupBy("node").agg(F.sum("k").alias("k")), "net-degrees")
+    comm = deg.select("node", F.col("node").alias("community"))
     und = materialize(edges.select("a", "b", "weight").unionByName(
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "net-edges")
-    idle, rnd, best_q = 0, -1, -1.0
+    idle, rnd, best_q = 0, -1, -2.0
     while True:
         rnd += 1
         comm = materialize(comm, "net-comm")
         if rnd and rnd % 2 == 0:
-            q = modularity(edges, comm)
+            q = _quality(edges, deg, comm, m)
             if q <= best_q + 1e-12:
                 break
             best_q = q

@@ -9,7 +9,8 @@
   replayed batch id rewrites the same folder (idempotent); with the checkpoint a
   restart scores only files it has not seen. ``trigger(availableNow=True)``.
 * ``stream_distribution`` (ST2): running label counts over the scored stream
-  (streaming ``groupBy().count()`` in complete mode).
+  (streaming ``groupBy().count()`` in complete mode, each result replacing the
+  last one in the folder beside the checkpoint).
 """
 
 from __future__ import annotations
@@ -72,7 +73,9 @@ def stream_distribution(spark: SparkSession, scored_path: str, schema: T.StructT
     counts = (spark.readStream.schema(schema).parquet(scored_path)
               .groupBy(label_col).agg(F.count(F.when(~F.col("is_blank"), 1)).alias("n"),
                                       F.count(F.lit(1)).alias("rows")))
-    q = (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
+    out = f"{checkpoint}-counts"
+    q = (counts.writeStream.outputMode("complete").queryName(query_name)
+         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(query_name)
+    return spark.read.parquet(out)
