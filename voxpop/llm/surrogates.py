@@ -35,7 +35,8 @@ MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н"
 NEUTRAL = "Dr|Prof"
 _TITLE = rf"(?<![\p{{L}}0-9])(?:{FEMALE}|{MALE}|{NEUTRAL})\.?"
 _WORD = r"\p{Lu}\p{Ll}{1,20}(?!\p{L})"
-NAME = rf"(?<={_TITLE} ){_WORD}|(?<={_TITLE} \p{{Lu}}\p{{Ll}}{{1,20}} ){_WORD}"
+# the capital is looked at first: looking behind at every place would be slow
+NAME = rf"(?=\p{{Lu}})(?:(?<={_TITLE} ){_WORD}|(?<={_TITLE} \p{{Lu}}\p{{Ll}}{{1,20}} ){_WORD})"
 PATTERN = "|".join((EMAIL, IPV4, CARD, SSN, PHONE, NAME))
 ATTEMPTS = 40
 #: Syllables of surrogate names: consonants, vowels, and the endings of female, male and other names.
