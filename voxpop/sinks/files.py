@@ -114,8 +114,8 @@ def cluster_report_lines(report: DataFrame) -> DataFrame:
     return report.select("cluster_id", body.alias("value"))
 
 
-# Fixed value: the title of the report's file.
-REPORT_TITLE = "南京地铁情感因素聚类结果 - 语义对齐标准表述"
+# Default title of the report; callers put their subject before it.
+REPORT_TITLE = "情感因素聚类结果 - 语义对齐标准表述"
 
 
 def write_cluster_report(report: DataFrame, path: str | None = None, title: str = REPORT_TITLE) -> str:
