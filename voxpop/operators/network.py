@@ -152,9 +152,16 @@ def _moved(edges: DataFrame, loops: DataFrame, m: float) -> DataFrame:
     return comm
 
 
-def theme_table(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """Per theme: frequency (rows), negative rows and majority sentiment (ties -> larger code)."""
-    tr = theme_rows(df, key).withColumn("code", R.sentiment_code("sentiment", 0))
+def theme_table(df: DataFrame, key: str = "row_id", themes: DataFrame | None = None) -> DataFrame:
+    """Per theme: frequency (rows), negative rows and majority sentiment (ties -> larger code).
+
+    Themes are a row's factors, or with ``themes(key, theme)`` e.g. the names of its clusters.
+    """
+    if themes is None:
+        tr = theme_rows(df, key)
+    else:
+        tr = df.select(key, "sentiment").join(themes.select(key, "theme").distinct(), key)
+    tr = tr.withColumn("code", R.sentiment_code("sentiment", 0))
     per = tr.groupBy("theme", "sentiment", "code").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("theme").agg(
         F.sum("n").alias("frequency"),
@@ -164,17 +171,17 @@ def theme_table(df: DataFrame, key: str = "row_id") -> DataFrame:
         F.col("_maj.sentiment").alias("sentiment"))
 
 
-def theme_ranking(df: DataFrame, k: int | None = None, key: str = "row_id") -> DataFrame:
+def theme_ranking(df: DataFrame, k: int | None = None, key: str = "row_id", themes: DataFrame | None = None) -> DataFrame:
     """Themes ``(rank, theme, frequency, sentiment)``, all of them or the top k."""
-    top = theme_table(df, key)
+    top = theme_table(df, key, themes)
     top = top.orderBy(F.desc("frequency"), F.asc("theme")).limit(k) if k else top
     w = Window.orderBy(F.desc("frequency"), F.asc("theme"))  # over the themes, not the rows
     return top.withColumn("rank", F.row_number().over(w).cast("long")).select("rank", "theme", "frequency", "sentiment")
 
 
-def theme_priority(df: DataFrame, k: int | None = None, key: str = "row_id") -> DataFrame:
+def theme_priority(df: DataFrame, k: int | None = None, key: str = "row_id", themes: DataFrame | None = None) -> DataFrame:
     """Themes (all, or the top k) by negative share x frequency (= negative rows), ties by frequency desc, theme asc."""
-    t = theme_table(df, key).withColumn("negative_share", F.col("n_negative") / F.col("frequency")) \
+    t = theme_table(df, key, themes).withColumn("negative_share", F.col("n_negative") / F.col("frequency")) \
         .withColumn("priority", F.col("negative_share") * F.col("frequency"))
     top = t.orderBy(F.desc("priority"), F.desc("frequency"), F.asc("theme")).limit(k) if k else t
     w = Window.orderBy(F.desc("priority"), F.desc("frequency"), F.asc("theme"))  # over the themes, not the rows

@@ -227,6 +227,17 @@ def q_cluster_report_lines(spark, sf_dir):
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
+def q_cluster_theme_priority(spark, sf_dir):
+    """G3, G4 with clusters as themes: here the four (quality, toxic) groups of ``labels``."""
+    from voxpop.operators import network as NW
+
+    p = SC.label_with_rules(TB.posts(spark, sf_dir), TB.demo_sentiment(), "text", "sentiment")
+    themes = TB.load(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("row_id"), F.concat(F.lit("c"), F.col("quality") * 2 + F.col("toxic")).alias("theme"))
+    ranking = NW.theme_ranking(p, themes=themes).select("theme", F.col("rank").alias("frequency_rank"), "sentiment")
+    return NW.theme_priority(p, themes=themes).join(ranking, "theme")
+
+
 def registry() -> dict:
     return {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
 
@@ -307,6 +318,15 @@ def oracle() -> dict[str, str]:
             SELECT row_id, array_to_string(factors, '，') AS factors_text, CAST(len(factors) AS BIGINT) AS n_factors,
                    CASE WHEN text IS NOT NULL AND n % 11 = 0 THEN 'RuntimeError: no reply' END AS score_error
             FROM f""",
+        "cluster_theme_priority": f"""
+            WITH p AS (SELECT 'c' || (quality * 2 + toxic) AS theme, {G.labelled_case(TB.demo_sentiment())} AS sentiment FROM labels JOIN documents USING (doc_id)),
+            per AS (SELECT theme, sentiment, count(*) AS n, CASE sentiment WHEN '正面' THEN 1 WHEN '负面' THEN -1 ELSE 0 END AS code FROM p GROUP BY ALL),
+            maj AS (SELECT theme, sentiment FROM per QUALIFY row_number() OVER (PARTITION BY theme ORDER BY n DESC, code DESC) = 1),
+            t AS (SELECT theme, sum(n)::BIGINT AS frequency, sum(CASE WHEN sentiment = '负面' THEN n ELSE 0 END)::BIGINT AS n_negative FROM per GROUP BY theme)
+            SELECT theme, frequency, n_negative, round(n_negative / frequency, 6) AS negative_share, round(n_negative / frequency * frequency, 6) AS priority,
+                   row_number() OVER (ORDER BY n_negative / frequency * frequency DESC, frequency DESC, theme) AS rank,
+                   row_number() OVER (ORDER BY frequency DESC, theme) AS frequency_rank, maj.sentiment
+            FROM t JOIN maj USING (theme)""",
         "scored_names": """
             WITH m AS (SELECT quality * 2 + toxic AS cluster_id, doc_id, lang || '/' || source AS t FROM labels JOIN documents USING (doc_id)),
             c AS (SELECT cluster_id, count(*) AS cluster_size, count(DISTINCT t) AS k, arg_min(t, doc_id) AS first FROM m GROUP BY 1)
