@@ -275,20 +275,29 @@ def near_duplicates(
     links, _ = written(_confirmed(pairs, texts, size, percent), "links")
     comps, _ = written(connected_components(links), "comps")
 
-    def apart(df: DataFrame) -> DataFrame:
-        """The pairs (a, b) in different components so far."""
+    def placed_pairs(df: DataFrame) -> DataFrame:
+        """Pairs (a, b) with their components so far, ca and cb."""
         of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
         both = df.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        return both.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+
+    def apart(df: DataFrame) -> DataFrame:
+        """The pairs (a, b) in different components so far."""
+        return placed_pairs(df).where("ca <> cb").select("a", "b")
 
     def more(pairs: DataFrame) -> None:
-        """Confirms pairs and merges the components."""
-        nonlocal links, comps
+        """Confirms pairs and merges the components, which are the nodes of a small graph."""
+        nonlocal comps
         found, _ = written(_confirmed(pairs, texts, size, percent), "links")
         if found.isEmpty():
             return
-        links = links.unionByName(found)
-        comps, _ = written(connected_components(links), "comps")
+        found = placed_pairs(found)
+        merged = connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_new"))
+        nodes = comps.unionByName(found.select(F.col("a").alias("node"), F.col("ca").alias("component")))
+        nodes = nodes.unionByName(found.select(F.col("b").alias("node"), F.col("cb").alias("component"))).distinct()
+        nodes = nodes.join(merged, "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
+        comps, _ = written(nodes, "comps")
 
     more(apart(star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()))
 
