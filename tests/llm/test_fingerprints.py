@@ -18,15 +18,16 @@ def brute(text):
 
     mix = lambda x: int(P._mix(np.array([x], np.uint64))[0])
     out = []
-    for i in range(len(codes) - P.K + 1):
-        order = [mix(poly(codes[j : j + P.S])) for j in range(i, i + P.K - P.S + 1)]
+    k, s = (P.K, P.S) if len(text) >= P.SHORT else (2 * P.SHORT_S, P.SHORT_S)
+    for i in range(len(codes) - k + 1):
+        order = [mix(poly(codes[j : j + s])) for j in range(i, i + k - s + 1)]
         if min(order) in (order[0], order[-1]):
-            out.append((i, mix(poly(codes[i : i + P.K]))))
+            out.append((i, mix(poly(codes[i : i + k]))))
     return out
 
 
 def test_syncmers_follow_the_definition():
-    for text in ("the quick brown fox jumps over the lazy dog " * 3, "é😀x" * 20, "a" * 40, "0123456789abcdef"):
+    for text in ("the quick brown fox jumps over the lazy dog " * 3, "é😀x" * 20, "a" * 40, "0123456789abcdef", "abcd", "x" * 64, "y" * 63):
         at, h = P.syncmers(text)
         assert list(zip(at.tolist(), h.tolist(), strict=True)) == brute(text)
 

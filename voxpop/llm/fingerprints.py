@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from voxpop.session import ship_package
 
 K, S = 16, 8  # K = 2 * S
+#: Texts shorter than ``SHORT`` have too few long k-mers; they take k-mers of 4 and s-mers of 2.
+SHORT, SHORT_S = 64, 2
 SIZE = 64
 #: Rows that a range of ids holds on average, and most ranges.
 RANGE_ROWS, RANGES = 5000, 2000
@@ -48,24 +50,26 @@ _POWERS = _powers()  # B, B^2, B^4, B^8
 
 
 def syncmers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (code points) and hashes of the closed syncmers; a text shorter than K is one anchor, an empty one none."""
+    """Positions (code points) and hashes of the closed syncmers; a text shorter than a k-mer is one anchor, an empty one none."""
     if not text:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    if len(h) < K:
+    s = S if len(h) >= SHORT else SHORT_S
+    if len(h) < 2 * s:
         acc = np.zeros(1, np.uint64)
         for c in h:
             acc = _mix(acc * _B + c)
         return np.zeros(1, np.int64), acc
-    for step, power in zip((1, 2, 4), _POWERS, strict=False):  # polynomial hashes of 2, 4, 8 = S code points
-        h = h[:-step] * power + h[step:]
-    whole = _mix(h[:-S] * _POWERS[3] + h[S:])
+    doublings = s.bit_length() - 1
+    for i in range(doublings):  # polynomial hashes of 2, 4, ... s code points
+        h = h[: -(1 << i)] * _POWERS[i] + h[1 << i :]
+    whole = _mix(h[:-s] * _POWERS[doublings] + h[s:])
     order = _mix(h)
     low = order
-    for step in (1, 2, 4):
-        low = np.minimum(low[:-step], low[step:])
-    low = np.minimum(low[:-1], order[S:])  # over the K - S + 1 s-mers
-    at = np.flatnonzero((order[:-S] == low) | (order[S:] == low))
+    for i in range(doublings):
+        low = np.minimum(low[: -(1 << i)], low[1 << i :])
+    low = np.minimum(low[:-1], order[s:])  # over the s + 1 s-mers of a k-mer
+    at = np.flatnonzero((order[:-s] == low) | (order[s:] == low))
     return at, whole[at]
 
 
