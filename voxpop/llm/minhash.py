@@ -240,7 +240,7 @@ def near_duplicates(
         .dropDuplicates(["id", "set_key"])
         .select("id", "bands", "sketch")
     )
-    first, first_path = written(first, "reps")
+    first, _ = written(first, "reps")
     rows = first.select("id", F.explode("bands").alias("bucket"))
     # the smallest id XOR bucket is a pseudo-random member, and gives its id back
     leaders = (
@@ -249,7 +249,7 @@ def near_duplicates(
         .where("n > 1")
         .select("bucket", F.col("x").bitwiseXOR(F.col("bucket")).alias("leader"), "n")
     )
-    members, members_path = written(rows.join(leaders, "bucket"), "members")
+    members, _ = written(rows.join(leaders, "bucket"), "members")
     sketches = first.select("id", "sketch")
     limit = most_flips(percent, BANDS * ROWS, SKETCH_BITS, 6)
 
@@ -261,9 +261,9 @@ def near_duplicates(
         .where(F.col("flips") <= limit)
         .select("id", "leader", "flips")
     )
-    star, star_path = written(star, "star")
+    star, _ = written(star, "star")
     ids = members.select("id").distinct()
-    texts, texts_path = written(
+    texts, _ = written(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .join(ids, "id", "left_semi")
         .dropDuplicates(["id"]),
