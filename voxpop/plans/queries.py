@@ -374,6 +374,39 @@ def q_cluster_top_factor(spark, sf_dir):
                     F.col("top_n").cast("long").alias("top_n"), "name")
 
 
+def document_clusters(spark, sf_dir):
+    """A cluster for every document: (row_id, cluster_id), from its labels, 4 without any."""
+    lab = TB.load(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("row_id"), (F.col("quality") * 2 + F.col("toxic")).cast("long").alias("c"))
+    return TB.posts(spark, sf_dir).select("row_id").join(lab, "row_id", "left").select(
+        "row_id", F.coalesce("c", F.lit(4)).cast("long").alias("cluster_id"))
+
+
+def _all_docs(spark, sf_dir):
+    return document_clusters(spark, sf_dir).join(TB.posts(spark, sf_dir).select("row_id", "text"), "row_id")
+
+
+def q_document_samples(spark, sf_dir):
+    """cluster_samples over all documents, each of which has a cluster."""
+    s = NM.samples(_all_docs(spark, sf_dir), "cluster_id", "row_id", "text", k=5)
+    return s.select("cluster_id", F.col("pos").cast("long").alias("pos"), "row_id", X.preview("text").alias("preview"))
+
+
+def q_document_fallback_name(spark, sf_dir):
+    """cluster_fallback_name over all documents."""
+    h = NM.first_texts(_all_docs(spark, sf_dir), "cluster_id", "row_id", "text")
+    return h.select("cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"),
+                    NM.fallback_name(F.col("first_text")).alias("name"))
+
+
+def q_document_top_factor(spark, sf_dir):
+    """cluster_top_factor over all documents."""
+    ft = factor_table(spark, sf_dir).select("row_id", X.join_factors("factors").alias("factors_text"))
+    n = NM.top_factor_names(document_clusters(spark, sf_dir).join(ft, "row_id"), "cluster_id", "row_id", "factors_text")
+    return n.select("cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"), "top_factor",
+                    F.col("top_n").cast("long").alias("top_n"), "name")
+
+
 def _ward(spark, sf_dir):
     k = (spark.sparkContext.applicationId, sf_dir)  # a new session never reuses a stale plan
     if k not in _CLUSTER_CACHE:
@@ -432,6 +465,11 @@ def _members_sql() -> str:
     return "mem AS (SELECT e.label::BIGINT AS cluster_id, d.doc_id AS row_id, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"
 
 
+def document_clusters_sql() -> str:
+    return """mem AS (SELECT coalesce(l.quality * 2 + l.toxic, 4)::BIGINT AS cluster_id, d.doc_id AS row_id, d.text
+                            FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
 def _theme_sql() -> str:
     return _factor_sql() + """,
     tr AS (SELECT DISTINCT row_id, sentiment, unnest(list_distinct(factors)) AS theme FROM g
@@ -564,6 +602,28 @@ def oracle_more() -> dict[str, str]:
             SELECT h.cluster_id, h.cluster_size, b.f AS top_factor, b.n AS top_n,
                    coalesce(b.f, '【自动生成】' || substring(h.first_text, 1, 50) || '...') AS name
             FROM heads h LEFT JOIN best b USING (cluster_id)""",
+        "document_samples": f"""
+            WITH {document_clusters_sql()},
+            r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY row_id) AS pos FROM mem)
+            SELECT cluster_id, pos, row_id,
+                   CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS preview
+            FROM r WHERE pos <= 5""",
+        "document_fallback_name": f"""
+            WITH {document_clusters_sql()}
+            SELECT cluster_id, count(*) AS cluster_size, '【自动生成】' || substring(arg_min(text, row_id), 1, 50) || '...' AS name
+            FROM mem GROUP BY cluster_id""",
+        "document_top_factor": _factor_sql() + f""",
+            {document_clusters_sql()},
+            j AS (SELECT cluster_id, row_id, array_to_string(g.factors, '，') AS t FROM mem JOIN g USING (row_id)),
+            occ AS (SELECT cluster_id, row_id, unnest(string_split(t, '，')) AS f,
+                           generate_subscripts(string_split(t, '，'), 1) - 1 AS pos FROM j),
+            cnt AS (SELECT cluster_id, trim(f) AS f, count(*) AS n, min({{'r': row_id, 'p': pos}}) AS fs FROM occ
+                    WHERE trim(f) <> '' GROUP BY ALL),
+            best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, fs.r, fs.p) AS rk FROM cnt) WHERE rk = 1),
+            heads AS (SELECT cluster_id, count(*) AS cluster_size, arg_min(t, row_id) AS first_text FROM j GROUP BY cluster_id)
+            SELECT h.cluster_id, h.cluster_size, b.f AS top_factor, b.n AS top_n,
+                   coalesce(b.f, '【自动生成】' || substring(h.first_text, 1, 50) || '...') AS name
+            FROM heads h LEFT JOIN best b USING (cluster_id)""",
         "theme_cooccurrence": _factor_sql() + """,
             e AS (SELECT DISTINCT row_id, unnest(list_distinct(factors)) AS f FROM g WHERE factors[1] NOT IN ('无法提取', 'API错误'))
             SELECT x.f AS a, y.f AS b, count(*) AS weight FROM e x JOIN e y ON x.row_id = y.row_id AND x.f < y.f GROUP BY ALL""",
@@ -587,6 +647,9 @@ def registry_more() -> dict:
         "cluster_samples": q_cluster_samples,
         "cluster_fallback_name": q_cluster_fallback_name,
         "cluster_top_factor": q_cluster_top_factor,
+        "document_samples": q_document_samples,
+        "document_fallback_name": q_document_fallback_name,
+        "document_top_factor": q_document_top_factor,
         "ward_clusters": q_ward_clusters,
         "threshold_sweep": q_threshold_sweep,
         "ward_merges": q_ward_merges,
