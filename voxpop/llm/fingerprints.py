@@ -5,7 +5,9 @@ s-mers, in a hashed order, is its first or its last. Whether a k-mer is chosen
 depends on the k-mer alone, never on what stands around it, so equal passages
 give the same anchors wherever they stand. The fingerprint of a text is the
 ``SIZE`` smallest hashes of its distinct syncmers, and the likeness of two
-fingerprints estimates the share of common syncmers (Jaccard).
+fingerprints estimates the share of common syncmers (Jaccard). Texts under
+``SHORT`` code points have k-mers of another length; a pair with such a text is
+compared on the short k-mers of both texts, however long the other is.
 
 :func:`anchors` gives the positions for matching passages; :func:`edited`
 pairs every document with its successor in the order of ids, by one shuffle.
@@ -14,6 +16,7 @@ pairs every document with its successor in the order of ids, by one shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -49,12 +52,15 @@ def _powers() -> list[np.uint64]:
 _POWERS = _powers()  # B, B^2, B^4, B^8
 
 
-def syncmers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (code points) and hashes of the closed syncmers; a text shorter than a k-mer is one anchor, an empty one none."""
+def syncmers(text: str | None, s: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (code points) and hashes of the closed syncmers; a text shorter than a k-mer is one anchor, an empty one none.
+
+    ``s``: the length of the s-mers, half a k-mer; by the length of the text if None.
+    """
     if not text:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    s = S if len(h) >= SHORT else SHORT_S
+    s = s or (S if len(h) >= SHORT else SHORT_S)
     if len(h) < 2 * s:
         acc = np.zeros(1, np.uint64)
         for c in h:
@@ -73,22 +79,41 @@ def syncmers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, whole[at]
 
 
-def sketch(text: str | None) -> np.ndarray:
-    """The smallest distinct 32-bit hashes of the syncmers, sorted."""
-    return np.unique((syncmers(text)[1] >> np.uint64(32)).astype(np.uint32))[:SIZE]
+def _smallest(hashes: np.ndarray) -> np.ndarray:
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SIZE]
+
+
+class Sketch:
+    """The smallest distinct 32-bit hashes of a text's syncmers, sorted, and those on the short scale where a comparison asks for them.
+
+    Without its ``text`` a sketch counts as one of a long text, to be compared with long ones only.
+    """
 
+    def __init__(self, own: np.ndarray, text: str | None):
+        self.own, self._text = own, text
+        self.is_short = text is not None and len(text) < SHORT
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity of two syncmer sets; 1 if both are empty, 0 if one is."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
+    @cached_property
+    def short(self) -> np.ndarray:
+        return self.own if self.is_short else _smallest(syncmers(self._text, SHORT_S)[1])
+
+
+def sketch(text: str | None) -> Sketch:
+    return Sketch(_smallest(syncmers(text)[1]), text or "")
+
+
+def likeness(x: Sketch, y: Sketch) -> float:
+    """Estimated Jaccard similarity of two syncmer sets of one scale; 1 if both are empty, 0 if one is."""
+    if not len(x.own) or not len(y.own):
+        return float(len(x.own) == len(y.own))
+    a, b = (x.short, y.short) if x.is_short or y.is_short else (x.own, y.own)
     union = np.union1d(a, b)[:SIZE]
     both = np.intersect1d(a, b, assume_unique=True)
     return float(np.isin(union, both, assume_unique=True).sum() / len(union))
 
 
-def printed(s: np.ndarray) -> str:
-    return s.astype(">u4").tobytes().hex()
+def printed(s: Sketch) -> str:
+    return s.own.astype(">u4").tobytes().hex()
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +171,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 continue
             lone = f["id"].isna().to_numpy()
             place = np.searchsorted(cuts, f["id"].to_numpy(np.float64, na_value=0), "right")
-            f = f.assign(kind=np.where(lone, 2, 0), part=np.where(lone, np.arange(len(f)) % ranges, place), mark=[sketch(t).tobytes() for t in f["text"]])
+            f = f.assign(kind=np.where(lone, 2, 0), part=np.where(lone, np.arange(len(f)) % ranges, place), mark=[sketch(t).own.tobytes() for t in f["text"]])
             guests = f[f["id"].isin(hosts.index).to_numpy() & ~lone]
             yield f
             if len(guests):
@@ -163,16 +188,21 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     both = both.withColumn(
         "edited",
         F.concat(F.expr("substring(text, 1, int(n_chars) - cut)"), F.expr("substring(coalesce(next, ''), 1, cut)")),
-    ).select("id", "n_chars", "edited", "mark", "next_mark")
+    )
+    # whole texts are needed only where one of a pair is short (the edited text is never longer than the text)
+    n_next = F.length(F.coalesce("next", F.lit("")))
+    both = both.withColumn("own", F.when(F.least(F.length("edited"), n_next) < SHORT, F.col("text")))
+    both = both.withColumn("after", F.when(F.least("n_chars", n_next) < SHORT, F.coalesce("next", F.lit(""))))
+    both = both.select("id", "n_chars", "edited", "mark", "next_mark", "own", "after")
 
     @F.pandas_udf("fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    def compared(text: pd.Series, mark: pd.Series, after: pd.Series) -> pd.DataFrame:
+    def compared(text: pd.Series, mark: pd.Series, next_mark: pd.Series, own: pd.Series, after: pd.Series) -> pd.DataFrame:
         out = []
-        for t, a, b in zip(text, mark, after, strict=True):
-            a, b, e = np.frombuffer(a, np.uint32), np.frombuffer(b or b"", np.uint32), sketch(t)
+        for t, a, b, o, n in zip(text, mark, next_mark, own, after, strict=True):
+            a, b, e = Sketch(np.frombuffer(a, np.uint32), o), Sketch(np.frombuffer(b or b"", np.uint32), n), sketch(t)
             out.append((printed(a), printed(e), likeness(a, e), likeness(a, b)))
         return pd.DataFrame(out, columns=["fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return both.withColumn("c", compared("edited", "mark", "next_mark")).select(
+    return both.withColumn("c", compared("edited", "mark", "next_mark", "own", "after")).select(
         F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "c.*"
     )
