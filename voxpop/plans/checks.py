@@ -8,6 +8,7 @@ many files, and a scorer that answers in chat JSON and sometimes fails.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Window
@@ -167,6 +168,19 @@ def q_scored_names(spark, sf_dir):
     return NM.name_with_scorer(mem, namer).select("cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"), "name", "score_error")
 
 
+def q_scored_text_names(spark, sf_dir):
+    """U5 over the texts of all documents; the name counts the rows that the namer was told of, round by round."""
+    from voxpop.plans.queries import document_clusters
+
+    mem = document_clusters(spark, sf_dir).join(
+        TB.posts(spark, sf_dir).select("row_id", X.normalized("text").alias("text")), "row_id")
+
+    def namer(prompts: pd.Series) -> pd.Series:
+        return pd.Series([f"{sum(map(int, re.findall(r' [(]x([0-9]+)[)](?:\n|$)', p)))} rows" for p in prompts])
+
+    return NM.name_with_scorer(mem, namer).select("cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"), "name", "score_error")
+
+
 def _scored_sql(prompt: str) -> str:
     return f"SELECT *, {prompt} AS p, unicode(right({prompt}, 1)) + length({prompt}) AS n"
 
@@ -334,6 +348,10 @@ def oracle() -> dict[str, str]:
                    CASE WHEN k % 2 = 0 THEN '【自动生成】' || substring(first, 1, 50) || '...' ELSE k || ' lines' END AS name,
                    CASE WHEN k % 2 = 0 THEN 'RuntimeError: no reply' END AS score_error
             FROM c""",
+        "scored_text_names": """
+            SELECT coalesce(l.quality * 2 + l.toxic, 4)::BIGINT AS cluster_id, count(*) AS cluster_size,
+                   count(*) || ' rows' AS name, NULL::VARCHAR AS score_error
+            FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1""",
         "stats_object": factor_stats_sql(),
         "csv_mixed_headers": "SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, source FROM documents",
         "csv_late_encoding": "SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN '（）' || text ELSE text END AS text FROM documents",
