@@ -2,7 +2,8 @@
 
 E-mail addresses, IPv4 addresses, payment cards, social security numbers,
 phone numbers and the names after a title are found by one Java regular
-expression. Every distinct entity (its canonical form, so spellings of one
+expression. A name found so is then looked for among all capitalised words of
+the same text, titled or not. Every distinct entity (its canonical form, so spellings of one
 number or address are one entity) gets one surrogate for the whole corpus,
 derived from a keyed SHA-512: an address of the same shape, a number in the
 same format (cards keep their network and a right check digit, private IPv4
@@ -26,18 +27,31 @@ from voxpop.session import drop_scratch
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9])[3-6][0-9]{3}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![0-9])"
+_IIN = r"(?:[3-6][0-9]{3}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)"
+# 16 digits, 15 (34, 37) and 14 (300 to 305, 36, 38)
+CARD = (
+    rf"(?<![0-9])(?:{_IIN}(?:[0-9]{{12}}|(?: [0-9]{{4}}){{3}}|(?:-[0-9]{{4}}){{3}})"
+    r"|3[47][0-9]{2}(?:[0-9]{11}| [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5})"
+    r"|3(?:0[0-5]|[68][0-9])[0-9](?:[0-9]{10}| [0-9]{6} [0-9]{4}|-[0-9]{6}-[0-9]{4}))(?![0-9])"
+)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4})(?![0-9])"
+PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9]{2}[.-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![.-][0-9]))(?![0-9])"
 # Titles that tell a gender, and titles that don't.
 FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|г-жа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н"
 NEUTRAL = "Dr|Prof"
 _TITLE = rf"(?<![\p{{L}}0-9])(?:{FEMALE}|{MALE}|{NEUTRAL})\.?"
-_WORD = r"\p{Lu}\p{Ll}{1,20}(?!\p{L})"
+# inner capitals, and parts (written out, for looking behind) behind an apostrophe or a hyphen that start with a capital; no title
+_L = r"[\p{L}\p{M}]"
+_PART = rf"(?:['’]\p{{Lu}}{_L}{{0,20}}|-\p{{Lu}}{_L}{{0,20}})"
+_WORD = rf"(?!(?:{FEMALE}|{MALE}|{NEUTRAL})(?!{_L}))\p{{Lu}}(?:{_L}{{1,20}}{_PART}?{_PART}?|{_PART}{_PART}?)(?!{_L})"
 # the capital is looked at first: looking behind at every place would be slow
-NAME = rf"(?=\p{{Lu}})(?:(?<={_TITLE} ){_WORD}|(?<={_TITLE} \p{{Lu}}\p{{Ll}}{{1,20}} ){_WORD})"
+NAME = rf"(?=\p{{Lu}})(?<= )(?:(?<={_TITLE} )|(?<={_TITLE} {_WORD} )){_WORD}"
 PATTERN = "|".join((EMAIL, IPV4, CARD, SSN, PHONE, NAME))
+#: Any capitalised word, which may be a further mention of a name.
+FURTHER = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}]){_WORD}"
+#: From this attempt on, stand-ins of private IPv4 addresses in smaller ranges come from 10/8.
+SPILL = 8
 ATTEMPTS = 40
 #: Syllables of surrogate names: consonants, vowels, and the endings of female, male and other names.
 _SOUNDS = {
@@ -96,12 +110,15 @@ def _surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     octet = lambda i: byte(F.lit(i)).cast("string")
     inner = F.regexp_extract(canon, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|169\.254\.)", 1)
     public = F.concat((byte(F.lit(0)) % 89 + 11).cast("string"), F.lit("."))
+    if attempt >= SPILL:
+        inner = F.when(inner.rlike(r"^[0-9]+\.[0-9]+\."), "10.").otherwise(inner)
     head = F.when(inner != "", inner).otherwise(public)
     dots = F.length(head) - F.length(F.regexp_replace(head, r"\.", ""))
     ipv4 = F.when(dots == 1, F.concat(head, octet(1), F.lit("."), octet(2), F.lit("."), octet(3))).otherwise(
         F.concat(head, octet(1), F.lit("."), octet(2))
     )
-    body = F.concat(canon.substr(1, 1), each(canon.substr(F.lit(2), F.length(canon) - 2)))
+    kept = F.when(F.length(canon) == 14, 3).when(F.length(canon) == 15, 2).when(canon.startswith("2"), 4).otherwise(1)
+    body = F.concat(canon.substr(F.lit(1), kept), each(canon.substr(kept + 1, F.length(canon) - kept - 1)))
     doubled = F.transform(
         F.sequence(F.lit(1), F.length(body)),
         lambda i: F.when(
@@ -144,7 +161,7 @@ def _written_like(kind: Column, mention: Column, stand_in: Column) -> Column:
         )
 
     numbers = F.aggregate(places, start, step, lambda acc: acc["out"])
-    capital = F.initcap(stand_in)
+    capital = F.when(mention == F.upper(mention), F.upper(stand_in)).otherwise(F.initcap(stand_in))
     return (
         F.when(kind.isin("card", "ssn", "phone"), numbers)
         .when(kind == "ipv4", stand_in)
@@ -192,23 +209,39 @@ def replace_private(docs: DataFrame, text_col: str = "text", *, key: str = "voxp
     hits, _ = written(docs.where(has).withColumn("_blob", F.sha2(text.cast("binary"), 256)), "private")
 
     found = hits.select("_blob", text.alias("t")).dropDuplicates(["_blob"])
-    found = found.select(
-        "_blob", F.regexp_extract_all("t", F.lit(PATTERN), 0).alias("mentions"), F.split("t", PATTERN, -1).alias("gaps")
+    # capitalised words are looked at only in texts with a titled name
+    cut = lambda p, named: found.where(F.col("t").rlike(NAME) == named).select(
+        "_blob", F.regexp_extract_all("t", F.lit(p), 0).alias("mentions"), F.split("t", p, -1).alias("gaps")
     )
-    parts = found.select("_blob", "gaps", F.posexplode("mentions").alias("at", "mention"))
-    parts = parts.select("_blob", "at", "mention", F.col("gaps")[F.col("at")].alias("gap"), F.col("gaps")[F.col("at") + 1].alias("after"))
+    found = cut(f"{PATTERN}|{FURTHER}", True).unionByName(cut(PATTERN, False))
+    parts = found.select("_blob", "gaps", "mentions", F.posexplode("mentions").alias("at", "mention"))
+    before = F.when(F.col("at") > 0, F.col("gaps")[F.col("at") - 1])
+    parts = parts.select(
+        "_blob", "at", "mention", F.col("gaps")[F.col("at")].alias("gap"), F.col("gaps")[F.col("at") + 1].alias("after"),
+        (F.col("gaps")[F.col("at")] == " ").alias("joined"), F.coalesce(before.rlike(f"{_TITLE} $"), F.lit(False)).alias("second"),
+    )
     parts = parts.withColumn("kind", _kind(F.col("mention"), F.col("gap"), F.col("after")))
+    titled = F.col("gap").rlike(f"{_TITLE} $") | (F.col("joined") & F.col("second"))
+    further = F.when((F.col("kind") == "surname") & ~titled, "further").otherwise(F.col("kind"))
+    parts = parts.withColumn("kind", further).drop("joined", "second")
     parts, _ = written(parts.withColumn("canon", _canonical(F.col("kind"), F.col("mention"))), "mentions")
+    names = parts.where(F.col("kind").isin("given_f", "given_m", "given_x", "surname"))
+    names = names.groupBy("_blob", "canon").agg(F.min("kind").alias("_kind"))
+    resolved = parts.where("kind = 'further'").join(names, ["_blob", "canon"], "left")
+    resolved = resolved.withColumn("kind", F.coalesce("_kind", "kind")).select(*parts.columns)
+    words = resolved.where("kind = 'further'").select("_blob", "at", "after", F.concat("gap", "mention").alias("new"), F.lit(0).alias("hit"))
+    parts = parts.where("kind <> 'further'").unionByName(resolved.where("kind <> 'further'"))
 
     stand_ins = assign(parts.select("kind", "canon").distinct(), key)
     new = parts.join(stand_ins, ["kind", "canon"])
     new = new.withColumn("new", F.concat("gap", _written_like(F.col("kind"), F.col("mention"), F.col("stand_in"))))
+    new = new.select("_blob", "at", "after", "new", F.lit(1).alias("hit")).unionByName(words)
     pieces = F.array_sort(F.collect_list(F.struct("at", "new", "after")))  # of one text
-    whole = new.groupBy("_blob").agg(pieces.alias("p"))
+    whole = new.groupBy("_blob").agg(pieces.alias("p"), F.sum("hit").alias("_n"))
     whole = whole.select(
         "_blob",
         F.concat(F.array_join(F.col("p.new"), ""), F.element_at("p", -1)["after"]).alias("_new"),
-        F.size("p").cast("long").alias("_n"),
+        F.col("_n").cast("long").alias("_n"),
     )
     done = hits.join(whole, "_blob").withColumn(text_col, F.col("_new")).withColumn(count_col, F.col("_n")).select(*clean.columns)
     return clean.unionByName(done)
