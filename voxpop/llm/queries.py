@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from voxpop.llm import chat, fingerprints, minhash, packing, quality, secrets, surrogates, toxicity, transducer, vectors
+from voxpop.llm import chat, exact, fingerprints, minhash, packing, quality, secrets, surrogates, toxicity, transducer, vectors
 from voxpop.llm.common import held_out, table
 
 
@@ -138,6 +138,17 @@ FROM e GROUP BY conv_id
 """
 
 
+def op13_patricia_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+"""
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ledger": op1_secret_ledger,
@@ -150,8 +161,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_subspace_join": op8_subspace_join,
         "op9_surrogates": op9_surrogates,
         "op10_chat_fsm": op10_chat_fsm,
+        "op13_patricia_exact": op13_patricia_exact,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_minhash_neardup": OP2_SQL, "op8_subspace_join": OP8_SQL, "op10_chat_fsm": OP10_SQL}
+    return {"op2_minhash_neardup": OP2_SQL, "op8_subspace_join": OP8_SQL, "op10_chat_fsm": OP10_SQL, "op13_patricia_exact": OP13_SQL}
