@@ -21,6 +21,13 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
+def settled(df: DataFrame, name: str, *paths: str) -> DataFrame:
+    """Write ``df`` like :func:`written`, then delete the scratch tables that it was made from."""
+    result, _ = written(df, name)
+    drop_scratch(df.sparkSession, *paths)
+    return result
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the fold that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0

@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from voxpop.llm.common import written
-from voxpop.session import drop_scratch
+from voxpop.llm.common import settled, written
 
 #: Label bytes that the trie of a task holds before it spills a subtree.
 TRIE_BYTES = 64 << 20
@@ -149,7 +148,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep: {keep}")
-    largest, spark = keep == "largest", docs.sparkSession
+    largest = keep == "largest"
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     first = StructType().add("row", "long").add("ref", "long").add("id", id_type).add("size", "long").add("hash", "binary")
@@ -213,11 +212,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = texts.repartition("size", "hash").sortWithinPartitions("size", "hash")
     owners, owners_path = written(texts.mapInArrow(merged, second), "exact-owners")
     every = held.where("row is not null").select("row", "ref", "id").join(owners, "ref")
-    result, _ = written(
-        every.select(
-            F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("owner_row")).alias("kept"), "text_sha256"
-        ),
-        "exact",
-    )
-    drop_scratch(spark, path, owners_path)
-    return result
+    kept = (F.col("row") == F.col("owner_row")).alias("kept")
+    return settled(every.select(F.col("id").alias(id_col), "keep_id", "group_size", kept, "text_sha256"), "exact", path, owners_path)

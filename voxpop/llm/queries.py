@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from voxpop.llm import chat, exact, fingerprints, minhash, packing, quality, secrets, surrogates, toxicity, transducer, vectors
+from voxpop.llm import chat, divergence, exact, fingerprints, minhash, packing, quality, secrets, surrogates, toxicity, transducer, vectors
 from voxpop.llm.common import held_out, table
 
 
@@ -138,6 +138,38 @@ FROM e GROUP BY conv_id
 """
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY 1),
+gn AS (SELECT lang, source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gn.n + 2 * l.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n + 2)) // (l.n + 2 * l.v) AS q
+      FROM g JOIN kept k ON k.lang = g.lang JOIN l ON l.lang = g.lang JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+w AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(w.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def op13_patricia_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -161,9 +193,10 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_subspace_join": op8_subspace_join,
         "op9_surrogates": op9_surrogates,
         "op10_chat_fsm": op10_chat_fsm,
+        "op11_divergence_audit": op11_divergence_audit,
         "op13_patricia_exact": op13_patricia_exact,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_minhash_neardup": OP2_SQL, "op8_subspace_join": OP8_SQL, "op10_chat_fsm": OP10_SQL, "op13_patricia_exact": OP13_SQL}
+    return {"op2_minhash_neardup": OP2_SQL, "op8_subspace_join": OP8_SQL, "op10_chat_fsm": OP10_SQL, "op11_divergence_audit": OP11_SQL, "op13_patricia_exact": OP13_SQL}
