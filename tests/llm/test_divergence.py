@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from voxpop.llm import divergence as D
@@ -61,17 +62,25 @@ def test_terms():
 
 def test_merge_of_runs_is_a_sorted_sum():
     rng = random.Random(4)
-    total, segments = Counter(), []
-    for _ in range(20):
-        run = Counter({b"%03d" % rng.randrange(300): rng.randrange(1, 9) for _ in range(80)})
-        total += run
-        keys = sorted(run)
-        for i in range(0, len(keys), 7):
-            segments.append((0, keys[i : i + 7], [run[k] for k in keys[i : i + 7]], [1] * 7))
-    segments.sort(key=lambda s: s[1][0])
-    segments.append((1, [b"a"], [5], [1]))
-    got = list(D.merge(iter(segments)))
-    assert [(k, n) for k, n, _ in got] == sorted(total.items()) + [(b"a", 5)]
+    total, found, segments = Counter(), Counter(), []
+    for r in range(20):
+        block = D.Block()
+        for _ in range(30):
+            source, words = b"s%d" % rng.randrange(3), [b"w" + bytes([97 + rng.randrange(26), 97 + rng.randrange(20)]) for _ in range(9)]
+            block.add(b"en", source, b" ".join(words))
+            total.update((w, source) for w in words)
+            found.update(set(words))
+        segments += [D.Segment(t, d, z, np.array(s), np.array(n), names) for _, _, t, d, z, s, n, names in block.run(1, 5)]
+    segments.sort(key=lambda s: s.terms[0])
+    last = D.Segment([b"a"], [1], [1], np.array([0]), np.array([5]), [b"x"])
+    got = list(D.merge(iter([((0, b"en"), s) for s in segments] + [((1, b"en"), last)])))
+    assert [(g, t, n) for g, t, n, _ in got] == [((0, b"en"), t, n) for t, n in sorted(found.items())] + [((1, b"en"), b"a", 1)]
+    sums = Counter()
+    for _, term, _, places in got[:-1]:
+        for seg, i in places:
+            for source, n in seg.postings(i):
+                sums[term, source] += n
+    assert sums == total
 
 
 @pytest.mark.parametrize("small", [False, True])

@@ -1,13 +1,13 @@
 """Source divergence audit on a single-pass in-memory index (operator 11).
 
-One pass over the texts builds block postings (lang, term, source) -> count and
-documents in a dictionary until ``BLOCK`` entries fill it, then spills them as a
-run: per hash shard of (lang, term) the postings in key order, in segments of
-``SEGMENT``. Spark deals the segments by shard and sorts them by their first
-key; the task of a shard merges them through a heap, opening a segment only
-when the merge reaches its first key, so it holds one segment of each run. What
-comes out in term order are the postings of whole terms, kept from a number of
-documents on.
+One pass over the texts builds block postings, counts by (lang, term, source)
+and documents by (lang, term), until ``BLOCK`` of them fill the memory, then
+spills them as a run: per hash shard of (lang, term) the terms in order, in
+segments of about ``SEGMENT`` postings. Spark deals the segments by shard and
+sorts them by their first term; the task of a shard merges them through a heap,
+opening a segment only when the merge reaches its first term, so it holds about
+one segment of each run. Out come whole terms with their postings, kept from a
+number of documents on.
 
 From a group's smoothed shares p and another's q, a term's divergence is
 (p-q)^2 / (p+q) in whole numbers. Two sources differ by the sum over all kept
@@ -22,8 +22,12 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate, groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -45,8 +49,6 @@ MIN_DOCS = 10
 SCALE = 1_000_000_000
 #: Letters A-Z in lower case; every other byte up to 0x7F that is no letter ends a term.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
-_ONE_DOC = 1 << 48  # a block's entry holds its count below this bit and its documents above
-_END = b"\x00\x01"  # ends a part of a key; a zero byte inside a language becomes 00 FF
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -54,50 +56,100 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _runs(block: dict[tuple[bytes, bytes], dict[bytes, int]], shards: int, segment: int) -> Iterator[tuple[int, list[tuple[bytes, int]]]]:
-    by_shard: dict[int, list[tuple[bytes, int]]] = {}
-    for (lang, source), held in block.items():
-        head, tail = lang.replace(b"\x00", b"\x00\xff") + _END, _END + source
-        start = zlib.crc32(head)
-        for term, v in held.items():
-            by_shard.setdefault(zlib.crc32(term, start) % shards, []).append((head + term + tail, v))
-    for shard, run in by_shard.items():
-        run.sort()
-        for i in range(0, len(run), segment):
-            yield shard, run[i : i + segment]
-
-
-def merge(segments: Iterator[tuple[int, list[bytes], list[int], list[int]]]) -> Iterator[tuple[bytes, int, int]]:
-    """(key, count, documents) of (shard, keys, counts, documents), sorted by shard and first key; equal keys become one."""
-    heap: list[tuple[bytes, int, int, tuple]] = []
-    shard, key, count, docs, number = None, None, 0, 0, 0
-
-    def until(limit: bytes | None):
-        nonlocal key, count, docs
+@dataclass
+class Segment:
+    """A part of a run: terms in order, their documents, and (source, count) of each in ``source`` and ``count``."""
+
+    terms: list[bytes]
+    docs: list[int]
+    sizes: list[int]
+    source: np.ndarray  # places in ``names``
+    count: np.ndarray
+    names: list[bytes]
+
+    def __post_init__(self) -> None:
+        self.starts = [0, *accumulate(self.sizes)]
+
+    def postings(self, i: int) -> Iterator[tuple[bytes, int]]:
+        part = slice(self.starts[i], self.starts[i + 1])
+        return ((self.names[s], n) for s, n in zip(self.source[part].tolist(), self.count[part].tolist(), strict=True))
+
+
+class Block:
+    """Postings in memory: counts by (lang, source) and term, documents by lang and term."""
+
+    def __init__(self) -> None:
+        self.counts: dict[tuple[bytes, bytes], Counter] = defaultdict(Counter)
+        self.docs: dict[bytes, Counter] = defaultdict(Counter)
+        self.held = 0
+
+    def add(self, lang: bytes, source: bytes, text: bytes) -> None:
+        found, mine = terms(text), self.counts[lang, source]
+        before = len(mine)
+        mine.update(found)
+        self.held += len(mine) - before
+        self.docs[lang].update(set(found))
+
+    def run(self, shards: int, size: int) -> Iterator[tuple[int, bytes, list, list, list, list, list, list]]:
+        """(shard, lang, a segment's columns): the terms of every shard in order, ``size`` postings or little more a segment."""
+        by_lang: dict[bytes, list[bytes]] = defaultdict(list)
+        for lang, source in self.counts:
+            by_lang[lang].append(source)
+        for lang, names in by_lang.items():
+            postings: dict[bytes, list[int]] = defaultdict(list)  # term -> place, count, place, count, ...
+            for place, source in enumerate(names):
+                for term, n in self.counts[lang, source].items():
+                    postings[term] += (place, n)
+            start, dealt = zlib.crc32(lang), defaultdict(list)
+            for term in postings:
+                dealt[zlib.crc32(term, start) % shards].append(term)
+            docs = self.docs[lang]
+            for shard, mine in dealt.items():
+                mine.sort()
+                flat, sizes, first = [], [], 0
+                for i, term in enumerate(mine, 1):
+                    flat += postings[term]
+                    sizes.append(len(postings[term]) // 2)
+                    if len(flat) >= 2 * size or i == len(mine):
+                        part = mine[first:i]
+                        yield shard, lang, part, [docs[t] for t in part], sizes, flat[::2], flat[1::2], names
+                        flat, sizes, first = [], [], i
+
+
+def merge(segments: Iterator[tuple[object, Segment]]) -> Iterator[tuple[object, bytes, int, list[tuple[Segment, int]]]]:
+    """Merges the segments (group, segment) of sorted runs, which come by group and first term: (group, term, documents,
+    where its postings are) in order. The heap holds the open segments by their next term; what lies below the first
+    term of the segment to be opened is taken off together."""
+    heap: list[tuple[bytes, int, int, Segment]] = []
+    group, number = None, 0
+
+    def below(limit: bytes | None):
+        taken = []
         while heap and (limit is None or heap[0][0] < limit):
-            k, n, i, seg = heap[0]
-            if k == key:
-                count, docs = count + seg[1][i], docs + seg[2][i]
-            else:
-                if key is not None:
-                    yield key, count, docs
-                key, count, docs = k, seg[1][i], seg[2][i]
-            i += 1
-            if i < len(seg[0]):
-                heapq.heapreplace(heap, (seg[0][i], n, i, seg))
+            _, n, i, seg = heap[0]
+            stop = len(seg.terms) if limit is None else bisect_left(seg.terms, limit, i)
+            taken += zip(seg.terms[i:stop], repeat(n), range(i, stop), repeat(seg))
+            if stop < len(seg.terms):
+                heapq.heapreplace(heap, (seg.terms[stop], n, stop, seg))
             else:
                 heapq.heappop(heap)
-
-    for s, keys, counts, found in segments:
-        if s != shard:
-            yield from until(None)
-            shard = s
-        yield from until(keys[0])
-        heapq.heappush(heap, (keys[0], number, 0, (keys, counts, found)))
+        taken.sort()  # of sorted runs: a merge; equal terms are told apart by the segment's number
+        for term, same in groupby(taken, itemgetter(0)):
+            places = [(seg, i) for _, _, i, seg in same]
+            yield group, term, sum(seg.docs[i] for seg, i in places), places
+
+    for g, seg in segments:
+        if g != group:
+            yield from below(None)
+            group = g
+        elif heap and heap[0][0] < seg.terms[0]:
+            yield from below(seg.terms[0])
+        heapq.heappush(heap, (seg.terms[0], number, 0, seg))
         number += 1
-    yield from until(None)
-    if key is not None:
-        yield key, count, docs
+    yield from below(None)
+
+
+_SEGMENT = "shard int, lang binary, terms array<binary>, docs array<long>, sizes array<long>, source array<long>, count array<long>, names array<binary>"
 
 
 def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, str]:
@@ -107,73 +159,49 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, s
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "keys", "counts", "docs"]
-
-        def spilled(block):
-            rows, size = [], 0
-            for shard, run in _runs(block, shards, SEGMENT):
-                rows.append((shard, [k for k, _ in run], [v % _ONE_DOC for _, v in run], [v // _ONE_DOC for _, v in run]))
-                size += len(run)
-                if size >= 16 * SEGMENT:
-                    yield frame(rows)
-                    rows, size = [], 0
-            if rows:
-                yield frame(rows)
-
-        def frame(rows):
-            types = [pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-        block, held = {}, 0
+        longs, names = pa.list_(pa.int64()), pa.list_(pa.binary())
+        schema = pa.schema(zip(
+            ["shard", "lang", "terms", "docs", "sizes", "source", "count", "names"],
+            [pa.int32(), pa.binary(), names, longs, longs, longs, longs, names], strict=True,
+        ))
+        block = Block()
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = block.setdefault((lang, source), {})
-                before = len(mine)
-                for term, n in Counter(terms(text)).items():
-                    mine[term] = mine.get(term, 0) + n + _ONE_DOC
-                held += len(mine) - before
-                if held >= BLOCK:
-                    yield from spilled(block)
-                    block, held = {}, 0
-        yield from spilled(block)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block.add(*row)
+                if block.held >= BLOCK:
+                    yield from _batches(block.run(shards, SEGMENT), schema, 6)
+                    block = Block()
+        yield from _batches(block.run(shards, SEGMENT), schema, 6)
 
     as_bytes = [F.col(c).cast("binary").alias(c) for c in ("lang", "source", "text")]
-    runs, runs_path = written(
-        docs.select(*as_bytes).mapInArrow(blocks, "shard int, keys array<binary>, counts array<long>, docs array<long>"), "spimi-runs"
-    )
+    runs, runs_path = written(docs.select(*as_bytes).mapInArrow(blocks, _SEGMENT), "spimi-runs")
     out = pa.schema([
         ("lang", pa.binary()), ("term", pa.binary()), ("number", pa.int64()),
         ("sources", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
     ])
 
     def whole_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        segments = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        now, sources, counts, found, rows, size = None, [], [], 0, [], 0
+        def segments():
+            for b in batches:
+                lists = [b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 7)]
+                source, count = ([x.values.to_numpy() for x in b.column(i)] for i in (5, 6))
+                for shard, lang, words, found, sizes, names, s, n in zip(*lists, source, count, strict=True):
+                    yield (shard, lang), Segment(words, found, sizes, s, n, names)
+
+        def kept():
+            number = TaskContext.get().partitionId() << 33
+            for (_, lang), term, found, places in merge(segments()):
+                if found >= min_docs:
+                    total: dict[bytes, int] = {}
+                    for seg, i in places:
+                        for source, n in seg.postings(i):
+                            total[source] = total.get(source, 0) + n
+                    yield lang, term, number, list(total), list(total.values())
+                    number += 1
 
-        def finished():
-            lang, term, _ = now.split(_END)
-            return lang.replace(b"\x00\xff", b"\x00"), term, number, sources, counts
+        yield from _batches(kept(), out, 4)
 
-        for key, count, n in merge(segments):
-            cut = key.index(_END, key.index(_END) + 2) + 2
-            if key[:cut] != now:
-                if found >= min_docs:
-                    rows.append(finished())
-                    number, size = number + 1, size + len(sources)
-                    if size >= 16 * SEGMENT:
-                        yield _batch(rows, out)
-                        rows, size = [], 0
-                now, sources, counts, found = key[:cut], [], [], 0
-            sources.append(key[cut:])
-            counts.append(count)
-            found += n
-        if found >= min_docs:
-            rows.append(finished())
-        if rows:
-            yield _batch(rows, out)
-
-    dealt = runs.repartition("shard").sortWithinPartitions("shard", F.element_at("keys", 1)).select("shard", "keys", "counts", "docs")
+    dealt = runs.repartition("shard").sortWithinPartitions("shard", "lang", F.element_at("terms", 1))
     table = dealt.mapInArrow(whole_terms, "lang binary, term binary, number long, sources array<binary>, counts array<long>")
     text = [F.col(c).cast("string").alias(c) for c in ("lang", "term")]
     table, path = written(table.select(*text, "number", F.col("sources").cast("array<string>").alias("sources"), "counts"), "spimi-terms")
@@ -181,8 +209,21 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, s
     return table, path
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+def _batches(rows: Iterator[tuple], schema: pa.Schema, at: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about 16 segments' postings; column ``at`` tells how many a row has."""
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 16 + len(row[at])
+        if size >= 32_768:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
