@@ -23,11 +23,9 @@ import heapq
 import math
 import zlib
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import accumulate, groupby, repeat
-from operator import itemgetter
+from itertools import count, pairwise
 
 import numpy as np
 import pandas as pd
@@ -40,8 +38,8 @@ from voxpop.llm.common import settled, written
 from voxpop.operators.ordering import top_k_within
 from voxpop.session import drop_scratch
 
-#: Postings that a task holds before it spills a run, and postings of a segment.
-BLOCK, SEGMENT = 400_000, 2048
+#: Postings and terms that a task holds before it spills a run, and postings of a segment.
+BLOCK, NAMES, SEGMENT = 2_000_000, 400_000, 4096
 #: Sources on a side of a matrix of corrections; postings of a cell and terms laid out at once.
 WIDTH, CELL_ROWS, TERMS = 512, 200_000, 512
 #: A term is kept from this number of a language's documents on.
@@ -56,95 +54,148 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-@dataclass
-class Segment:
-    """A part of a run: terms in order, their documents, and (source, count) of each in ``source`` and ``count``."""
-
-    terms: list[bytes]
-    docs: list[int]
-    sizes: list[int]
-    source: np.ndarray  # places in ``names``
-    count: np.ndarray
-    names: list[bytes]
-
-    def __post_init__(self) -> None:
-        self.starts = [0, *accumulate(self.sizes)]
-
-    def postings(self, i: int) -> Iterator[tuple[bytes, int]]:
-        part = slice(self.starts[i], self.starts[i + 1])
-        return ((self.names[s], n) for s, n in zip(self.source[part].tolist(), self.count[part].tolist(), strict=True))
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
 
 class Block:
-    """Postings in memory: counts by (lang, source) and term, documents by lang and term."""
+    """Postings in memory: dictionaries number the terms of each lang, arrays hold (group, term) -> count.
+
+    Group 0 stands for the documents of a term, the others for a (lang, source) each.
+    """
 
     def __init__(self) -> None:
-        self.counts: dict[tuple[bytes, bytes], Counter] = defaultdict(Counter)
-        self.docs: dict[bytes, Counter] = defaultdict(Counter)
-        self.held = 0
+        numbers = count()
+        self.ids: dict[bytes, dict[bytes, int]] = defaultdict(lambda: defaultdict(numbers.__next__))
+        self.groups: dict[tuple[bytes, bytes], int] = {}
+        self._texts: list[tuple[int, np.ndarray]] = []  # group and term numbers of texts not yet summed
+        self._waiting = 0
+        self._parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0  # postings, those of the parts counted once each
 
     def add(self, lang: bytes, source: bytes, text: bytes) -> None:
-        found, mine = terms(text), self.counts[lang, source]
-        before = len(mine)
-        mine.update(found)
-        self.held += len(mine) - before
-        self.docs[lang].update(set(found))
-
-    def run(self, shards: int, size: int) -> Iterator[tuple[int, bytes, list, list, list, list, list, list]]:
-        """(shard, lang, a segment's columns): the terms of every shard in order, ``size`` postings or little more a segment."""
-        by_lang: dict[bytes, list[bytes]] = defaultdict(list)
-        for lang, source in self.counts:
-            by_lang[lang].append(source)
-        for lang, names in by_lang.items():
-            postings: dict[bytes, list[int]] = defaultdict(list)  # term -> place, count, place, count, ...
-            for place, source in enumerate(names):
-                for term, n in self.counts[lang, source].items():
-                    postings[term] += (place, n)
-            start, dealt = zlib.crc32(lang), defaultdict(list)
-            for term in postings:
-                dealt[zlib.crc32(term, start) % shards].append(term)
-            docs = self.docs[lang]
-            for shard, mine in dealt.items():
-                mine.sort()
-                flat, sizes, first = [], [], 0
-                for i, term in enumerate(mine, 1):
-                    flat += postings[term]
-                    sizes.append(len(postings[term]) // 2)
-                    if len(flat) >= 2 * size or i == len(mine):
-                        part = mine[first:i]
-                        yield shard, lang, part, [docs[t] for t in part], sizes, flat[::2], flat[1::2], names
-                        flat, sizes, first = [], [], i
-
-
-def merge(segments: Iterator[tuple[object, Segment]]) -> Iterator[tuple[object, bytes, int, list[tuple[Segment, int]]]]:
-    """Merges the segments (group, segment) of sorted runs, which come by group and first term: (group, term, documents,
-    where its postings are) in order. The heap holds the open segments by their next term; what lies below the first
-    term of the segment to be opened is taken off together."""
+        found = terms(text)
+        group = self.groups.setdefault((lang, source), len(self.groups) + 1)
+        self._texts.append((group, np.fromiter(map(self.ids[lang].__getitem__, found), np.int64, len(found))))
+        self._waiting += len(found)
+        if self._waiting >= 1 << 18:
+            self._sum()
+
+    def _sum(self) -> None:
+        sizes = [len(t) for _, t in self._texts]
+        ids = np.concatenate([t for _, t in self._texts])
+        seen, n = _summed(np.repeat(np.arange(len(sizes)) << 32, sizes) | ids, np.ones(len(ids), np.int64))
+        ids, group = seen & 0xFFFFFFFF, np.array([g for g, _ in self._texts])[seen >> 32]
+        self._parts.append(_summed(np.r_[group << 32 | ids, ids], np.r_[n, np.ones(len(ids), np.int64)]))
+        self._texts, self._waiting = [], 0
+        if len(self._parts) > 7:  # all into one
+            self._parts = [_summed(*map(np.concatenate, zip(*self._parts, strict=True)))]
+        self.held = sum(len(k) for k, _ in self._parts)
+
+    def run(self, shards: int, size: int) -> Iterator[tuple]:
+        """(shard, lang, a segment's columns): the terms of every shard in order, about ``size`` postings a segment."""
+        if self._texts:
+            self._sum()
+        if not self.held:
+            return
+        keys, counts = _summed(*map(np.concatenate, zip(*self._parts, strict=True)))
+        langs = list(self.ids)
+        words = [(i, w, n) for i, lang in enumerate(langs) for w, n in sorted(self.ids[lang].items())]
+        start = [zlib.crc32(lang) for lang in langs]
+        shard = np.array([zlib.crc32(w, start[i]) % shards for i, w, _ in words])
+        order = np.argsort(shard, kind="stable")  # shard, lang, term
+        place = np.empty(len(words), np.int64)
+        place[np.array([n for _, _, n in words])[order]] = np.arange(len(words))
+        source = [b"", *(s for _, s in self.groups)]
+        at, group = place[keys & 0xFFFFFFFF], keys >> 32
+        in_order = np.argsort(at * (len(source) + 1) + group)
+        at, group, counts = at[in_order], group[in_order], counts[in_order]
+        head = np.flatnonzero(group == 0)  # one per term, before its postings
+        docs, bounds = counts[head], np.r_[head, len(group)]
+        which = shard[order] * len(langs) + np.array([i for i, _, _ in words])[order]
+        chunk = np.r_[True, (which[1:] != which[:-1])]
+        first = np.flatnonzero(chunk)
+        inside = bounds[:-1] - np.repeat(bounds[first], np.diff(np.r_[first, len(words)]))
+        chunk[1:] |= inside[1:] // size != inside[:-1] // size
+        cuts = np.r_[np.flatnonzero(chunk), len(words)].tolist()
+        for x, y in pairwise(cuts):
+            part = [words[o][1] for o in order[x:y]]
+            of_segment = np.ones(bounds[y] - bounds[x], bool)
+            of_segment[bounds[x:y] - bounds[x]] = False
+            names, places = np.unique(group[bounds[x] : bounds[y]][of_segment], return_inverse=True)
+            yield (
+                int(which[x]) // len(langs), langs[int(which[x]) % len(langs)], part, docs[x:y], np.diff(bounds[x : y + 1]) - 1,
+                places, counts[bounds[x] : bounds[y]][of_segment], [source[g] for g in names.tolist()],
+            )
+
+
+class Segment:
+    """A part of a run: terms in order, their documents, their numbers of postings, and the postings: place in ``names`` and count."""
+
+    def __init__(self, words: list[bytes], docs: np.ndarray, sizes: np.ndarray, places: np.ndarray, counts: np.ndarray, names: list[bytes]):
+        self.words, self.docs, self.sizes, self.places, self.counts, self.names = words, docs, sizes, places, counts, names
+        self.starts = np.r_[0, np.cumsum(sizes)]
+
+
+def merge(segments: Iterator[tuple[object, Segment]], min_docs: int) -> Iterator[tuple[object, bytes, list[bytes], list[int]]]:
+    """Merges the segments (group, segment) of sorted runs, which come by group and first term: (group, term, sources,
+    counts) of the terms in ``min_docs`` documents, in order. The heap holds the open segments by their next term; what
+    lies below the first term of the segment to be opened is taken off together."""
     heap: list[tuple[bytes, int, int, Segment]] = []
-    group, number = None, 0
+    group, number, names = None, 0, {}
 
     def below(limit: bytes | None):
         taken = []
         while heap and (limit is None or heap[0][0] < limit):
             _, n, i, seg = heap[0]
-            stop = len(seg.terms) if limit is None else bisect_left(seg.terms, limit, i)
-            taken += zip(seg.terms[i:stop], repeat(n), range(i, stop), repeat(seg))
-            if stop < len(seg.terms):
-                heapq.heapreplace(heap, (seg.terms[stop], n, stop, seg))
+            stop = len(seg.words) if limit is None else bisect_left(seg.words, limit, i)
+            taken.append((seg, i, stop))
+            if stop < len(seg.words):
+                heapq.heapreplace(heap, (seg.words[stop], n, stop, seg))
             else:
                 heapq.heappop(heap)
-        taken.sort()  # of sorted runs: a merge; equal terms are told apart by the segment's number
-        for term, same in groupby(taken, itemgetter(0)):
-            places = [(seg, i) for _, _, i, seg in same]
-            yield group, term, sum(seg.docs[i] for seg, i in places), places
+        if not taken:
+            return
+        words = [w for seg, i, stop in taken for w in seg.words[i:stop]]
+        code = np.empty(len(words), np.int64)
+        distinct, codes, last = [], [], None
+        order = sorted(range(len(words)), key=words.__getitem__)  # of sorted runs: a merge
+        for o in order:
+            if words[o] != last:
+                last = words[o]
+                distinct.append(last)
+            codes.append(len(distinct) - 1)
+        code[order] = codes
+        docs = np.zeros(len(distinct), np.int64)
+        np.add.at(docs, code, np.concatenate([seg.docs[i:stop] for seg, i, stop in taken]))
+        if not (docs >= min_docs).any():
+            return
+        of_posting = np.repeat(code, np.concatenate([seg.sizes[i:stop] for seg, i, stop in taken]))
+        part = [slice(seg.starts[i], seg.starts[stop]) for seg, i, stop in taken]
+        source = np.concatenate([
+            np.array([names.setdefault(s, len(names)) for s in seg.names], np.int64)[seg.places[x]] for (seg, _, _), x in zip(taken, part, strict=True)
+        ])
+        counts = np.concatenate([seg.counts[x] for (seg, _, _), x in zip(taken, part, strict=True)])
+        kept = docs[of_posting] >= min_docs
+        keys, counts = _summed(of_posting[kept] << 32 | source[kept], counts[kept])
+        known = list(names)
+        sources, counts = [known[i] for i in (keys & 0xFFFFFFFF).tolist()], counts.tolist()
+        keys >>= 32
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for t, x, y in zip(keys[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+            yield group, distinct[t], sources[x:y], counts[x:y]
 
     for g, seg in segments:
         if g != group:
             yield from below(None)
-            group = g
-        elif heap and heap[0][0] < seg.terms[0]:
-            yield from below(seg.terms[0])
-        heapq.heappush(heap, (seg.terms[0], number, 0, seg))
+            group, names = g, {}
+        elif heap and heap[0][0] < seg.words[0]:
+            yield from below(seg.words[0])
+        heapq.heappush(heap, (seg.words[0], number, 0, seg))
         number += 1
     yield from below(None)
 
@@ -168,7 +219,7 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, s
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block.add(*row)
-                if block.held >= BLOCK:
+                if block.held >= BLOCK or sum(map(len, block.ids.values())) >= NAMES:
                     yield from _batches(block.run(shards, SEGMENT), schema, 6)
                     block = Block()
         yield from _batches(block.run(shards, SEGMENT), schema, 6)
@@ -183,21 +234,16 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, s
     def whole_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def segments():
             for b in batches:
-                lists = [b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 7)]
-                source, count = ([x.values.to_numpy() for x in b.column(i)] for i in (5, 6))
-                for shard, lang, words, found, sizes, names, s, n in zip(*lists, source, count, strict=True):
-                    yield (shard, lang), Segment(words, found, sizes, s, n, names)
+                lists = [b.column(i).to_pylist() for i in (0, 1, 2, 7)]
+                arrays = [[x.values.to_numpy() for x in b.column(i)] for i in (3, 4, 5, 6)]
+                for shard, lang, words, names, docs, sizes, places, counts in zip(*lists, *arrays, strict=True):
+                    yield (shard, lang), Segment(words, docs, sizes, places, counts, names)
 
         def kept():
             number = TaskContext.get().partitionId() << 33
-            for (_, lang), term, found, places in merge(segments()):
-                if found >= min_docs:
-                    total: dict[bytes, int] = {}
-                    for seg, i in places:
-                        for source, n in seg.postings(i):
-                            total[source] = total.get(source, 0) + n
-                    yield lang, term, number, list(total), list(total.values())
-                    number += 1
+            for (_, lang), term, sources, counts in merge(segments(), min_docs):
+                yield lang, term, number, sources, counts
+                number += 1
 
         yield from _batches(kept(), out, 4)
 

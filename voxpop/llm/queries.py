@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from voxpop.llm import chat, divergence, exact, fingerprints, minhash, packing, quality, secrets, surrogates, toxicity, transducer, vectors
+from voxpop.llm import chat, collocations, divergence, exact, fingerprints, minhash, packing, quality, secrets, surrogates, toxicity, transducer, vectors
 from voxpop.llm.common import held_out, table
 
 
@@ -170,6 +170,30 @@ FROM r QUALIFY part = 'pair' OR rank <= 10
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, unnest(flatten([[ws[i : i + k - 1] FOR i IN range(1, len(ws) - k + 2)] FOR k IN range(1, 5)])) AS p FROM w),
+f AS (SELECT lang, p, count(*) AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+cuts AS (SELECT c.lang, c.p, c.f AS a, x.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f + r.f))::BIGINT AS score
+         FROM (SELECT * FROM f WHERE len(p) > 1) c, unnest(range(1, len(c.p))) x(k)
+         JOIN f l ON l.lang = c.lang AND l.p = c.p[1 : x.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[x.k + 1 : len(c.p)]),
+s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_p AS (SELECT lang, unnest(flatten([[p[i : i + m - 1] FOR i IN range(1, len(p) - m + 2)] FOR m IN range(2, len(p))])) AS p, f FROM f WHERE len(p) > 2),
+most AS (SELECT lang, p, max(f) AS m FROM inner_p GROUP BY 1, 2),
+o AS (SELECT s.lang, array_to_string(s.p, ' ') AS phrase, a, l, r, n, score
+      FROM s JOIN n ON n.lang = s.lang LEFT JOIN most ON most.lang = s.lang AND most.p = s.p WHERE m IS NULL OR 100 * m < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o QUALIFY rank <= 2000
+"""
+
+
 def op13_patricia_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -194,9 +218,17 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_surrogates": op9_surrogates,
         "op10_chat_fsm": op10_chat_fsm,
         "op11_divergence_audit": op11_divergence_audit,
+        "op12_collocations": op12_collocations,
         "op13_patricia_exact": op13_patricia_exact,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_minhash_neardup": OP2_SQL, "op8_subspace_join": OP8_SQL, "op10_chat_fsm": OP10_SQL, "op11_divergence_audit": OP11_SQL, "op13_patricia_exact": OP13_SQL}
+    return {
+        "op2_minhash_neardup": OP2_SQL,
+        "op8_subspace_join": OP8_SQL,
+        "op10_chat_fsm": OP10_SQL,
+        "op11_divergence_audit": OP11_SQL,
+        "op12_collocations": OP12_SQL,
+        "op13_patricia_exact": OP13_SQL,
+    }
