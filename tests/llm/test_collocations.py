@@ -73,7 +73,7 @@ def test_trie_grows():
 @pytest.mark.parametrize("small", [False, True])
 def test_against_brute_force(spark, monkeypatch, small):
     if small:  # several dictionaries and tries, counts handed on early
-        for name, value in {"WORDS": 20, "SHARD": 15, "HELD": 10}.items():
+        for name, value in {"WORDS": 20, "SHARD": 15, "HELD": 10, "STEP": 7}.items():
             monkeypatch.setattr(P, name, value)
     rows = made(5, 150 if small else 600)
     got = P.collocations(frame(spark, rows).repartition(4), min_count=8, top=25)

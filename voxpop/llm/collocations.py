@@ -35,7 +35,9 @@ LONGEST, MIN_COUNT = 4, 30
 #: Words of a dictionary and phrases of a trie that are broadcast at once.
 WORDS, SHARD = 500_000, 500_000
 #: Distinct words or phrases that a task holds before it hands their counts on.
-HELD = 1_000_000
+HELD = 400_000
+#: Text positions that advance at once.
+STEP = 1 << 19
 SCORE = 2_000_000
 #: Share of its occurrences (per cent) within one longer candidate from which on a candidate is dropped.
 INSIDE = 80
@@ -208,9 +210,28 @@ def _spell(shared: Broadcast, last: bool):
     return spelled
 
 
+def _laid(batches: Iterator[pa.RecordBatch], depth: int, step: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The texts one after the other in arrays of about ``step`` numbers, and how many positions of each are its own: the
+    last ones of a cut text are there again, for phrases across the cut."""
+    gap, held, size = np.full(1, -1, np.int32), [], 0
+    for batch in batches:
+        for codes in batch.column(0).to_pylist():
+            text = np.frombuffer(codes, np.int32)
+            while len(text) > step:
+                yield text[: step + depth], step
+                text = text[step:]
+            held += [text, gap]
+            size += len(text) + 1
+            if size >= step:
+                yield np.concatenate(held), size
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held), size
+
+
 def _level(shared: Broadcast, longer: bool):
     """Counts the trie's phrases and, with ``longer``, the phrases of one frequent word more that are sighted."""
-    names, limit = [*_COLUMNS, "n"], HELD  # bound here: tasks see the driver's value
+    names, limit, step = [*_COLUMNS, "n"], HELD, STEP  # bound here: tasks see the driver's value
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: DoubleArray = shared.value
@@ -231,10 +252,10 @@ def _level(shared: Broadcast, longer: bool):
             np.add.at(total, at, counts)
             return keys, total
 
-        for batch in batches:
-            gap = np.full(1, -1, np.int32).tobytes()
-            text = np.frombuffer(gap.join([*batch.column(0).to_pylist(), b""]), np.int32)
+        for text, own in _laid(batches, depth, step):
             at, row = trie.walk(text)
+            mine = at < own
+            at, row = at[mine], row[mine]
             totals += np.bincount(row, minlength=n)
             if longer:
                 inside = at + depth < len(text)
