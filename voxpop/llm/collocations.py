@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxpop.llm.common import settled, written
+from voxpop.llm.common import settled, summed, written
 from voxpop.operators.ordering import top_k_within
 from voxpop.session import drop_scratch
 
@@ -144,12 +144,14 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held[lang].update(text.translate(_FOLD).split())
-            if sum(map(len, held.values())) > HELD:
-                yield from handed()
-                held.clear()
+                if sum(map(len, held.values())) > HELD:
+                    yield from handed()
+                    held.clear()
         yield from handed()
 
-    return docs.mapInArrow(counted, "lang binary, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # summed within tasks already: dealt before Spark's own sums, which then need no pass on the near side
+    counts = docs.mapInArrow(counted, "lang binary, word binary, n long").repartition("lang", "word")
+    return counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def numbered(words: DataFrame) -> DataFrame:
@@ -230,27 +232,18 @@ def _laid(batches: Iterator[pa.RecordBatch], depth: int, step: int) -> Iterator[
 
 
 def _level(shared: Broadcast, longer: bool):
-    """Counts the trie's phrases and, with ``longer``, the phrases of one frequent word more that are sighted."""
-    names, limit, step = [*_COLUMNS, "n"], HELD, STEP  # bound here: tasks see the driver's value
+    """Counts the trie's phrases and, with ``longer``, the phrases of one frequent word more that are sighted: (key, n), the
+    row of the phrase in the trie shifted by 32, and the next word's number, 0xFFFFFFFF for none."""
+    limit, step = HELD, STEP  # bound here: tasks see the driver's values
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: DoubleArray = shared.value
         n, depth = trie.phrases.shape
         totals, parts, held = np.zeros(n, np.int64), [], 0
 
-        def handed(rows, counts, last=None):
-            columns = [pa.array(rows[:, j]) if j < depth else pa.array(np.full(len(rows), -1, np.int32)) for j in range(LONGEST)]
-            if last is not None:
-                columns[depth] = pa.array(last.astype(np.int32))
-            for i in range(0, len(rows), 200_000):
-                yield pa.RecordBatch.from_arrays([c[i : i + 200_000] for c in [*columns, pa.array(counts)]], names)
-
-        def sighted():
-            keys, counts = map(np.concatenate, zip(*parts, strict=True))
-            keys, at = np.unique(keys, return_inverse=True)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, at, counts)
-            return keys, total
+        def handed(keys, counts):
+            for i in range(0, len(keys), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000]), pa.array(counts[i : i + 200_000])], ["key", "n"])
 
         for text, own in _laid(batches, depth, step):
             at, row = trie.walk(text)
@@ -259,26 +252,41 @@ def _level(shared: Broadcast, longer: bool):
             totals += np.bincount(row, minlength=n)
             if longer:
                 inside = at + depth < len(text)
-                after = text[at[inside] + depth]
-                keys, counts = np.unique(row[inside][after >= 0].astype(np.int64) << 32 | after[after >= 0], return_counts=True)
-                parts.append((keys, counts))
-                held += len(keys)
+                after, row = text[at[inside] + depth], row[inside]
+                keys = row[after >= 0].astype(np.int64) << 32 | after[after >= 0]
+                parts.append(summed(keys, np.ones(len(keys), np.int64)))
+                held += len(parts[-1][0])
                 if held > limit:
-                    parts = [sighted()]
+                    parts = [summed(*map(np.concatenate, zip(*parts, strict=True)))]
                     held = len(parts[0][0])
                     if held > limit // 2:
-                        keys, counts = parts.pop()
+                        yield from handed(*parts.pop())
                         held = 0
-                        yield from handed(trie.phrases[keys >> 32], counts, keys & 0xFFFFFFFF)
         if parts:
-            keys, counts = sighted()
-            yield from handed(trie.phrases[keys >> 32], counts, keys & 0xFFFFFFFF)
+            yield from handed(*summed(*map(np.concatenate, zip(*parts, strict=True))))
         there = np.flatnonzero(totals)
-        yield from handed(trie.phrases[there], totals[there])
+        yield from handed(there << 32 | 0xFFFFFFFF, totals[there])
 
     return counted
 
 
+def _words_of(shared: Broadcast):
+    """The keys of :func:`_level` as the words' numbers, -1 beyond the last."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value.phrases
+        depth = phrases.shape[1]
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            rows = np.full((len(keys), LONGEST + 1), -1, np.int32)
+            rows[:, :depth] = phrases[keys >> 32]
+            rows[:, depth] = (keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+            columns = [pa.array(np.ascontiguousarray(rows[:, j])) for j in range(LONGEST)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], [*_COLUMNS, "n"])
+
+    return told
+
+
 def count_phrases(codes: DataFrame, n_words: int, min_count: int = MIN_COUNT) -> tuple[DataFrame, list[str]]:
     """(c, n) of all phrases of 2 to ``LONGEST`` frequent words that occur ``min_count`` times; ``c`` is the array of their numbers."""
     spark = codes.sparkSession
@@ -295,9 +303,9 @@ def count_phrases(codes: DataFrame, n_words: int, min_count: int = MIN_COUNT) ->
                 continue
             trie = DoubleArray(np.column_stack([c.to_numpy() for c in rows.columns]))
             shared = spark.sparkContext.broadcast(trie)
-            part = codes.mapInArrow(_level(shared, depth < LONGEST), schema)
-            part = part.groupBy(*_COLUMNS).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-            tally, path = written(part, "phrase-tally")
+            part = codes.mapInArrow(_level(shared, depth < LONGEST), "key long, n long").repartition("key")
+            part = part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+            tally, path = written(part.mapInArrow(_words_of(shared), schema), "phrase-tally")
             shared.destroy()
             tallies.append(tally)
             paths.append(path)

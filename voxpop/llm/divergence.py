@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxpop.llm.common import settled, written
+from voxpop.llm.common import settled, summed, written
 from voxpop.operators.ordering import top_k_within
 from voxpop.session import drop_scratch
 
@@ -54,14 +54,6 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
-
-
 class Block:
     """Postings in memory: dictionaries number the terms of each lang, arrays hold (group, term) -> count.
 
@@ -88,12 +80,12 @@ class Block:
     def _sum(self) -> None:
         sizes = [len(t) for _, t in self._texts]
         ids = np.concatenate([t for _, t in self._texts])
-        seen, n = _summed(np.repeat(np.arange(len(sizes)) << 32, sizes) | ids, np.ones(len(ids), np.int64))
+        seen, n = summed(np.repeat(np.arange(len(sizes)) << 32, sizes) | ids, np.ones(len(ids), np.int64))
         ids, group = seen & 0xFFFFFFFF, np.array([g for g, _ in self._texts])[seen >> 32]
-        self._parts.append(_summed(np.r_[group << 32 | ids, ids], np.r_[n, np.ones(len(ids), np.int64)]))
+        self._parts.append(summed(np.r_[group << 32 | ids, ids], np.r_[n, np.ones(len(ids), np.int64)]))
         self._texts, self._waiting = [], 0
         if len(self._parts) > 7:  # all into one
-            self._parts = [_summed(*map(np.concatenate, zip(*self._parts, strict=True)))]
+            self._parts = [summed(*map(np.concatenate, zip(*self._parts, strict=True)))]
         self.held = sum(len(k) for k, _ in self._parts)
 
     def run(self, shards: int, size: int) -> Iterator[tuple]:
@@ -102,7 +94,7 @@ class Block:
             self._sum()
         if not self.held:
             return
-        keys, counts = _summed(*map(np.concatenate, zip(*self._parts, strict=True)))
+        keys, counts = summed(*map(np.concatenate, zip(*self._parts, strict=True)))
         langs = list(self.ids)
         words = [(i, w, n) for i, lang in enumerate(langs) for w, n in sorted(self.ids[lang].items())]
         start = [zlib.crc32(lang) for lang in langs]
@@ -181,7 +173,7 @@ def merge(segments: Iterator[tuple[object, Segment]], min_docs: int) -> Iterator
         ])
         counts = np.concatenate([seg.counts[x] for (seg, _, _), x in zip(taken, part, strict=True)])
         kept = docs[of_posting] >= min_docs
-        keys, counts = _summed(of_posting[kept] << 32 | source[kept], counts[kept])
+        keys, counts = summed(of_posting[kept] << 32 | source[kept], counts[kept])
         known = list(names)
         sources, counts = [known[i] for i in (keys & 0xFFFFFFFF).tolist()], counts.tolist()
         keys >>= 32
@@ -374,10 +366,10 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     shares = shares.select(*[F.col(c).alias(c.split(".")[-1]) for c in ("lang", "idx", "p0", "salt", "x.a", "x.b")])
     width, at_once = WIDTH, TERMS
 
-    def summed(key, left, right):
+    def fixed(key, left, right):
         return corrections(key, left, right, width, at_once)
 
-    fixes = postings.groupBy(*keys).cogroup(shares.groupBy(*keys)).applyInPandas(summed, "lang string, x long, y long, c long")
+    fixes = postings.groupBy(*keys).cogroup(shares.groupBy(*keys)).applyInPandas(fixed, "lang string, x long, y long, c long")
     fixes = fixes.groupBy("lang", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.sum("c").alias("c"))
 
     left = groups.select("lang", "source", "v", F.col("idx").alias("x"), F.col("p0").alias("p"))
