@@ -35,9 +35,9 @@ LONGEST, MIN_COUNT = 4, 30
 #: Words of a dictionary and phrases of a trie that are broadcast at once.
 WORDS, SHARD = 500_000, 500_000
 #: Distinct words or phrases that a task holds before it hands their counts on.
-HELD = 400_000
+HELD = 300_000
 #: Text positions that advance at once.
-STEP = 1 << 19
+STEP = 1 << 18
 SCORE = 2_000_000
 #: Share of its occurrences (per cent) within one longer candidate from which on a candidate is dropped.
 INSIDE = 80
@@ -128,6 +128,13 @@ class DoubleArray:
         return at, self.accept[state]
 
 
+def _rows(batches: Iterator[pa.RecordBatch], at_once: int = 500) -> Iterator[list[tuple]]:
+    """Rows of batches, some at a time: few of a batch's texts are Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, at_once):
+            yield list(zip(*(c.to_pylist() for c in batch.slice(i, at_once).columns), strict=True))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(lang, word, n), bytes, of ``docs(lang, text)``."""
 
@@ -141,8 +148,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
         held: dict[bytes, Counter] = defaultdict(Counter)
-        for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rows in _rows(batches):
+            for lang, text in rows:
                 held[lang].update(text.translate(_FOLD).split())
                 if sum(map(len, held.values())) > HELD:
                     yield from handed()
@@ -192,9 +199,9 @@ def as_codes(docs: DataFrame, words: DataFrame, n_words: int) -> tuple[DataFrame
 
 def _spell(shared: Broadcast, last: bool):
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in _rows(batches):
             out = []
-            for lang, text, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, text, before in rows:
                 known = shared.value.get(lang, {})
                 codes = []
                 for words in pieces(text):
@@ -205,9 +212,11 @@ def _spell(shared: Broadcast, last: bool):
                     codes = np.maximum(codes, np.frombuffer(before, np.int32))
                 out.append(codes.tobytes())
             out = pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays([out], ["codes"]) if last else pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), out], ["lang", "text", "codes"]
-            )
+            if last:
+                yield pa.RecordBatch.from_arrays([out], ["codes"])
+            else:
+                kept = [pa.array([r[j] for r in rows], pa.binary()) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*kept, out], ["lang", "text", "codes"])
 
     return spelled
 
@@ -216,8 +225,8 @@ def _laid(batches: Iterator[pa.RecordBatch], depth: int, step: int) -> Iterator[
     """The texts one after the other in arrays of about ``step`` numbers, and how many positions of each are its own: the
     last ones of a cut text are there again, for phrases across the cut."""
     gap, held, size = np.full(1, -1, np.int32), [], 0
-    for batch in batches:
-        for codes in batch.column(0).to_pylist():
+    for rows in _rows(batches):
+        for (codes,) in rows:
             text = np.frombuffer(codes, np.int32)
             while len(text) > step:
                 yield text[: step + depth], step
