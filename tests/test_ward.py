@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,12 +37,13 @@ def _spark_cut(merges, n, t):
 
 
 @pytest.mark.parametrize("tail", [1, 40, 256])
-def test_ward_equals_greedy(spark, tail):
+def test_ward_equals_greedy(spark, monkeypatch, tail):
     n = 120
     e, d = _load(spark, n)
-    pts = e.select("id", F.lit(1).alias("w"))
-    pairs = V.cosine_pairs(e, "id", "embedding", block_rows=32)
-    merges = WD.ward_merges(pts, pairs.select("i", "j", "dist"), tail_clusters=tail).collect()
+    monkeypatch.setattr(WD, "QUERY_BLOCK", 32)
+    monkeypatch.setattr(WD, "STATE_BLOCK", 50)
+    pts = V.normalize(e, "embedding", "unit").select("id", F.lit(1).alias("w"), "unit")
+    merges = WD.ward_merges(pts, tail_clusters=tail).collect()
     ref = greedy_ward(d)
     assert len(merges) == n - 1
     hs = sorted(r.height for r in merges)
@@ -58,9 +60,8 @@ def test_ward_weights_equal_duplicates(spark):
     e, d = _load(spark, n)
     w = np.ones(n)
     w[3] = 2
-    pts = e.select("id", F.when(F.col("id") == 3, 2).otherwise(1).alias("w"))
-    pairs = V.cosine_pairs(e, "id", "embedding", block_rows=16)
-    merges = WD.ward_merges(pts, pairs.select("i", "j", "dist"), tail_clusters=1).collect()
+    pts = V.normalize(e, "embedding", "unit").select("id", F.when(F.col("id") == 3, 2).otherwise(1).alias("w"), "unit")
+    merges = WD.ward_merges(pts, tail_clusters=1).collect()
     # duplicate row 3 as row n
     d2 = np.zeros((n + 1, n + 1))
     d2[:n, :n] = d
@@ -70,3 +71,41 @@ def test_ward_weights_equal_duplicates(spark):
     hs = sorted(r.height for r in merges)
     hr = sorted(h for _, _, h in ref)
     assert np.allclose(hs, hr, rtol=1e-9, atol=1e-12)
+
+
+def _states(rng, sizes, d, small):
+    rows, members = [], []
+    for i, k in enumerate(sizes):
+        v = rng.normal(size=(k, d))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        w = rng.integers(1, 4, k).astype(float)
+        within = (w[:, None] * w[None, :] * (1 - v @ v.T) ** 2).sum()
+        held = (v.ravel(), w, None, None) if small(i) else (None, None, w @ v, WD._packed(v, w))
+        rows.append((i, w.sum(), within, k, *held))
+        members.append((v, w))
+    return WD.States(pd.DataFrame(rows, columns=WD.STATE)), members
+
+
+@pytest.mark.parametrize("small", [lambda i: True, lambda i: False, lambda i: i % 3 > 0])
+def test_cross_sums_of_members_and_moments(small):
+    rng = np.random.default_rng(5)
+    x, left = _states(rng, [1, 4, 2, 9, 1, 3], 7, small)
+    y, right = _states(rng, [2, 1, 5, 1], 7, lambda i: not small(i) or i == 0)
+    brute = [[(w[:, None] * u[None, :] * (1 - a @ b.T) ** 2).sum() for b, u in right] for a, w in left]
+    assert np.allclose(WD.cross_sums(x, y), brute, rtol=1e-12, atol=1e-12)
+
+
+def test_no_table_of_a_round_outgrows_the_clusters(spark, monkeypatch):
+    """What a round writes: one row per cluster in the states and the neighbours, one per merge."""
+    e, _ = _load(spark, 90)
+    pts = V.normalize(e, "embedding", "unit").select("id", F.lit(1).alias("w"), "unit")
+    rows = []
+    write = type(pts.write).parquet
+
+    def counted(self, path, *a, **k):
+        write(self, path, *a, **k)
+        rows.append(spark.read.parquet(path).count())
+
+    monkeypatch.setattr(type(pts.write), "parquet", counted)
+    assert WD.ward_merges(pts, tail_clusters=1).count() == 89
+    assert max(rows) == 90

@@ -1,7 +1,7 @@
 """Threshold-swept Ward clustering.
 
 ``cluster_texts`` is the whole sweep as one call: distinct texts (weighted) ->
-pair table -> exact Ward merges (computed once) -> all cuts of the threshold
+exact Ward merges (computed once, no pair table) -> all cuts of the threshold
 grid at once -> valid clusters (size > 1), valid thresholds (>= 2 valid
 clusters) -> silhouette per valid threshold -> best threshold (first best wins)
 -> assignment table for every input row. Cluster ids are the smallest member
@@ -66,8 +66,7 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
         return ClusterResult(rows.drop(vec_col).limit(0), spark.createDataFrame([], "child long, parent long, height double, size double, round int"),
                              empty, None, None, spark.createDataFrame([], "th double, id long, rep long"))
     t0 = time.time()
-    pairs = V.cosine_pairs(pts.select("id", F.col("unit").alias("v")), "id", "v", block_rows=block_rows, n_rows=n)
-    merges = materialize(WD.ward_merges(pts.select("id", "w"), pairs.select("i", "j", "dist")), "sweep-merges")
+    merges = materialize(WD.ward_merges(pts.select("id", "w", "unit")), "sweep-merges")
     zmax = merges.agg(F.max("height")).first()[0] or 0.0
     log.info("sweep: merges of %d points %.1fs", n, time.time() - t0)
     cuts = spark.createDataFrame([(float(th), float((1 - th) * zmax * 0.7)) for th in ths], "th double, t double")

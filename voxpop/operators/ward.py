@@ -2,24 +2,29 @@
 
 Ward is reducible, so every pair of clusters that are each other's nearest
 neighbour can merge in the same round and the dendrogram equals the greedy one
-(no ties assumed). Instead of applying the Lance-Williams update pair by pair
-(which needs a second update when two merged clusters meet), each cluster pair
-carries the cross sum ``s = Σ d(a, b)²`` over its original members and each
-cluster its within sum ``sw`` (ordered pairs). The Ward distance is then
+(no ties assumed). The dissimilarity of two unit vectors is 1 - a.b. With the
+cross sum ``s = Σ (1 - a.b)²`` over the members of two clusters and each
+cluster's within sum ``sw`` (ordered pairs) the Ward distance is
 
     D²(X, Y) = 2 nX nY / (nX + nY) · ( s/(nX nY) − swX/(2 nX²) − swY/(2 nY²) )
 
-which is exactly what repeated Lance-Williams updates produce for any
-dissimilarity. A merge becomes a relabel plus ``groupBy(x, y).sum(s)``.
+which is exactly what repeated Lance-Williams updates produce.
 
-Duplicate points enter as one point with a weight: their internal merges are at
-height 0 and never change a cut.
+No table of pairs is kept. A cluster's state is enough to find s: its member
+vectors while they are few (``_most``), else its moments S = Σa and M = Σaaᵀ, as
+
+    s = nX nY − 2 S_X·S_Y + ⟨M_X, M_Y⟩.
 
-Each round: distances (pairs ⋈ clusters), nearest neighbour per cluster
-(``min(struct(D, other))``, ties to the smaller id), mutual pairs, relabel the
-absorbed (larger) id to the kept (smaller) id, re-aggregate. Pairs and clusters
-are checkpointed to the shared checkpoint folder every round, so lineage stays
-one round long and a lost executor only repeats the current round.
+A nearest neighbour is a search over blocks of states, two bounded blocks a
+task, and only its result leaves the task. Reducibility also says that a
+nearest neighbour stays the nearest until one of the two is merged, so a round
+searches only for clusters that merged or whose neighbour did. The written
+tables of a round are the states and the neighbours: O(clusters).
+
+Duplicate points enter as one point with a weight: their internal merges are at
+height 0 and never change a cut. States are written to the shared checkpoint
+folder every round, so lineage stays one round long and a lost executor only
+repeats the current round; the states of the round before are then deleted.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from __future__ import annotations
 import logging
 import math
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,174 +40,227 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxpop.session import checkpoint_dir, materialize, scratch_path
+from voxpop.session import drop_scratch, materialize, scratch_path
 
 log = logging.getLogger(__name__)
 
-BROADCAST_ROWS = 2_000_000  # clusters / merges tables below this are broadcast (checked by count)
+#: Clusters on either side of a search task, and products of members in memory at once.
+QUERY_BLOCK, STATE_BLOCK, PRODUCTS = 512, 1024, 1 << 22
+#: Clusters that one task finishes: as many states as a search task holds on one side.
+TAIL = 1024
 
+MERGE_SCHEMA = "child long, parent long, height double, size double, round int"
+#: k members ``mem`` (k vectors one after the other) with weights ``mw``, or the sum ``s`` and the packed moments ``m``.
+STATE_SCHEMA = "cid long, n double, sw double, k int, mem array<double>, mw array<double>, s array<double>, m array<double>"
+STATE = ["cid", "n", "sw", "k", "mem", "mw", "s", "m"]
 
-def _bc(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
+def _most(d: int) -> int:
+    """Most members that a state holds as vectors: beyond that the moments cost less."""
+    return max(8, d // 8)
 
-def ward_distance(s, n_x, n_y, sw_x, sw_y):
-    d2 = (2.0 * n_x * n_y / (n_x + n_y)) * (s / (n_x * n_y) - sw_x / (2.0 * n_x * n_x) - sw_y / (2.0 * n_y * n_y))
-    return F.sqrt(F.greatest(F.lit(0.0), d2))
 
+def _packed(vecs: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Σ w a aᵀ as a vector whose dot products are those of the matrices."""
+    moments = (vecs * w[:, None]).T @ vecs
+    i, j = np.triu_indices(vecs.shape[1])
+    return moments[i, j] * np.where(i == j, 1.0, math.sqrt(2.0))
+
+
+class States:
+    """Cluster states of one block, in the order of their ids."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf.sort_values("cid")
+        self.cid, self.n, self.sw = pdf["cid"].to_numpy(np.int64), pdf["n"].to_numpy(np.float64), pdf["sw"].to_numpy(np.float64)
+        self.small = pdf["mem"].notna().to_numpy()
+        few, many = pdf[self.small], pdf[~self.small]
+        self.k = few["k"].to_numpy(np.int64)
+        self.starts = np.r_[0, np.cumsum(self.k)]
+        self.w = np.concatenate(few["mw"].to_list()) if len(few) else np.empty(0)
+        self.vecs = np.concatenate(few["mem"].to_list()).reshape(len(self.w), -1) if len(few) else np.empty((0, 0))
+        self._s = np.stack(many["s"].to_list()) if len(many) else None
+        self._m = np.stack(many["m"].to_list()) if len(many) else None
+        self._features: np.ndarray | None = None
+
+    def features(self) -> np.ndarray:
+        """n, S and M of every cluster in a row."""
+        if self._features is None:
+            d = self.vecs.shape[1] if len(self.w) else self._s.shape[1]
+            out = np.empty((len(self.cid), 1 + d + d * (d + 1) // 2))
+            out[:, 0] = self.n
+            if self._s is not None:
+                out[~self.small, 1 : d + 1], out[~self.small, d + 1 :] = self._s, self._m
+            for row, a, b in zip(np.flatnonzero(self.small), self.starts[:-1], self.starts[1:], strict=True):
+                out[row, 1 : d + 1] = self.w[a:b] @ self.vecs[a:b]
+                out[row, d + 1 :] = _packed(self.vecs[a:b], self.w[a:b])
+            self._features = out
+        return self._features
+
+
+def cross_sums(x: States, y: States) -> np.ndarray:
+    """s for every cluster of ``x`` (rows) with every one of ``y``."""
+    out = np.zeros((len(x.cid), len(y.cid)))
+    if x.small.any() and y.small.any():
+        rows, cols = np.flatnonzero(x.small), np.flatnonzero(y.small)
+        step = max(1, PRODUCTS // max(1, len(y.w) * int(x.k.max())))
+        for a in range(0, len(rows), step):
+            b = min(a + step, len(rows))
+            part = slice(x.starts[a], x.starts[b])
+            d2 = np.square(np.maximum(0.0, 1.0 - x.vecs[part] @ y.vecs.T)) * x.w[part, None] * y.w[None, :]
+            sums = np.add.reduceat(np.add.reduceat(d2, y.starts[:-1], axis=1), x.starts[a:b] - x.starts[a], axis=0)
+            out[np.ix_(rows[a:b], cols)] = sums
+    for rows, cols in ((~x.small, np.ones(len(y.cid), bool)), (x.small, ~y.small)):
+        if rows.any() and cols.any():
+            left, right = x.features()[rows], y.features()[cols].copy()
+            d = (x.vecs.shape[1] if len(x.w) else x._s.shape[1]) + 1
+            right[:, 1:d] *= -2.0
+            out[np.ix_(rows, cols)] = np.maximum(0.0, left @ right.T)
+    return out
 
-MERGE_SCHEMA = "child long, parent long, height double, size double, round int"
+
+def ward_distances(s: np.ndarray, x: States, y: States) -> np.ndarray:
+    nx, ny = x.n[:, None], y.n[None, :]
+    d2 = (2.0 * nx * ny / (nx + ny)) * (s / (nx * ny) - (x.sw / (2.0 * x.n**2))[:, None] - (y.sw / (2.0 * y.n**2))[None, :])
+    d = np.sqrt(np.maximum(d2, 0.0))
+    d[x.cid[:, None] == y.cid[None, :]] = np.inf
+    return d
+
+
+def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nearest of one block of clusters for every query of another."""
+    if not (pdf["side"] == 0).any() or not (pdf["side"] == 1).any():
+        return pd.DataFrame({"c": [], "d": [], "o": [], "s": []})
+    x, y = States(pdf[pdf["side"] == 0]), States(pdf[pdf["side"] == 1])
+    s = cross_sums(x, y)
+    d = ward_distances(s, x, y)
+    at = d.argmin(1)  # ties: the smaller id
+    rows = np.arange(len(at))
+    found = np.isfinite(d[rows, at])
+    return pd.DataFrame({"c": x.cid, "d": d[rows, at], "o": y.cid[at], "s": s[rows, at]})[found]
+
+
+def nearest_clusters(queries: DataFrame, states: DataFrame, n_queries: int, n_states: int) -> DataFrame:
+    """(c, o, d, s): for every cluster of ``queries`` its nearest other one among ``states``, ties to the smaller id."""
+    qb, sb = math.ceil(n_queries / QUERY_BLOCK), math.ceil(n_states / STATE_BLOCK)
+    block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.lit(0).alias("side"), block(qb).alias("qb"), every(sb).alias("sb"), *STATE)
+    right = states.select(F.lit(1).alias("side"), every(qb).alias("qb"), block(sb).alias("sb"), *STATE)
+    found = left.unionByName(right).groupBy("qb", "sb").applyInPandas(_nearest, "c long, d double, o long, s double")
+    return found.groupBy("c").agg(F.min(F.struct("d", "o", "s")).alias("x")).select("c", "x.o", "x.d", "x.s")
+
+
+def _joined_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state of a merged cluster from those of its two parts: members, or moments when they get many."""
+    for f in batches:
+        out = []
+        for r in f.itertuples(index=False):
+            mem = mw = total = moments = None
+            k = r.k + r.k2
+            vecs, weights, sums, packed = [], [], [], []
+            for v, w, s, m in ((r.mem, r.mw, r.s, r.m), (r.mem2, r.mw2, r.s2, r.m2)):
+                if v is not None:
+                    vecs.append(np.asarray(v).reshape(len(w), -1))
+                    weights.append(np.asarray(w))
+                else:
+                    sums.append(np.asarray(s))
+                    packed.append(np.asarray(m))
+            if not sums and k <= _most(vecs[0].shape[1]):
+                mem, mw = np.concatenate(vecs).ravel(), np.concatenate(weights)
+            else:
+                total = sum([w @ v for v, w in zip(vecs, weights, strict=True)] + sums)
+                moments = sum([_packed(v, w) for v, w in zip(vecs, weights, strict=True)] + packed)
+            out.append((r.cid, r.n + r.n2, r.sw + r.sw2 + 2.0 * r.cross, k, mem, mw, total, moments))
+        yield pd.DataFrame(out, columns=STATE)
 
 
 def _tail_task(round0: int):
-    """Finish the last (bounded) clusters in one task with the same RNN rule and closed form."""
+    """Finish the last (bounded) clusters in one task by the same rule; cross sums of merged clusters add up."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cl = pdf[pdf["kind"] == 0]
-        pr = pdf[pdf["kind"] == 1]
-        ids = np.sort(cl["x"].to_numpy(np.int64))
-        pos = {v: i for i, v in enumerate(ids)}
-        k = len(ids)
-        n = np.zeros(k)
-        sw = np.zeros(k)
-        ci = np.array([pos[v] for v in cl["x"].to_numpy(np.int64)], dtype=np.int64)
-        n[ci] = cl["n"].to_numpy()
-        sw[ci] = cl["s"].to_numpy()
-        S = np.zeros((k, k))
-        xi = np.array([pos[v] for v in pr["x"].to_numpy(np.int64)], dtype=np.int64)
-        yi = np.array([pos[v] for v in pr["y"].to_numpy(np.int64)], dtype=np.int64)
-        S[xi, yi] = pr["s"].to_numpy()
-        S[yi, xi] = pr["s"].to_numpy()
-        alive = np.ones(k, dtype=bool)
-        out = []
-        rnd = round0
+        x = States(pdf)
+        s, n, sw = cross_sums(x, x), x.n.copy(), x.sw.copy()
+        alive, out, rnd = np.ones(len(n), dtype=bool), [], round0
         while alive.sum() > 1:
             rnd += 1
-            idx = np.flatnonzero(alive)
-            nn_, sw_, S_ = n[idx], sw[idx], S[np.ix_(idx, idx)]
-            nx, ny = nn_[:, None], nn_[None, :]
-            d2 = (2.0 * nx * ny / (nx + ny)) * (S_ / (nx * ny) - sw_[:, None] / (2.0 * nx * nx) - sw_[None, :] / (2.0 * ny * ny))
-            d = np.sqrt(np.maximum(d2, 0.0))
+            at = np.flatnonzero(alive)
+            nx, ny = n[at][:, None], n[at][None, :]
+            within = sw[at] / (2.0 * n[at] ** 2)
+            d = np.sqrt(np.maximum((2.0 * nx * ny / (nx + ny)) * (s[np.ix_(at, at)] / (nx * ny) - within[:, None] - within[None, :]), 0.0))
             np.fill_diagonal(d, np.inf)
-            nb = np.argmin(d, axis=1)  # first minimum = smallest id (ids ascending)
-            m = len(idx)
-            mutual = [(i, int(nb[i])) for i in range(m) if nb[nb[i]] == i and i < nb[i]]
-            swn = {i: sw_[i] + sw_[j] + 2.0 * S_[i, j] for i, j in mutual}
-            for i, j in mutual:
-                a, b = idx[i], idx[j]
-                out.append((int(ids[b]), int(ids[a]), float(d[i, j]), float(n[a] + n[b]), rnd))
-            for i, j in mutual:
-                a, b = idx[i], idx[j]
-                S[a, :] += S[b, :]
-                S[:, a] += S[:, b]
-                S[a, a] = 0.0
+            near = d.argmin(1)  # ties: the smaller id
+            for i in np.flatnonzero((near[near] == np.arange(len(at))) & (np.arange(len(at)) < near)):
+                a, b = at[i], at[near[i]]
+                out.append((int(x.cid[b]), int(x.cid[a]), float(d[i, near[i]]), float(n[a] + n[b]), rnd))
+                sw[a] += sw[b] + 2.0 * s[a, b]
+                s[a, :] += s[b, :]
+                s[:, a] += s[:, b]
                 n[a] += n[b]
-                sw[a] = swn[i]
                 alive[b] = False
-                S[b, :] = 0.0
-                S[:, b] = 0.0
         return pd.DataFrame(out, columns=["child", "parent", "height", "size", "round"]).astype(
             {"child": "int64", "parent": "int64", "height": "float64", "size": "float64", "round": "int32"})
 
     return run
 
 
-def _materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write a round's state to the shared checkpoint folder and read it back: the
-    next round's plan starts from this leaf (no plan growth, survives executor loss)."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def ward_merges(points: DataFrame, pairs: DataFrame, tail_clusters: int = 256) -> DataFrame:
-    """V4. ``points(id, w)``: distinct points with multiplicity; ``pairs(i, j, dist)``: all i < j.
+def ward_merges(points: DataFrame, tail_clusters: int = TAIL) -> DataFrame:
+    """V4. ``points(id, w, unit)``: distinct points with multiplicity and unit vectors of one length.
 
     Returns the merge table ``(child, parent, height, size, round)``: ``child`` is
     absorbed into ``parent`` (the smaller id, so a cluster's id is always its
     smallest member id); ``size`` counts weighted rows of the merged cluster.
 
     Rounds run as DataFrame jobs while more than ``tail_clusters`` clusters are
-    left; the bounded rest (at most ``tail_clusters``² / 2 pairs, a constant that
-    does not grow with the data) is finished by the same rule in one NumPy task.
-    Each round reads the pair table three times: nearest neighbours, the merged
-    pairs' cross sums, and the relabel + re-aggregation. Round state is written
-    to the shared checkpoint folder, so a lost executor repeats at most one round.
+    left; the bounded rest (a constant that does not grow with the data) is
+    finished by the same rule in one NumPy task.
     """
     spark = points.sparkSession
-    checkpoint_dir(spark)
-    state = scratch_path(spark, "ward-state")
-    merges_path = scratch_path(spark, "ward-merges")
-    clusters = _materialize(points.select(F.col("id").cast("long").alias("cid"),
-                                          F.col("w").cast("double").alias("n"), F.lit(0.0).alias("sw")),
-                            f"{state}/clusters-0")
-    n_clusters = clusters.count()
-    wts = points.select(F.col("id").cast("long").alias("id"), F.col("w").cast("double").alias("w"))
-    p = (pairs.select(F.col("i").cast("long").alias("x"), F.col("j").cast("long").alias("y"), "dist")
-         .join(_bc(wts, n_clusters).withColumnRenamed("id", "x").withColumnRenamed("w", "wx"), "x")
-         .join(_bc(wts, n_clusters).withColumnRenamed("id", "y").withColumnRenamed("w", "wy"), "y")
-         .select("x", "y", (F.col("wx") * F.col("wy") * F.col("dist") * F.col("dist")).alias("s")))
-    p = _materialize(p, f"{state}/pairs-0")
+    none = F.lit(None).cast("array<double>")
+    first = points.select(F.col("id").cast("long").alias("cid"), F.col("w").cast("double").alias("n"), F.lit(0.0).alias("sw"), F.lit(1).alias("k"),
+                          F.col("unit").cast("array<double>").alias("mem"), F.array(F.col("w").cast("double")).alias("mw"), none.alias("s"), none.alias("m"))
+
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path), path
+
+    states, states_path = kept(first, "ward-states")
+    n_states = states.count()
+    near, near_path = None, None
     parts: list[DataFrame] = []
     rnd = 0
-    while n_clusters > max(1, tail_clusters):
+    while n_states > max(1, tail_clusters):
         rnd += 1
         t_round = time.time()
-        cx = _bc(clusters, n_clusters).select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("sw").alias("swx"))
-        cy = _bc(clusters, n_clusters).select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("sw").alias("swy"))
-        d = ward_distance(F.col("s"), F.col("nx"), F.col("ny"), F.col("swx"), F.col("swy"))
-        both = p.join(cx, "x").join(cy, "y").select(F.explode(F.array(
-            F.struct(F.col("x").alias("c"), F.col("y").alias("o"), d.alias("d")),
-            F.struct(F.col("y").alias("c"), F.col("x").alias("o"), d.alias("d")))).alias("e")).select("e.*")
-        # nearest neighbour, ties to the smaller id, as two hash aggregations
-        # (a min over a struct would sort all pair rows)
-        dmin = _materialize(both.groupBy("c").agg(F.min("d").alias("dm")), f"{state}/dmin-{rnd}")
-        nn = (both.join(_bc(dmin, n_clusters), "c").where(F.col("d") == F.col("dm"))
-              .groupBy("c").agg(F.min("o").alias("o"), F.min("dm").alias("d")))
-        nn = _materialize(nn, f"{state}/nn-{rnd}")
-        a, b = nn.alias("a"), nn.alias("b")
-        mutual = (a.join(b, (F.col("a.o") == F.col("b.c")) & (F.col("b.o") == F.col("a.c")))
-                  .where(F.col("a.c") < F.col("b.c"))
-                  .select(F.col("a.c").alias("parent"), F.col("b.c").alias("child"), F.col("a.d").alias("height")))
-        # merged cluster attributes: n = n_p + n_c, sw = sw_p + sw_c + 2 s(p, c)
-        s_pc = p.join(mutual.select(F.col("parent").alias("x"), F.col("child").alias("y")), ["x", "y"]).select(
-            F.col("x").alias("parent"), F.col("s").alias("s_pc"))
-        cp = clusters.select(F.col("cid").alias("parent"), F.col("n").alias("np"), F.col("sw").alias("swp"))
-        cc = clusters.select(F.col("cid").alias("child"), F.col("n").alias("nc"), F.col("sw").alias("swc"))
-        rec = (mutual.join(cp, "parent").join(cc, "child").join(s_pc, "parent")
-               .select("child", "parent", "height", (F.col("np") + F.col("nc")).alias("size"),
-                       (F.col("swp") + F.col("swc") + 2.0 * F.col("s_pc")).alias("sw_new"), F.lit(rnd).alias("round")))
-        rec = _materialize(rec, f"{merges_path}/r-{rnd}")
-        parts.append(rec.select("child", "parent", "height", "size", "round"))
-        n_merge = rec.count()
+        queries = states if near is None else states.join(near.select(F.col("c").alias("cid")), "cid", "left_anti")
+        n_queries = n_states if near is None else queries.count()
+        found = nearest_clusters(queries, states, n_queries, n_states)
+        now, now_path = kept(found if near is None else near.unionByName(found), "ward-near")
+        a, b = now.alias("a"), now.alias("b")
+        mutual = (a.join(b, (F.col("a.o") == F.col("b.c")) & (F.col("b.o") == F.col("a.c"))).where(F.col("a.c") < F.col("b.c"))
+                  .select(F.col("a.c").alias("parent"), F.col("b.c").alias("child"), F.col("a.d").alias("height"), F.col("a.s").alias("cross")))
+        up = states.withColumnRenamed("cid", "parent")
+        down = states.select(F.col("cid").alias("child"), *[F.col(c).alias(f"{c}2") for c in STATE[1:]])
+        pairs = mutual.join(up, "parent").join(down, "child")
+        record, _ = kept(pairs.select("child", "parent", "height", (F.col("n") + F.col("n2")).alias("size"), F.lit(rnd).alias("round")),
+                         "ward-merges")
+        n_merge = record.count()
         if n_merge == 0:  # cannot happen for finite distances: the global closest pair is mutual
             break
-        m_bc = _bc(rec.select("parent", "child"), n_merge)
-        # clusters: drop absorbed ids, update kept ids
-        upd = rec.select(F.col("parent").alias("cid"), F.col("size").alias("n2"), F.col("sw_new").alias("sw2"))
-        clusters = _materialize(
-            clusters.join(_bc(rec.select(F.col("child").alias("cid")), n_merge), "cid", "left_anti")
-            .join(_bc(upd, n_merge), "cid", "left")
-            .select("cid", F.coalesce("n2", "n").alias("n"), F.coalesce("sw2", "sw").alias("sw")),
-            f"{state}/clusters-{rnd}")
-        # pairs: drop merged pairs, relabel child -> parent, re-aggregate
-        relabel = m_bc.select(F.col("child").alias("old"), F.col("parent").alias("new"))
-        gone = m_bc.select(F.col("parent").alias("x"), F.col("child").alias("y"))
-        p = _materialize(
-            p.join(gone, ["x", "y"], "left_anti")
-            .join(relabel.withColumnRenamed("old", "x").withColumnRenamed("new", "nx_"), "x", "left")
-            .join(relabel.withColumnRenamed("old", "y").withColumnRenamed("new", "ny_"), "y", "left")
-            .select(F.coalesce("nx_", "x").alias("a"), F.coalesce("ny_", "y").alias("b"), "s")
-            .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "s")
-            .groupBy("x", "y").agg(F.sum("s").alias("s")),
-            f"{state}/pairs-{rnd}")
-        n_clusters -= n_merge
-        log.info("ward round %d: %d merges, %d clusters left, %.1fs", rnd, n_merge, n_clusters, time.time() - t_round)
-    if n_clusters > 1:
-        tail_in = (clusters.select(F.lit(0).alias("kind"), F.col("cid").alias("x"), F.lit(None).cast("long").alias("y"),
-                                   F.col("n"), F.col("sw").alias("s"))
-                   .unionByName(p.select(F.lit(1).alias("kind"), "x", "y", F.lit(None).cast("double").alias("n"), "s")))
-        tail = tail_in.groupBy(F.lit(0).alias("g")).applyInPandas(_tail_task(rnd), MERGE_SCHEMA)
-        parts.append(_materialize(tail, f"{merges_path}/tail"))
+        parts.append(record)
+        gone = record.select(F.explode(F.array("child", "parent")).alias("cid"))
+        merged = pairs.withColumnRenamed("parent", "cid").drop("child", "height").mapInPandas(_joined_states, STATE_SCHEMA)
+        nxt, nxt_path = kept(states.join(gone, "cid", "left_anti").unionByName(merged), "ward-states")
+        still = now.join(gone.select(F.col("cid").alias("c")), "c", "left_anti").join(gone.select(F.col("cid").alias("o")), "o", "left_anti")
+        drop_scratch(spark, states_path, *([near_path] if near_path else []))
+        states, states_path, near, near_path = nxt, nxt_path, still.select("c", "o", "d", "s"), now_path
+        n_states -= n_merge
+        log.info("ward round %d: %d searched, %d merges, %d clusters left, %.1fs", rnd, n_queries, n_merge, n_states, time.time() - t_round)
+    if n_states > 1:
+        tail = states.groupBy(F.lit(0).alias("g")).applyInPandas(_tail_task(rnd), MERGE_SCHEMA)
+        parts.append(kept(tail, "ward-tail")[0])
+    drop_scratch(spark, states_path, *([near_path] if near_path else []))
     if not parts:
         return spark.createDataFrame([], MERGE_SCHEMA)
     out = parts[0]

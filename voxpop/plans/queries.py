@@ -318,7 +318,6 @@ from voxpop.operators import network as NW  # noqa: E402
 from voxpop.operators import ordering as OR  # noqa: E402
 from voxpop.operators import vectors as V  # noqa: E402
 
-_CLUSTER_CACHE: dict = {}
 
 
 def _emb(spark, sf_dir):
@@ -408,11 +407,8 @@ def q_document_top_factor(spark, sf_dir):
 
 
 def _ward(spark, sf_dir):
-    k = (spark.sparkContext.applicationId, sf_dir)  # a new session never reuses a stale plan
-    if k not in _CLUSTER_CACHE:
-        e = _emb(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "embedding")
-        _CLUSTER_CACHE[k] = CL.cluster_texts(e, "row_id", "embedding", dedupe_col="embedding")
-    return _CLUSTER_CACHE[k]
+    e = _emb(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "embedding")
+    return CL.cluster_texts(e, "row_id", "embedding", dedupe_col="embedding")
 
 
 def q_ward_clusters(spark, sf_dir):
@@ -794,14 +790,9 @@ def registry_sources() -> dict:
 
 from voxpop.plans import workflows as WF  # noqa: E402
 
-_FACTOR_CLUSTER_CACHE: dict = {}
-
 
 def _factor_clusters(spark, sf_dir):
-    k = (spark.sparkContext.applicationId, sf_dir)  # a new session never reuses a stale plan
-    if k not in _FACTOR_CLUSTER_CACHE:
-        _FACTOR_CLUSTER_CACHE[k] = WF.cluster_and_name(factor_table(spark, sf_dir))
-    return _FACTOR_CLUSTER_CACHE[k]
+    return WF.cluster_and_name(factor_table(spark, sf_dir))
 
 
 def q_factor_text_clusters(spark, sf_dir):
