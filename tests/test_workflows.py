@@ -13,6 +13,7 @@ from voxpop.operators import evaluation as E
 from voxpop.operators import factors as FA
 from voxpop.plans import workflows as WF
 from voxpop.sources import csv as CSV
+from voxpop.streaming import commits as CM
 from voxpop.streaming import scoring as ST
 
 
@@ -72,7 +73,7 @@ def test_resume_after_a_scorer_that_dies(spark, tmp_path):
     done = str(tmp_path / "done")
     with pytest.raises(RuntimeError):
         ST.resume_scoring(src, done, dying)
-    part = spark.read.parquet(done).count()
+    part = CM.committed(spark, done).count()
     assert 0 < part < 200
     scored = []
     res = ST.resume_scoring(src, done, lambda df: (scored.append(df.count()), df)[1])

@@ -63,3 +63,8 @@ def demand_sentiment_wide(labelled: DataFrame, demand_col: str = "demand", senti
     """C2 wide form: one row per demand level, one column per sentiment label."""
     return (labelled.groupBy(demand_col).pivot(sentiment_col, S.SENTIMENT_LABELS)
             .agg(F.count(F.lit(1))).na.fill(0))
+
+
+def blank_rows(labelled: DataFrame) -> DataFrame:
+    """One row: how many posts there are, and how many of them are blank (no scorer saw them, no label counts them)."""
+    return labelled.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("is_blank"), 1)).alias("n_blank"))

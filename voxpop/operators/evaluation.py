@@ -17,17 +17,21 @@ from voxpop.session import materialize
 COUNT_COLUMNS = ["truth", "pred", "n"]
 
 
+def require_equal_rows(pred: DataFrame, truth: DataFrame) -> None:
+    """The reference's contract, truth covers every post: raise when the row counts differ."""
+    n_pred, n_truth = pred.count(), truth.count()
+    if n_pred != n_truth:
+        raise ValueError(f"truth has {n_truth} rows, prediction has {n_pred}: no evaluation")
+
+
 def align(pred: DataFrame, truth: DataFrame, key: str = "row_id", pred_col: str = "pred",
           true_col: str = "truth", require_same_rows: bool = False) -> DataFrame:
     """``(key, truth, pred)`` for keys present on both sides.
 
-    ``require_same_rows=True`` is the reference's contract (truth covers every
-    post): raise before any evaluation when the row counts differ.
+    ``require_same_rows=True``: :func:`require_equal_rows` before any evaluation.
     """
     if require_same_rows:
-        n_pred, n_truth = pred.count(), truth.count()
-        if n_pred != n_truth:
-            raise ValueError(f"truth has {n_truth} rows, prediction has {n_pred}: no evaluation")
+        require_equal_rows(pred, truth)
     return (pred.select(key, F.col(pred_col).alias("pred"))
             .join(truth.select(key, F.col(true_col).alias("truth")), key, "inner"))
 

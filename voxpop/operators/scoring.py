@@ -18,7 +18,10 @@ back after. A scorer may be paid for or random: write a scored table (K2, or
 from __future__ import annotations
 
 import operator
+import threading
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -70,30 +73,95 @@ def label_with_rules(df: DataFrame, taxonomy: S.Taxonomy, text_col: str = "text"
 CALL_ROWS = 64
 
 
-def score_replies(df: DataFrame, scorer: Scorer, prompt: Column, call_rows: int = CALL_ROWS) -> DataFrame:
-    """Run a pluggable scorer on ``prompt``; adds ``_reply`` and ``score_error`` (strings). Failures stay per row."""
+@dataclass(frozen=True)
+class Patience:
+    """How long to wait for a scorer, in seconds, and when to try again.
 
-    def call(prompts: pd.Series) -> tuple[list, list]:
+    ``limit``: longest wait for one call (None: for ever). A failed or late call is
+    repeated ``retries`` times, after pauses of ``pause``, 2 ``pause``, 4 ``pause``, ...
+    After ``give_up`` rows in a row without a reply a task stops calling: its other
+    rows get an error without a call (None: it never stops).
+    """
+
+    limit: float | None = None
+    retries: int = 0
+    pause: float = 1.0
+    give_up: int | None = None
+
+
+def _within(limit: float | None, scorer: Scorer, prompts: pd.Series) -> pd.Series:
+    """The scorer's reply, or TimeoutError after ``limit`` seconds; a call that never returns is left to a daemon thread."""
+    if limit is None:
+        return scorer(prompts)
+    box: list = []
+
+    def run() -> None:
+        try:
+            box.append((scorer(prompts), None))
+        except Exception as e:  # noqa: BLE001
+            box.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(limit)
+    if not box:
+        raise TimeoutError(f"no reply within {limit:g} s")
+    reply, error = box[0]
+    if error is not None:
+        raise error
+    return reply
+
+
+def _patiently(patience: Patience, scorer: Scorer, prompts: pd.Series) -> pd.Series:
+    for attempt in range(patience.retries + 1):
         try:
-            out = pd.Series(scorer(prompts), index=prompts.index).astype(object)
+            return _within(patience.limit, scorer, prompts)
+        except Exception:  # noqa: BLE001
+            if attempt == patience.retries:
+                raise
+            time.sleep(patience.pause * 2**attempt)
+    raise AssertionError
+
+
+def score_replies(df: DataFrame, scorer: Scorer, prompt: Column, call_rows: int = CALL_ROWS, patience: Patience = Patience()) -> DataFrame:
+    """Run a pluggable scorer on ``prompt``; adds ``_reply`` and ``score_error`` (strings). Failures stay per row.
+
+    A call that fails or exceeds ``patience`` is retried row by row; a row without a reply keeps its error.
+    """
+
+    def call(prompts: pd.Series, silent: list[int]) -> tuple[list, list]:
+        stopped = f"Stopped: {patience.give_up} rows without a reply"
+        if patience.give_up is not None and silent[0] >= patience.give_up:
+            return [None] * len(prompts), [stopped] * len(prompts)
+        try:
+            # one try for the whole call: the rows below have their own
+            out = pd.Series(_within(patience.limit, scorer, prompts), index=prompts.index).astype(object)
+            silent[0] = 0
             return out.where(out.notna(), None).tolist(), [None] * len(prompts)
         except Exception:  # noqa: BLE001 - the call failed: retry row by row
             replies, errors = [], []
             for p in prompts:
+                if patience.give_up is not None and silent[0] >= patience.give_up:
+                    replies.append(None)
+                    errors.append(stopped)
+                    continue
                 try:
-                    reply = pd.Series(scorer(pd.Series([p]))).iloc[0]
+                    reply = pd.Series(_patiently(patience, scorer, pd.Series([p]))).iloc[0]
                     replies.append(None if pd.isna(reply) else reply)
                     errors.append(None)
+                    silent[0] = 0
                 except Exception as e:  # noqa: BLE001
                     replies.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:500])
+                    silent[0] += 1
             return replies, errors
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        silent = [0]  # rows in a row without a reply, over the batches of the task
         for batch in batches:
             replies, errors = [], []
             for at in range(0, len(batch), call_rows):
-                r, e = call(batch.iloc[at : at + call_rows].reset_index(drop=True))
+                r, e = call(batch.iloc[at : at + call_rows].reset_index(drop=True), silent)
                 replies += r
                 errors += e
             yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
@@ -105,7 +173,8 @@ def score_replies(df: DataFrame, scorer: Scorer, prompt: Column, call_rows: int
 
 def label_with_scorer(df: DataFrame, scorer: Scorer, taxonomy: S.Taxonomy, text_col: str = "text",
                       out_col: str | None = None, template: str = "{}", match: str = "exact",
-                      dedupe: bool = False, limit: int | None = S.SCORE_TEXT_LIMIT, call_rows: int = CALL_ROWS) -> DataFrame:
+                      dedupe: bool = False, limit: int | None = S.SCORE_TEXT_LIMIT, call_rows: int = CALL_ROWS,
+                      patience: Patience = Patience()) -> DataFrame:
     """Pluggable scorer path of U1/U2.
 
     ``match='exact'``: stripped reply must equal a label (demand, F7);
@@ -122,10 +191,10 @@ def label_with_scorer(df: DataFrame, scorer: Scorer, taxonomy: S.Taxonomy, text_
     if dedupe:
         keyed = todo.withColumn("_p", prompt)
         uniq = keyed.select("_p").distinct()
-        scored_u = score_replies(uniq, scorer, F.col("_p"), call_rows)
+        scored_u = score_replies(uniq, scorer, F.col("_p"), call_rows, patience)
         scored = keyed.join(scored_u, "_p", "left").drop("_p")
     else:
-        scored = score_replies(todo, scorer, prompt, call_rows)
+        scored = score_replies(todo, scorer, prompt, call_rows, patience)
     out = scored.unionByName(blank)
     content = R.reply_content("_reply")
     if match == "exact":
@@ -151,7 +220,7 @@ def cue_reply(text: str | Column, cues: list[tuple[str, str]]) -> Column:
 
 def extract_factors(df: DataFrame, text_col: str = "text", cues: list[tuple[str, str]] | None = None,
                     scorer: Scorer | None = None, template: str = "{}", max_factors: int | None = None,
-                    slots: dict[str, str] | None = None) -> DataFrame:
+                    slots: dict[str, str] | None = None, patience: Patience = Patience()) -> DataFrame:
     """One row -> list of 1..n factors (of those with a usable length, the first ``max_factors`` if given).
 
     ``slots`` names further columns for the template, e.g. ``{"demand":
@@ -169,7 +238,7 @@ def extract_factors(df: DataFrame, text_col: str = "text", cues: list[tuple[str,
         good = df.where(F.col(text_col).isNotNull())
         bad = (df.where(F.col(text_col).isNull()).withColumn("_reply", F.lit(None).cast("string"))
                .withColumn("score_error", F.lit(None).cast("string")))
-        out = score_replies(good, scorer, X.fill_template(template, text_col, None, **(slots or {}))).unionByName(bad)
+        out = score_replies(good, scorer, X.fill_template(template, text_col, None, **(slots or {})), patience=patience).unionByName(bad)
         out = out.withColumn("_reply", R.reply_content("_reply"))
     usable = X.split_factors("_reply")
     parsed = X.or_default_list(F.slice(usable, 1, max_factors) if max_factors else usable, S.FACTOR_NONE)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 import pandas as pd
 from pyspark.sql import Window
@@ -127,6 +128,25 @@ def q_scored_demand(spark, sf_dir):
         "row_id", "demand", "is_blank", "score_error")
 
 
+#: A scorer that never answers on texts of this length or more.
+NO_ANSWER = 25_000
+
+
+def q_scored_with_time_limit(spark, sf_dir):
+    """A scorer that hangs on some posts; those get the default label and an error, their neighbours in the call their label."""
+    names = S.DEMAND_LABELS
+
+    def scorer(prompts: pd.Series) -> pd.Series:
+        if prompts.str.len().max() >= NO_ANSWER:
+            time.sleep(3600)
+        return prompts.map(lambda p: names[len(p) % len(names)])
+
+    posts = TB.posts(spark, sf_dir).select("row_id", "text")
+    got = SC.label_with_scorer(posts, scorer, S.demand_taxonomy(), "text", "demand", limit=None, call_rows=32,
+                               patience=SC.Patience(limit=0.5, retries=1, pause=0.05))
+    return got.select("row_id", "demand", "is_blank", "score_error")
+
+
 def q_scored_sentiment(spark, sf_dir):
     """U2 by a scorer: containment in the order of the categories."""
     names = ["答：正面", "负面！", "不是正面，是负面", "说不清"]
@@ -352,6 +372,13 @@ def oracle() -> dict[str, str]:
             SELECT coalesce(l.quality * 2 + l.toxic, 4)::BIGINT AS cluster_id, count(*) AS cluster_size,
                    count(*) || ' rows' AS name, NULL::VARCHAR AS score_error
             FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1""",
+        "scored_with_time_limit": f"""
+            WITH p AS (SELECT doc_id AS row_id, {G.norm('text')} AS t FROM documents)
+            SELECT row_id, t = '' AS is_blank,
+                   CASE WHEN t = '' OR length(t) >= {NO_ANSWER} THEN '{S.demand_taxonomy().default}'
+                        ELSE [{', '.join(repr(x) for x in S.DEMAND_LABELS)}][length(t) % {len(S.DEMAND_LABELS)} + 1] END AS demand,
+                   CASE WHEN length(t) >= {NO_ANSWER} THEN 'TimeoutError: no reply within 0.5 s' END AS score_error
+            FROM p""",
         "stats_object": factor_stats_sql(),
         "csv_mixed_headers": "SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, source FROM documents",
         "csv_late_encoding": "SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN '（）' || text ELSE text END AS text FROM documents",

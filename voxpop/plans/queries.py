@@ -664,7 +664,7 @@ def registry_more() -> dict:
 from voxpop.sinks import files as K  # noqa: E402
 from voxpop.sources import csv as CSV  # noqa: E402
 from voxpop.sources import sectioned as SEC  # noqa: E402
-from voxpop.session import scratch_path  # noqa: E402
+from voxpop.session import materialize, scratch_path  # noqa: E402
 from voxpop.streaming import scoring as ST  # noqa: E402
 
 NATION_SUFFIX = "（国家）"
@@ -733,26 +733,41 @@ def q_stream_equals_batch(spark, sf_dir):
 
 
 def q_stream_running_counts(spark, sf_dir):
-    """ST2 over the stream's output: running counts per label equal the batch counts."""
+    """ST2 over the stream's output, run again after a replay of the last batch: the counts per label stay those of the posts."""
     posts = TB.posts(spark, sf_dir).select("row_id", "text")
     base = scratch_path(spark, "stream2")
     posts.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
     ST.stream_labels(spark, f"{base}/src", T_POSTS, f"{base}/out", f"{base}/ck1", TB.demo_demand())
     scored_schema = spark.read.parquet(f"{base}/out").schema
     name = "running_" + base.rstrip("/").split("-")[-1]
+    ST.stream_distribution(spark, f"{base}/out", scored_schema, "demand", name, f"{base}/ck2")
+    last = spark.read.parquet(f"{base}/out").agg(F.max("batch")).first()[0]
+    again = materialize(spark.read.parquet(f"{base}/out/batch={last}"), "replay")
+    ST.write_batch(f"{base}/out")(again, last)  # the folder is rewritten under new file names
     t = ST.stream_distribution(spark, f"{base}/out", scored_schema, "demand", name, f"{base}/ck2")
     return t.select(F.col("demand").alias("label"), F.col("n").cast("long").alias("n"), F.col("rows").cast("long").alias("rows"))
 
 
 def q_resumable_scoring(spark, sf_dir):
-    """K2: two runs over the same posts; the second scores nothing new."""
+    """K2: a run that dies in its fifth slice, leftovers of an uncommitted one, a run that ends, a run with nothing to do."""
     posts = TB.posts(spark, sf_dir).select("row_id", "text")
     done = scratch_path(spark, "resume")
     score = lambda df: SC.label_with_rules(df, TB.demo_demand(), "text", "demand").select("row_id", "demand")
-    half = posts.agg(F.percentile_approx("row_id", 0.5)).first()[0]
-    ST.resume_scoring(posts.where(F.col("row_id") <= half), done, score)  # a first run stopped half way
-    res = ST.resume_scoring(posts, done, score)
-    return res
+    calls = []
+
+    def dies(df):
+        calls.append(1)
+        if len(calls) == 5:
+            score(df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{done}/data/left-behind")
+            raise RuntimeError("the run dies")
+        return score(df)
+
+    try:
+        ST.resume_scoring(posts, done, dies)
+    except RuntimeError:
+        pass
+    ST.resume_scoring(posts, done, score)
+    return ST.resume_scoring(posts, done, score)
 
 
 from pyspark.sql import types as _T  # noqa: E402

@@ -37,6 +37,7 @@ class Labelled:
     posts: DataFrame  # row_id, text, demand, sentiment, sentiment_code, is_blank
     demand_stats: DataFrame
     sentiment_stats: DataFrame
+    n_blank: DataFrame  # one row: rows, n_blank
     demand_eval: DataFrame | None
     sentiment_eval: DataFrame | None
 
@@ -50,7 +51,12 @@ def label_and_evaluate(posts: DataFrame, demand: S.Taxonomy | None = None, senti
 
     A scorer runs once per post: its labels are written before anything reads
     them. ``demand_error`` and ``sentiment_error`` keep why a row has no reply.
+    With ``require_same_rows`` posts and truth tables are counted before any scorer runs.
     """
+    if require_same_rows:
+        for truth in (demand_truth, sentiment_truth):
+            if truth is not None:
+                E.require_equal_rows(posts, truth)
     demand = demand or S.demand_taxonomy()
     sentiment = sentiment or S.sentiment_taxonomy()
     if demand_scorer is None:
@@ -67,12 +73,12 @@ def label_and_evaluate(posts: DataFrame, demand: S.Taxonomy | None = None, senti
     lab = lab.withColumn("sentiment_code", R.sentiment_code("sentiment"))
     d_eval = s_eval = None
     if demand_truth is not None:
-        d_eval = E.evaluation_report(E.align(lab, demand_truth, "row_id", "demand", "truth", require_same_rows), None, 4)
+        d_eval = E.evaluation_report(E.align(lab, demand_truth, "row_id", "demand", "truth"), None, 4)
     if sentiment_truth is not None:
-        s_eval = E.evaluation_report(E.align(lab, sentiment_truth, "row_id", "sentiment", "truth", require_same_rows),
+        s_eval = E.evaluation_report(E.align(lab, sentiment_truth, "row_id", "sentiment", "truth"),
                                      S.SENTIMENT_LABELS, None)
     return Labelled(lab, D.label_distribution(lab, demand, "demand", order="count"),
-                    D.label_distribution(lab, sentiment, "sentiment", order="category"), d_eval, s_eval)
+                    D.label_distribution(lab, sentiment, "sentiment", order="category"), D.blank_rows(lab), d_eval, s_eval)
 
 
 @dataclass
@@ -85,8 +91,15 @@ class Mined:
 
 
 def mine_factors(labelled: DataFrame, cues: list[tuple[str, str]] | None = None, scorer: SC.Scorer | None = None,
-                 k: int = 10, template: str = "{}") -> Mined:
-    """Workflow 2. The template may hold ``{text}``, ``{demand}`` and ``{sentiment}``; a scorer runs once per post."""
+                 k: int = 10, template: str = "{}", demands: list[str] | None = None,
+                 sentiments: list[str] | None = None) -> Mined:
+    """Workflow 2. The template may hold ``{text}``, ``{demand}`` and ``{sentiment}``; a scorer runs once per post.
+
+    ``demands`` and ``sentiments`` keep posts with one of these labels (None: all), before any scorer sees them.
+    """
+    for column, labels in (("demand", demands), ("sentiment", sentiments)):
+        if labels is not None:
+            labelled = labelled.where(F.col(column).isin(list(labels)))
     slots = {"demand": "demand", "sentiment": "sentiment"}
     table = SC.extract_factors(labelled, "text", cues, scorer, template, slots=slots)
     if scorer is not None:
