@@ -135,7 +135,8 @@ def format_chats(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     chats = rows.groupBy(F.col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    chats = chats.select("conv", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
+    # as text: a column of numbers with a null among them would become doubles in pandas
+    chats = chats.select(F.col("conv").cast("string").alias("conv"), F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -148,8 +149,8 @@ def format_chats(
             })
 
     kind = rows.schema[conv_col].dataType.simpleString()
-    out = chats.mapInPandas(emit, f"conv {kind}, formatted string, segments {SEGMENTS}, first_error int")
-    return out.withColumnRenamed("conv", conv_col)
+    out = chats.mapInPandas(emit, f"conv string, formatted string, segments {SEGMENTS}, first_error int")
+    return out.withColumn("conv", F.col("conv").cast(kind)).withColumnRenamed("conv", conv_col)
 
 
 def read_back(chats: DataFrame, template: Template | None = None, conv_col: str = "conv_id", *keep: str) -> DataFrame:

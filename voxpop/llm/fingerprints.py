@@ -169,19 +169,21 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for f in frames:
             if not len(f):
                 continue
-            lone = f["id"].isna().to_numpy()
-            place = np.searchsorted(cuts, f["id"].to_numpy(np.float64, na_value=0), "right")
+            lone = f.pop("lone").to_numpy(bool)
+            place = np.searchsorted(cuts, f["id"].to_numpy(np.float64), "right")
             f = f.assign(kind=np.where(lone, 2, 0), part=np.where(lone, np.arange(len(f)) % ranges, place), mark=[sketch(t).own.tobytes() for t in f["text"]])
             guests = f[f["id"].isin(hosts.index).to_numpy() & ~lone]
             yield f
             if len(guests):
                 yield guests.assign(kind=1, part=guests["id"].map(hosts).astype("int64"))
 
-    laid = rows.mapInPandas(dealt, "id long, text string, kind int, part long, mark binary")
+    # no null may reach pandas, where it would make doubles of the ids: 0 stands for it, and kind 2 tells
+    told = rows.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), "text", F.col("id").isNull().alias("lone"))
+    laid = told.mapInPandas(dealt, "id long, text string, kind int, part long, mark binary")
     w = Window.partitionBy("part").orderBy("kind", F.desc("id"), "text")
     real = F.col("kind") == 0
     both = laid.select(
-        "id", "kind", "text", "mark",
+        F.when(F.col("kind") < 2, F.col("id")).alias("id"), "kind", "text", "mark",
         F.when(real, F.lead("text").over(w)).alias("next"), F.when(real, F.lead("mark").over(w)).alias("next_mark"),
     ).where("kind <> 1")
     both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))

@@ -52,7 +52,7 @@ _LONG_GAP = re.compile(r"\s{2000}")
 
 @lru_cache(maxsize=4)
 def encoder(name: str = VOCABULARY) -> Callable[[str], list[int]]:
-    """A function text -> list of ids, of a vocabulary in the installed public tokenizers; no string is special."""
+    """A function text -> list of ids, of a vocabulary in the installed public tokenizers, as the library gives them: its special strings are ids of their own."""
     import public_tokenizers
     import tiktoken
 
@@ -60,9 +60,11 @@ def encoder(name: str = VOCABULARY) -> Callable[[str], list[int]]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    plain = plain_encoder(name)
+
     def encode(text: str) -> list[int]:
-        if len(text) >= 2000 and _LONG_GAP.search(text):
-            return plain_encoder(name)(text)
+        if any(s in text for s in plain.special) or len(text) >= 2000 and _LONG_GAP.search(text):
+            return plain(text)
         return fast(text)
 
     return encode
@@ -75,8 +77,12 @@ def plain_encoder(name: str = VOCABULARY) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    t.encode_special_tokens = True
-    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+    def encode(text: str) -> list[int]:
+        return t.encode(text, add_special_tokens=False).ids
+
+    encode.special = [a.content for a in t.get_added_tokens_decoder().values()]
+    return encode
 
 
 def cut_lengths(n: int, capacity: int) -> list[tuple[int, int]]:

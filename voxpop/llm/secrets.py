@@ -63,6 +63,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
+#: Rows of the ledger; given on reading, since a first run that died leaves an empty folder.
+LEDGER = f"blob string, rule string, spans {SPANS}"
 
 
 def find(rule: Rule, text: str | None) -> list[tuple[int, int]]:
@@ -119,7 +121,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     blobs = held.groupBy("blob").agg(F.first("may").alias("may"))
     wanted = blobs.select("blob", "may", F.explode(pairs).alias("pair")).select("blob", "may", "pair.*")
     if path_exists(spark, ledger):
-        wanted = wanted.join(spark.read.parquet(ledger).select("blob", "rule"), ["blob", "rule"], "left_anti")
+        wanted = wanted.join(spark.read.schema(LEDGER).parquet(ledger).select("blob", "rule"), ["blob", "rule"], "left_anti")
     texts = held.where("may").select("blob", "text").dropDuplicates(["blob"])
     none = F.array().cast(SPANS)
     scanned = (
@@ -128,7 +130,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     )
     scanned.write.mode("append").parquet(ledger)
     keys = [r.key for r in rules]
-    found = spark.read.parquet(ledger).where(F.col("rule").isin(keys) & (F.size("spans") > 0))
+    found = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule").isin(keys) & (F.size("spans") > 0))
     return held.select("path", "version", "blob").join(found, "blob").select("path", "version", "blob", "rule", "spans")
 
 
