@@ -18,11 +18,12 @@ Ranked reports are top-k (``orderBy().limit(k)`` = distributed partial top-k).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxpop.functions import reply as R
 from voxpop.operators.factors import counted_factors
+from voxpop.operators.ordering import numbered
 from voxpop.session import materialize
 
 
@@ -173,18 +174,16 @@ def theme_table(df: DataFrame, key: str = "row_id", themes: DataFrame | None = N
 
 def theme_ranking(df: DataFrame, k: int | None = None, key: str = "row_id", themes: DataFrame | None = None) -> DataFrame:
     """Themes ``(rank, theme, frequency, sentiment)``, all of them or the top k."""
-    top = theme_table(df, key, themes)
+    top = materialize(theme_table(df, key, themes), "themes")  # sampled for the ranks: computed once
     top = top.orderBy(F.desc("frequency"), F.asc("theme")).limit(k) if k else top
-    w = Window.orderBy(F.desc("frequency"), F.asc("theme"))  # over the themes, not the rows
-    return top.withColumn("rank", F.row_number().over(w).cast("long")).select("rank", "theme", "frequency", "sentiment")
+    return numbered(top, [], [F.desc("frequency"), F.asc("theme")], "rank").select("rank", "theme", "frequency", "sentiment")
 
 
 def theme_priority(df: DataFrame, k: int | None = None, key: str = "row_id", themes: DataFrame | None = None) -> DataFrame:
     """Themes (all, or the top k) by negative share x frequency (= negative rows), ties by frequency desc, theme asc."""
-    t = theme_table(df, key, themes).withColumn("negative_share", F.col("n_negative") / F.col("frequency")) \
+    t = materialize(theme_table(df, key, themes), "themes").withColumn("negative_share", F.col("n_negative") / F.col("frequency")) \
         .withColumn("priority", F.col("negative_share") * F.col("frequency"))
     top = t.orderBy(F.desc("priority"), F.desc("frequency"), F.asc("theme")).limit(k) if k else t
-    w = Window.orderBy(F.desc("priority"), F.desc("frequency"), F.asc("theme"))  # over the themes, not the rows
-    return top.withColumn("rank", F.row_number().over(w).cast("long")).select(
+    return numbered(top, [], [F.desc("priority"), F.desc("frequency"), F.asc("theme")], "rank").select(
         "rank", "theme", "frequency", "n_negative", F.round("negative_share", 6).alias("negative_share"),
         F.round("priority", 6).alias("priority"))
