@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxpop.llm.common import settled, summed, written
+from voxpop.llm.common import rows_of, settled, summed, written
 from voxpop.operators.ordering import top_k_within
 from voxpop.session import drop_scratch
 
@@ -128,13 +128,6 @@ class DoubleArray:
         return at, self.accept[state]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], at_once: int = 500) -> Iterator[list[tuple]]:
-    """Rows of batches, some at a time: few of a batch's texts are Python objects at once."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, at_once):
-            yield list(zip(*(c.to_pylist() for c in batch.slice(i, at_once).columns), strict=True))
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """(lang, word, n), bytes, of ``docs(lang, text)``."""
 
@@ -148,7 +141,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
         held: dict[bytes, Counter] = defaultdict(Counter)
-        for rows in _rows(batches):
+        for rows in rows_of(batches):
             for lang, text in rows:
                 held[lang].update(text.translate(_FOLD).split())
                 if sum(map(len, held.values())) > HELD:
@@ -199,7 +192,7 @@ def as_codes(docs: DataFrame, words: DataFrame, n_words: int) -> tuple[DataFrame
 
 def _spell(shared: Broadcast, last: bool):
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _rows(batches):
+        for rows in rows_of(batches):
             out = []
             for lang, text, before in rows:
                 known = shared.value.get(lang, {})
@@ -225,7 +218,7 @@ def _laid(batches: Iterator[pa.RecordBatch], depth: int, step: int) -> Iterator[
     """The texts one after the other in arrays of about ``step`` numbers, and how many positions of each are its own: the
     last ones of a cut text are there again, for phrases across the cut."""
     gap, held, size = np.full(1, -1, np.int32), [], 0
-    for rows in _rows(batches):
+    for rows in rows_of(batches):
         for (codes,) in rows:
             text = np.frombuffer(codes, np.int32)
             while len(text) > step:

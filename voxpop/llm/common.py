@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,13 @@ def settled(df: DataFrame, name: str, *paths: str) -> DataFrame:
     return result
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 500) -> Iterator[list[tuple]]:
+    """Rows of batches, some at a time: few of a batch's texts are Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.numrows_of, at_once):
+            yield list(zip(*(c.to_pylist() for c in batch.slice(i, at_once).columns), strict=True))
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     order = np.argsort(keys)

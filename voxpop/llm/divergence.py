@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxpop.llm.common import settled, summed, written
+from voxpop.llm.common import rows_of, settled, summed, written
 from voxpop.operators.ordering import top_k_within
 from voxpop.session import drop_scratch
 
 #: Postings and terms that a task holds before it spills a run, and postings of a segment.
-BLOCK, NAMES, SEGMENT = 2_000_000, 400_000, 4096
+BLOCK, NAMES, SEGMENT = 1_000_000, 200_000, 4096
 #: Sources on a side of a matrix of corrections; postings of a cell and terms laid out at once.
 WIDTH, CELL_ROWS, TERMS = 512, 200_000, 512
 #: A term is kept from this number of a language's documents on.
@@ -74,7 +74,7 @@ class Block:
         group = self.groups.setdefault((lang, source), len(self.groups) + 1)
         self._texts.append((group, np.fromiter(map(self.ids[lang].__getitem__, found), np.int64, len(found))))
         self._waiting += len(found)
-        if self._waiting >= 1 << 18:
+        if self._waiting >= 1 << 17:
             self._sum()
 
     def _sum(self) -> None:
@@ -84,7 +84,7 @@ class Block:
         ids, group = seen & 0xFFFFFFFF, np.array([g for g, _ in self._texts])[seen >> 32]
         self._parts.append(summed(np.r_[group << 32 | ids, ids], np.r_[n, np.ones(len(ids), np.int64)]))
         self._texts, self._waiting = [], 0
-        if len(self._parts) > 7:  # all into one
+        if len(self._parts) > 3:  # all into one
             self._parts = [summed(*map(np.concatenate, zip(*self._parts, strict=True)))]
         self.held = sum(len(k) for k, _ in self._parts)
 
@@ -208,8 +208,8 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, s
             [pa.int32(), pa.binary(), names, longs, longs, longs, longs, names], strict=True,
         ))
         block = Block()
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rows in rows_of(batches):
+            for row in rows:
                 block.add(*row)
                 if block.held >= BLOCK or sum(map(len, block.ids.values())) >= NAMES:
                     yield from _batches(block.run(shards, SEGMENT), schema, 6)
