@@ -65,3 +65,52 @@ def test_prior_estimate():
     assert abs(Q.estimated_prior(p, u) - 0.7) < 0.1
     m = Q.PuModel.fit(p, u, 0.7)
     assert m.score(rng.normal(2, 1, (500, 2))).mean() > 0.8 > 0.2 > m.score(rng.normal(-2, 1, (500, 2))).mean()
+
+
+def test_pair_of_neutral_words_stays_in_the_model():
+    """Both words are commoner in clean texts; only together they are toxic, in 4 % of the toxic texts."""
+    rng = random.Random(3)
+    docs, y = [], []
+    for _ in range(12_000):
+        toxic = rng.random() < 0.11
+        words = [f"w{int(rng.paretovariate(0.7)) % 4000}" for _ in range(40)]
+        if toxic:
+            words += ["badword", "people"] if rng.random() < 0.04 else [rng.choice(["slur1", "slur2", "slur3"])]
+        elif (r := rng.random()) < 0.2:
+            words.append("badword" if r < 0.1 else "people")
+        docs.append(X.terms(" ".join(words)))
+        y.append(float(toxic))
+    fm = X.FactorizationMachine.fit(docs, np.array(y))
+    score = lambda t: fm.score(X.terms(t))
+    assert score("badword people") > 0.5 > max(score("badword"), score("people"), score(""))
+    assert len(fm.ids) < 40  # the ordinary words stay out
+
+
+def test_interacting_terms_by_plain_counts():
+    """The screen against a count of every pair."""
+    rng = np.random.default_rng(4)
+    x = rng.random((600, 12)) < 0.3
+    y = ((x[:, 0] & x[:, 1]) | (rng.random(600) < 0.05)).astype(float)
+    row, col = np.nonzero(x)
+    known = np.zeros(12, bool)
+    n, have = x.sum(axis=0), x.T @ y
+    logit = lambda h, k: np.log((h + 0.5) / (k - h + 0.5))
+    single, base = logit(have, n), logit(y.sum(), 600)
+    least = np.zeros(12, bool)
+    for i in range(12):
+        for j in range(i):
+            both = x[:, i] & x[:, j]
+            p = 1 / (1 + np.exp(-(single[i] + single[j] - base)))
+            off = abs(y[both].sum() - both.sum() * p) / np.sqrt(both.sum() * p * (1 - p) + 1)
+            if both.sum() >= X.MIN_DOCS and both.sum() < 0.9 * min(n[i], n[j]) and off >= X.PAIR_DEVIATIONS:
+                least[[i, j]] = True
+    assert (X.interacting(row, col, y, 12, known) == least).all()
+
+
+def test_negative_labels_are_not_read(spark):
+    good, bad = "A calm sentence, number {}, ends here.", "$$$ || !!! {} %%% ###"
+    docs = spark.createDataFrame([(i, (good if i % 4 else bad).format(i)) for i in range(400)], "doc_id long, text string")
+    labels = [(i, int(i % 4 > 0)) for i in range(0, 400, 3)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    scores = lambda rows: sorted((r.doc_id, r.score) for r in Q.score_quality(docs, table(rows), ~held_out()).collect())
+    assert scores(labels) == scores([x for x in labels if x[1]])

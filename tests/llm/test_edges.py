@@ -43,3 +43,15 @@ def test_a_ledger_left_empty_by_a_dead_run(spark, tmp_path):
     versions = spark.createDataFrame([("p", 0, "password = abcdefghijkl1234")], "path string, version int, text string")
     assert secrets.scan(versions, ledger).where(F.size("spans") > 0).count() == 1
     assert secrets.scan(versions, ledger).count() == 1
+
+
+def test_columns_named_like_the_operators_own(spark):
+    """Columns called _blob, _spans or row keep their values in rows with findings."""
+    from voxpop.llm import secrets, surrogates
+
+    rows = [(1, "password = abcdefghijkl123 and bob@example.org", "mine", 7, "x"), (2, None, "b", None, None), (3, "nothing", "c", 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _blob string, _spans int, row string")
+    for got in (secrets.redact(docs), surrogates.replace_private(docs, key="k")):
+        kept = {r.doc_id: (r._blob, r._spans, r.row) for r in got.collect()}
+        assert kept == {1: ("mine", 7, "x"), 2: ("b", None, None), 3: ("c", 9, "z")}
+        assert got.where("doc_id = 1").first().text != rows[0][1]

@@ -96,3 +96,20 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root[x] for x in linked}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_repeated_id_with_two_texts_keeps_both_links(spark, turned):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "nothing of it")]
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(docs, size=2).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    assert sorted(r.doc_id for r in M.keep_one(docs, size=2).collect()) == [1, 1, 4]
+
+
+def test_component_is_called_by_its_smallest_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(90 - 7 * i, text + f" end{i}") for i in range(8)] + [(5, "alone here"), (2, "alone there")]
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == {**{90 - 7 * i: 41 for i in range(8)}, 5: 5, 2: 2}

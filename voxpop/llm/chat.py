@@ -171,9 +171,9 @@ def read_back(chats: DataFrame, template: Template | None = None, conv_col: str
 
 
 def digests(chats: DataFrame, template: Template | None = None, conv_col: str = "conv_id") -> DataFrame:
-    """(id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) as read back from the output of :func:`format_chats`."""
+    """(id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, first_error) of the output of :func:`format_chats`, read back."""
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    both = read_back(chats.select(conv_col, "formatted", "segments"), template, conv_col, "formatted")
+    both = read_back(chats, template, conv_col, "formatted", "first_error")
     return both.select(
         conv_col,
         F.size("turns").cast("long").alias("n_turns"),
@@ -181,4 +181,5 @@ def digests(chats: DataFrame, template: Template | None = None, conv_col: str =
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "first_error",
     )

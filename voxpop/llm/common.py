@@ -52,6 +52,20 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def lowest_hashes(rows: DataFrame, n: int, salt: int = 0) -> DataFrame:
+    """Rows whose ``id`` hashes low enough to be among the ``n`` lowest hashes, and some more.
+
+    The bound comes from the number of rows, so a following ``orderBy(hash).limit(n)``
+    meets little more than ``n`` rows instead of ``n`` of every partition.
+    """
+    share = (1.1 * n + 1000) / max(1, rows.count())
+    return rows.where(hash_of_id(salt) < -(2**63) + int(share * 2**64)) if share < 1 else rows
+
+
+def hash_of_id(salt: int = 0):
+    return F.xxhash64(F.col("id"), F.lit(salt))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id per node of an undirected graph.
 

@@ -1,7 +1,8 @@
 """MinHash near-duplicates with odd sketches (operator 2).
 
 Every document becomes the set of its distinct word shingles. Equal sets are
-collapsed to their smallest id. The rest carry 128 MinHash samples: 32 bands of
+one numbered node, so an id that repeats with different texts is one node per
+set. The nodes carry 128 MinHash samples: 32 bands of
 4 samples name the buckets in which candidates meet, and an odd sketch
 (Mitzenmacher, Pagh and Pham 2014) folds the samples into a parity bitmap, so
 that the population count of the XOR of two bitmaps estimates their similarity.
@@ -135,13 +136,13 @@ def most_flips(percent: int, n: int, bits: int, deviations: float) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n_shingles, set_key (null without words), bands array<long>, sketch array<long>."""
+    """id, mark (a hash of the text), n_shingles, set_key (null without words), bands array<long>, sketch array<long>."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _params(BANDS * ROWS)
         for batch in batches:
             n, key, bands, sketch = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 h = shingle_hashes(words_of(text.as_py()), size)
                 n.append(len(h))
                 if len(h):
@@ -158,16 +159,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 for x in (bands, sketch)
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *lists],
-                ["id", "n_shingles", "set_key", "bands", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *lists],
+                ["id", "mark", "n_shingles", "set_key", "bands", "sketch"],
             )
 
     ship_package(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        sign, "id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+    return _marked(docs, id_col, text_col).mapInArrow(
+        sign, "id long, mark long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
     )
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, text): the mark tells the texts of a repeated id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+
+
 def fine_sketches(texts: DataFrame, size: int) -> DataFrame:
     """(id, size, fine array<long>) of rows (id, text)."""
 
@@ -225,8 +231,8 @@ def near_duplicates(
     >= ``percent`` * union of the shingle sets), itself included; ``kept`` is
     whether it is the own id. Texts with fewer than ``size`` words count as one
     shingle. Null, empty and blank texts have no shingles and link with
-    nothing. Rows that repeat an id share its set's class when texts agree and
-    are single rows of the class otherwise; a null id is never linked and is
+    nothing. Links hold between texts: a row that repeats an id with another
+    text has the class of its own text, whatever the order of the rows; a null id is never linked and is
     always kept (component_id null). Other columns of ``docs`` are not read.
     An empty table gives an empty result.
     """
@@ -234,13 +240,14 @@ def near_duplicates(
     sig, _ = written(signatures(docs, id_col, text_col, size), "minhash")
     known = sig.where("id is not null and set_key is not null")
     reps = known.groupBy("set_key").agg(F.min("id").alias("rep"))
-    # one row per distinct set; an id with several texts may stand for several sets
-    first = (
+    # one row per distinct set, numbered once: the numbers are the nodes and stand as "id" up to the classes
+    nodes = (
         known.join(reps, (known.id == reps.rep) & (known.set_key == reps.set_key), "left_semi")
         .dropDuplicates(["id", "set_key"])
-        .select("id", "bands", "sketch")
+        .select("set_key", F.col("id").alias("rep"), "mark", "bands", "sketch", F.monotonically_increasing_id().alias("node"))
     )
-    first, _ = written(first, "reps")
+    nodes, _ = written(nodes, "nodes")
+    first = nodes.select(F.col("node").alias("id"), "bands", "sketch")
     rows = first.select("id", F.explode("bands").alias("bucket"))
     # the smallest id XOR bucket is a pseudo-random member, and gives its id back
     leaders = (
@@ -264,9 +271,10 @@ def near_duplicates(
     star, _ = written(star, "star")
     ids = members.select("id").distinct()
     texts, _ = written(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .join(ids, "id", "left_semi")
-        .dropDuplicates(["id"]),
+        _marked(docs, id_col, text_col)
+        .join(nodes.join(ids, nodes.node == ids.id, "left_semi").select(F.col("rep").alias("id"), "mark", "node"), ["id", "mark"])
+        .dropDuplicates(["node"])
+        .select(F.col("node").alias("id"), "text"),
         "texts",
     )
 
@@ -294,10 +302,10 @@ def near_duplicates(
         found = placed_pairs(found)
         merged = connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_new"))
-        nodes = comps.unionByName(found.select(F.col("a").alias("node"), F.col("ca").alias("component")))
-        nodes = nodes.unionByName(found.select(F.col("b").alias("node"), F.col("cb").alias("component"))).distinct()
-        nodes = nodes.join(merged, "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
-        comps, _ = written(nodes, "comps")
+        named = comps.unionByName(found.select(F.col("a").alias("node"), F.col("ca").alias("component")))
+        named = named.unionByName(found.select(F.col("b").alias("node"), F.col("cb").alias("component"))).distinct()
+        named = named.join(merged, "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
+        comps, _ = written(named, "comps")
 
     more(apart(star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()))
 
@@ -337,10 +345,10 @@ def near_duplicates(
         if not rest.isEmpty():
             more(rest)
 
-    classes = (
-        reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    )
+    # a component is called by its smallest id, a set without links by its own
+    placed_sets = nodes.select("set_key", "rep", "node").join(comps, "node", "left")
+    least = placed_sets.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    classes = placed_sets.join(least, "component", "left").select("set_key", F.coalesce("least", "rep").alias("component_id"))
     out = sig.where("set_key is not null and id is not null").join(classes, "set_key").select("id", "n_shingles", "component_id")
     alone = sig.where("set_key is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(
@@ -352,7 +360,10 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the near-duplicates of a document with a smaller id; repeated rows of a kept id all stay."""
+    """``docs`` without the near-duplicates of a document with a smaller id.
+
+    Rows that repeat an id stay or go together: they go when none of them is kept.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where("not kept").select(id_col).distinct()
+    gone = found.groupBy(id_col).agg(F.bool_or("kept").alias("stays")).where("not stays").select(id_col)
     return docs.join(gone, id_col, "left_anti")

@@ -9,9 +9,8 @@ with the logistic loss and a linear score over properties of the writing (the
 share of symbols, capitals, repeated words and lines, and so on, and their
 squares). Where the inner risk turns negative, the step goes against it.
 
-The class prior pi is estimated as the share of positives among a random
-sample of labelled rows when labels of both kinds exist, else by the
-Elkan-Noto estimator on the positives. Both samples are bounded by parameters
+The class prior pi comes from the positives and the unlabelled rows alone, by
+the Elkan-Noto estimator; rows labelled as negative are not read. Both samples are bounded by parameters
 (``POSITIVES``, ``UNLABELLED``), are taken in the order of a hash of the id
 and travel as a few dozen numbers a row. Scoring covers every whole text.
 """
@@ -25,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxpop.llm.common import hash_of_id, lowest_hashes
 from voxpop.llm.toxicity import labelled_sample
 from voxpop.session import ship_package
 
@@ -123,17 +123,15 @@ def _sampled(rows: DataFrame) -> pd.DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, learn, *, label: str, id_col: str, text_col: str, positives: int, unlabelled: int) -> PuModel:
     ship_package(docs.sparkSession)
-    trusted = _sampled(labelled_sample(docs, labels, label, id_col, text_col, positives, learn))
+    trusted = _sampled(labelled_sample(docs, labels.where(F.col(label) > 0), label, id_col, text_col, positives, learn))
     web = docs.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
-    web = web.orderBy(F.xxhash64(F.col("id"), F.lit(1)), "id").limit(unlabelled).distinct().withColumn("y", F.lit(0))
+    web = lowest_hashes(web, unlabelled, 1).distinct().orderBy(hash_of_id(1), "id").limit(unlabelled).withColumn("y", F.lit(0))
     web = _sampled(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(web), "id")
     )
     of = lambda f: np.stack(f["x"].to_list()) if len(f) else np.empty((0, N_PROPERTIES))
-    p, u = of(trusted[trusted["y"] > 0]), of(web)
-    share = (trusted["y"] > 0).mean() if len(trusted) else 0.0
-    prior = float(min(share, 0.98)) if 0 < share < 1 else estimated_prior(p, u)
-    return PuModel.fit(p, u, prior)
+    p, u = of(trusted), of(web)
+    return PuModel.fit(p, u, estimated_prior(p, u))
 
 
 def score_quality(

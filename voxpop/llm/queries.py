@@ -127,15 +127,21 @@ e AS (
   SELECT *, regexp_replace(
     replace(text, '\', '\\'),
     '(<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\])', chr(1) || '\1', 'g') AS marked,
-    role IN ('system', 'user', 'assistant') AS known
-  FROM t)
+    row_number() OVER w - 1 AS place,
+    CASE lag(role, 1, 'start') OVER w @STEPS@ ELSE false END AS follows
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(marked) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length(role) END)::BIGINT AS formatted_chars
+  sum(length(marked) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length(role) END)::BIGINT AS formatted_chars,
+  coalesce(min(place) FILTER (NOT follows),
+    CASE WHEN arg_max(role, place) IN (@ENDS@) THEN -1 ELSE count(*) END)::INTEGER AS first_error
 FROM e GROUP BY conv_id
 """
+_MACHINE = chat.Template()
+_STEPS = " ".join(f"WHEN '{a}' THEN role IN ({', '.join(map(repr, b))})" for a, b in _MACHINE.steps.items())
+OP10_SQL = OP10_SQL.replace("@STEPS@", _STEPS).replace("@ENDS@", ", ".join(map(repr, _MACHINE.ends)))
 
 
 def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

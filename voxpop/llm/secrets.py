@@ -187,6 +187,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
         return pd.Series(out, dtype=object)
 
     may = screened(rules, text_col)
-    hit = docs.where(may).withColumn("_blob", blob_id(text_col)).join(of_blob, "_blob", "left")
-    hit = hit.withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).select(*docs.columns)
-    return docs.where(~may).unionByName(hit)
+    # a row travels as one value: its columns may have any names
+    hit = docs.where(may).select(F.struct(*docs.columns).alias("row"), blob_id(text_col).alias("_blob")).join(of_blob, "_blob", "left")
+    text = cut(F.col("row")[text_col], F.col("_spans"))
+    return docs.where(~may).unionByName(hit.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]))

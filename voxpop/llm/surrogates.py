@@ -207,9 +207,11 @@ def replace_private(docs: DataFrame, text_col: str = "text", *, key: str = "voxp
     text = F.col(text_col)
     has = F.coalesce(text.rlike("[@0-9]|" + _TITLE) & text.rlike(PATTERN), F.lit(False))
     clean = docs.where(~has).withColumn(count_col, F.lit(0).cast("long"))
-    hits, _ = written(docs.where(has).withColumn("_blob", F.sha2(text.cast("binary"), 256)), "private")
+    # a row travels as one value: its columns may have any names
+    hits = docs.where(has).select(F.struct(*docs.columns).alias("row"), F.sha2(text.cast("binary"), 256).alias("_blob"))
+    hits, _ = written(hits, "private")
 
-    found = hits.select("_blob", text.alias("t")).dropDuplicates(["_blob"])
+    found = hits.select("_blob", F.col("row")[text_col].alias("t")).dropDuplicates(["_blob"])
     # capitalised words are looked at only in texts with a titled name
     cut = lambda p, named: found.where(F.col("t").rlike(NAME) == named).select(
         "_blob", F.regexp_extract_all("t", F.lit(p), 0).alias("mentions"), F.split("t", p, -1).alias("gaps")
@@ -244,5 +246,6 @@ def replace_private(docs: DataFrame, text_col: str = "text", *, key: str = "voxp
         F.concat(F.array_join(F.col("p.new"), ""), F.element_at("p", -1)["after"]).alias("_new"),
         F.col("_n").cast("long").alias("_n"),
     )
-    done = hits.join(whole, "_blob").withColumn(text_col, F.col("_new")).withColumn(count_col, F.col("_n")).select(*clean.columns)
+    value = {text_col: F.col("_new"), count_col: F.col("_n")}
+    done = hits.join(whole, "_blob").select(*[value.get(c, F.col("row")[c]).alias(c) for c in clean.columns])
     return clean.unionByName(done)

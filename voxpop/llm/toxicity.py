@@ -9,9 +9,11 @@ the mention of a group, that no sum of weights expresses.
 The model is fitted on at most ``SAMPLE`` labelled rows, taken in the order of
 a hash of the id; the bound is a parameter, and scoring covers every whole text. The fit
 is one task over that bounded sample. Terms enter the model when at least
-``MIN_DOCS`` sampled documents have them and their shares among the two classes
-differ by ``DEVIATIONS`` standard deviations, so that the thousands of ordinary
-words of a long text add no noise; it has at most ``2**BITS`` rows and is
+``MIN_DOCS`` sampled documents have them and either their shares among the two
+classes differ by ``DEVIATIONS`` standard deviations, or some pair of theirs does
+what its two terms together don't explain (:func:`interacting`). So the thousands
+of ordinary words of a long text add no noise, and a word that is harmless alone
+stays when it tells beside another. The model has at most ``2**BITS`` rows and is
 broadcast.
 """
 
@@ -25,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxpop.llm.common import hash_of_id, lowest_hashes
 from voxpop.session import ship_package
 
 #: Most labelled rows that the fit reads.
@@ -34,6 +37,8 @@ BITS = 20
 #: Terms in fewer sampled documents carry no weight.
 MIN_DOCS = 6
 DEVIATIONS = 4.0
+#: The same for pairs, of which there are millions.
+PAIR_DEVIATIONS = 8.0
 FACTORS = 4
 STEM = 4
 _PUNCT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -49,6 +54,43 @@ def terms(text: str | None, bits: int = BITS) -> np.ndarray:
     return np.unique(np.fromiter(map(crc32, words), np.int64, len(words)) & ((1 << bits) - 1))
 
 
+def interacting(row: np.ndarray, col: np.ndarray, y: np.ndarray, m: int, known: np.ndarray) -> np.ndarray:
+    """Which of ``m`` terms belong to a pair with an effect of its own.
+
+    ``row`` and ``col`` say which document has which term. A pair's share of
+    class 1 is compared with the sum of the effects (in log odds) of its two
+    terms; it counts when it differs by ``PAIR_DEVIATIONS``. Pairs of two
+    ``known`` terms are not looked at. Every document is read once per term it has.
+    """
+    d = len(y)
+    logit = lambda have, n: np.log((have + 0.5) / (n - have + 0.5))
+    # frequent terms first, so that a pair is looked at once, from its rarer term
+    by_n = np.argsort(-np.bincount(col, minlength=m), kind="stable")
+    rank = np.empty(m, np.int64)
+    rank[by_n] = np.arange(m)
+    col = rank[col]
+    entries = np.lexsort((col, row))
+    row, col, known = row[entries], col[entries], known[by_n]
+    n = np.bincount(col, minlength=m)
+    single = logit(np.bincount(col, y[row], m), n)
+    base = logit(y.sum(), d)
+    starts = np.searchsorted(row, np.arange(d + 1))
+    places = np.split(np.argsort(col, kind="stable"), np.cumsum(n)[:-1]) if m else []
+    found = np.zeros(m, bool)
+    for j, at in enumerate(places):
+        docs = row[at]
+        beside = np.concatenate([col[starts[i] : end] for i, end in zip(docs, at, strict=True)])
+        both = np.bincount(beside, minlength=j)
+        toxic = np.bincount(beside, np.repeat(y[docs], at - starts[docs]), j)
+        # a term that nearly always stands beside the other one makes no pair of its own
+        i = np.flatnonzero((both >= MIN_DOCS) & (both < 0.9 * n[j]) & ~(known[:j] & known[j]))
+        p = 1 / (1 + np.exp(-np.clip(single[i] + single[j] - base, -30, 30)))
+        off = np.abs(toxic[i] - both[i] * p) / np.sqrt(both[i] * p * (1 - p) + 1)
+        if (off >= PAIR_DEVIATIONS).any():
+            found[i[off >= PAIR_DEVIATIONS]] = found[j] = True
+    return found[rank]
+
+
 class FactorizationMachine:
     """Weights of the active terms: ``ids`` (sorted), ``w``, ``v`` (a row each), and the bias ``w0``."""
 
@@ -86,7 +128,10 @@ class FactorizationMachine:
         have, share = np.bincount(where, y[row], len(ids)), n / len(docs)
         spread = np.sqrt(share * (1 - share) * (1 / n1 + 1 / (len(docs) - n1))) + 1e-12
         apart = np.abs(have / n1 - (n - have) / (len(docs) - n1)) / spread
-        keep = (n >= min(min_docs, max(1, len(docs) // 20))) & (apart >= DEVIATIONS)
+        often = n >= min(min_docs, max(1, len(docs) // 20))
+        keep = often & (apart >= DEVIATIONS)
+        at = (np.cumsum(often) - 1)[where[often[where]]]
+        keep[often] |= interacting(row[often[where]], at, y, int(often.sum()), keep[often])
         row = row[keep[where]]
         col = (np.cumsum(keep) - 1)[where[keep[where]]]
         ids, d, m = ids[keep], len(docs), int(keep.sum())
@@ -117,12 +162,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     Only the ids, at most ``sample`` longs, are broadcast, so the texts are
     filtered where they are read. A doubled label counts as its largest value.
     """
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learn)
-        .select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
-        .groupBy("id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(sample)
-    )
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learn)
+    known = known.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
+    chosen = lowest_hashes(known, sample).groupBy("id").agg(F.max("y").alias("y")).orderBy(hash_of_id(), "id").limit(sample)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
 
