@@ -51,13 +51,17 @@ def _distinct_points(df: DataFrame, key: str, vec_col: str, dedupe_col: str | No
     return g.select(F.col("m.id").alias("id"), F.col("m.vec").alias("vec"), "w", F.col(dedupe_col).alias("_dk"))
 
 
+def rows_to_cluster(df: DataFrame, vec_col: str = "embedding", dedupe_col: str | None = "text") -> DataFrame:
+    """P10: the rows that have a vector and, where equal texts count once, a text."""
+    rows = df.where(F.col(vec_col).isNotNull())
+    return rows if dedupe_col is None else rows.where(F.col(dedupe_col).isNotNull())
+
+
 def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding", dedupe_col: str | None = "text",
                   thresholds: list[float] | None = None, block_rows: int = 1024) -> ClusterResult:
     """V12. ``df(key, vec_col[, dedupe_col])``; rows with a null vector are dropped (P10)."""
     spark = df.sparkSession
-    rows = df.where(F.col(vec_col).isNotNull())
-    if dedupe_col is not None:
-        rows = rows.where(F.col(dedupe_col).isNotNull())
+    rows = rows_to_cluster(df, vec_col, dedupe_col)
     pts = materialize(V.normalize(_distinct_points(rows, key, vec_col, dedupe_col), "vec", "unit"), "sweep-points")
     n = pts.count()
     ths = thresholds if thresholds is not None else threshold_grid()

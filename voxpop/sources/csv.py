@@ -27,6 +27,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,13 +171,17 @@ def read_csv_simple(spark: SparkSession, paths: str | list[str], required: str |
 
 
 def read_optional(spark: SparkSession, path: str | None, required: str, **kw) -> DataFrame | None:
-    """A table used only if it exists and has the column; any failure -> None."""
+    """A table used only if it exists, decodes and has the column, else None; a failing cluster is an error."""
     if not path:
         return None
     try:
         return read_csv_tolerant(spark, path, required, **kw)
-    except Exception:  # noqa: BLE001 - the reference treats every read failure as "no truth"
+    except ValueError:  # no encoding reads it with that column
         return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", None):
+            return None
+        raise
 
 
 def _latin1_to_gb18030(c):
