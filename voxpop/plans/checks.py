@@ -213,24 +213,32 @@ def q_csv_mixed_headers(spark, sf_dir):
     docs = TB.load(spark, sf_dir, "documents")
     base = scratch_path(spark, "csv-mixed")
     CSV.allow_charset(spark, "GB18030")
-    K.write_csv(docs.where("doc_id % 2 = 0").select("doc_id", "text", "lang", "source").coalesce(1), f"{base}/a")
-    K.write_csv(docs.where("doc_id % 2 <> 0").select("source", "text", "doc_id").coalesce(1), f"{base}/b", encoding="GB18030")
+    K.write_csv(docs.where("doc_id % 2 = 0").select("doc_id", "text", "lang", "source"), f"{base}/a")
+    K.write_csv(docs.where("doc_id % 2 <> 0").select("source", "text", "doc_id"), f"{base}/b", encoding="GB18030")
     back = CSV.read_csv_tolerant(spark, [f"{base}/a", f"{base}/b"], required="text")
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
 
 
 def q_csv_late_encoding(spark, sf_dir):
-    """Rows that only GB18030 decodes come last in the file, beyond any head of it."""
+    """Rows that only GB18030 decodes come last in each file, beyond any head of it."""
     docs = TB.load(spark, sf_dir, "documents")
     path = scratch_path(spark, "csv-late")
     CSV.allow_charset(spark, "GB18030")
-    late = docs.select("doc_id", "text").repartition(1).sortWithinPartitions(~F.col("text").rlike("^[\\x00-\\x7F]*$"), "doc_id")
+    late = docs.select("doc_id", "text").sortWithinPartitions(~F.col("text").rlike("^[\\x00-\\x7F]*$"), "doc_id")
     late = late.withColumn("text", F.when(F.col("text").rlike("[^\\x00-\\x7F]"), F.concat(F.lit("（）"), "text")).otherwise(F.col("text")))
     K.write_csv(late, path, encoding="GB18030")
     back = CSV.read_csv_tolerant(spark, path, required="text")
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def q_csv_split_records(spark, sf_dir):
+    """Texts that begin and end in quoted line breaks, their files cut into splits inside cells."""
+    docs = TB.load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"\n,"\n'), F.coalesce("text", F.lit("")), F.lit('\n""')).alias("text"))
+    path = K.write_csv(docs, scratch_path(spark, "csv-split"))
+    back = CSV.read_csv_tolerant(spark, path, required="text", split_bytes=1 << 18)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def q_sectioned_multi_file(spark, sf_dir):
     """A listing of all documents over many files, sections running across them."""
     docs = TB.posts(spark, sf_dir).select(
@@ -381,6 +389,7 @@ def oracle() -> dict[str, str]:
             FROM p""",
         "stats_object": factor_stats_sql(),
         "csv_mixed_headers": "SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, source FROM documents",
+        "csv_split_records": "SELECT doc_id, chr(34) || chr(10) || ',' || chr(34) || chr(10) || coalesce(text, '') || chr(10) || chr(34) || chr(34) AS text FROM documents",
         "csv_late_encoding": "SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN '（）' || text ELSE text END AS text FROM documents",
         "sectioned_multi_file": """
             WITH d AS (SELECT CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END::BIGINT AS cluster_id, doc_id,

@@ -667,45 +667,32 @@ from voxpop.sources import sectioned as SEC  # noqa: E402
 from voxpop.session import materialize, scratch_path  # noqa: E402
 from voxpop.streaming import scoring as ST  # noqa: E402
 
-NATION_SUFFIX = "（国家）"
-REGION_SUFFIX = "地区"
+TEXT_SUFFIX = "（正文）"
 
 
-def _nation_cn(spark, sf_dir):
-    n = TB.load(spark, sf_dir, "nation")
-    return n.select("n_nationkey", F.concat("n_name", F.lit(NATION_SUFFIX)).alias("n_name"), "n_regionkey")
-
-
-def _write_csv_bom(df: DataFrame, path: str) -> None:
-    """A UTF-8 CSV whose first bytes are a BOM: U+FEFF written by the UTF-8 text writer."""
-    header = "﻿" + ",".join(df.columns)
-    body = df.select(F.lit(1).alias("o"), F.col(df.columns[0]).cast("long").alias("k"),
-                     F.to_csv(F.struct(*[F.col(c).cast("string") for c in df.columns])).alias("value"))
-    lines = body.unionByName(df.sparkSession.createDataFrame([(0, 0, header)], "o int, k long, value string"))
-    lines.coalesce(1).sortWithinPartitions("o", "k").select("value").write.mode("overwrite").text(path)
+def _texts_cn(spark, sf_dir):
+    return TB.load(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(TEXT_SUFFIX)).alias("text"), "lang")
 
 
 def q_csv_encodings(spark, sf_dir):
-    nat = _nation_cn(spark, sf_dir)
+    """The whole table in files of two encodings, those in UTF-8 with a BOM."""
+    docs = _texts_cn(spark, sf_dir)
     base = scratch_path(spark, "csv-encodings")
     CSV.allow_charset(spark, "GB18030")
-    # the whole table, in two files of two encodings
-    (nat.where(F.col("n_regionkey") <= 1).coalesce(1).write.mode("overwrite")
-     .option("header", True).option("encoding", "GB18030").csv(f"{base}/gb"))
-    _write_csv_bom(nat.where(F.col("n_regionkey") > 1), f"{base}/bom")
-    back = CSV.read_csv_tolerant(spark, [f"{base}/gb", f"{base}/bom"], required="n_name")
-    return back.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name",
-                       F.col("n_regionkey").cast("int").alias("n_regionkey"))
+    K.write_csv(docs.where("doc_id % 2 = 0"), f"{base}/gb", encoding="GB18030")
+    K.write_csv(docs.where("doc_id % 2 <> 0").withColumnRenamed("doc_id", "\ufeffdoc_id"), f"{base}/bom")
+    back = CSV.read_csv_tolerant(spark, [f"{base}/gb", f"{base}/bom"], required="text")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
 
 def q_mojibake_repair(spark, sf_dir):
-    reg = TB.load(spark, sf_dir, "region").select("r_regionkey", F.concat("r_name", F.lit(REGION_SUFFIX)).alias("r_name"))
+    """S3: GB18030 files read as latin1, then repaired."""
     path = scratch_path(spark, "mojibake")
     CSV.allow_charset(spark, "GB18030")
-    reg.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "GB18030").csv(path)
-    garbled = CSV.read_csv_tolerant(spark, path, required="r_name", candidates=["latin1"])
+    K.write_csv(_texts_cn(spark, sf_dir).withColumnRenamed("text", "正文"), path, encoding="GB18030")
+    garbled = CSV.read_csv_tolerant(spark, path, candidates=["latin1"])
     fixed = CSV.repair_mojibake(garbled)
-    return fixed.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+    return fixed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("正文").alias("text"), "lang")
 
 
 def q_sectioned_text_roundtrip(spark, sf_dir):
@@ -777,8 +764,8 @@ T_POSTS = _T.StructType([_T.StructField("row_id", _T.LongType()), _T.StructField
 
 def oracle_sources() -> dict[str, str]:
     return {
-        "csv_encodings": f"SELECT n_nationkey, n_name || '{NATION_SUFFIX}' AS n_name, n_regionkey FROM nation",
-        "mojibake_repair": f"SELECT r_regionkey, r_name || '{REGION_SUFFIX}' AS r_name FROM region",
+        "csv_encodings": f"SELECT doc_id, coalesce(text, '') || '{TEXT_SUFFIX}' AS text, lang FROM documents",
+        "mojibake_repair": f"SELECT doc_id, coalesce(text, '') || '{TEXT_SUFFIX}' AS text, lang FROM documents",
         "sectioned_text_roundtrip": """
             SELECT n_regionkey::BIGINT AS cluster_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos,
                    n_name AS text FROM nation""",
