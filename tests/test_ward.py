@@ -109,3 +109,30 @@ def test_no_table_of_a_round_outgrows_the_clusters(spark, monkeypatch):
     monkeypatch.setattr(type(pts.write), "parquet", counted)
     assert WD.ward_merges(pts, tail_clusters=1).count() == 89
     assert max(rows) == 90
+
+
+def test_cuts_by_intervals_equal_paths(spark, monkeypatch):
+    """Blocks of a few leaves, weights, and roots of several trees."""
+    monkeypatch.setattr(WD, "CUT_BLOCK", 7)
+    n = 90
+    e, _ = _load(spark, n)
+    pts = V.normalize(e, "embedding", "unit").select("id", (1 + F.col("id") % 3).alias("w"), "unit").cache()
+    merges = WD.ward_merges(pts, tail_clusters=30)
+    rows = merges.collect()
+    heights = sorted(r.height for r in rows)
+    top = max(r.round for r in rows)
+    for some in (rows, [r for r in rows if r.round < top - 1], []):
+        table = spark.createDataFrame([tuple(r) for r in some], WD.MERGE_SCHEMA)
+        leaves = WD.leaf_order(pts, table).collect()
+        assert sorted(r.leaf for r in leaves) == list(range(1, n + 1))
+        ts = [-1.0, heights[20], heights[60], heights[-1]]
+        cuts = spark.createDataFrame([(float(i), float(t)) for i, t in enumerate(ts)], "th double, t double")
+        got = WD.flat_clusters(pts, table, cuts).collect()
+        assert len(got) == n * len(ts)
+        for i, t in enumerate(ts):
+            groups = {}
+            for r in got:
+                if r.th == i:
+                    groups.setdefault(r.rep, set()).add(r.id)
+            assert sorted(sorted(g) for g in groups.values()) == _spark_cut(some, n, t)
+            assert all(rep == min(g) for rep, g in groups.items())

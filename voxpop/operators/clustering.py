@@ -74,7 +74,7 @@ def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding"
     zmax = merges.agg(F.max("height")).first()[0] or 0.0
     log.info("sweep: merges of %d points %.1fs", n, time.time() - t0)
     cuts = spark.createDataFrame([(float(th), float((1 - th) * zmax * 0.7)) for th in ths], "th double, t double")
-    reps = materialize(WD.flat_clusters(pts.select("id"), merges, cuts), "sweep-cuts")
+    reps = materialize(WD.flat_clusters(pts.select("id", "w"), merges, cuts), "sweep-cuts")
     sized = reps.join(pts.select("id", "w"), "id")
     csize = sized.groupBy("th", "rep").agg(F.sum("w").alias("size"))
     per_th = csize.groupBy("th").agg(F.count(F.lit(1)).alias("n_clusters"),

@@ -37,10 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxpop.session import drop_scratch, materialize, scratch_path
+from voxpop.operators.ordering import numbered
+from voxpop.session import drop_scratch, scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -220,12 +221,7 @@ def ward_merges(points: DataFrame, tail_clusters: int = TAIL) -> DataFrame:
     first = points.select(F.col("id").cast("long").alias("cid"), F.col("w").cast("double").alias("n"), F.lit(0.0).alias("sw"), F.lit(1).alias("k"),
                           F.col("unit").cast("array<double>").alias("mem"), F.array(F.col("w").cast("double")).alias("mw"), none.alias("s"), none.alias("m"))
 
-    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path), path
-
-    states, states_path = kept(first, "ward-states")
+    states, states_path = _kept(first, "ward-states")
     n_states = states.count()
     near, near_path = None, None
     parts: list[DataFrame] = []
@@ -236,14 +232,14 @@ def ward_merges(points: DataFrame, tail_clusters: int = TAIL) -> DataFrame:
         queries = states if near is None else states.join(near.select(F.col("c").alias("cid")), "cid", "left_anti")
         n_queries = n_states if near is None else queries.count()
         found = nearest_clusters(queries, states, n_queries, n_states)
-        now, now_path = kept(found if near is None else near.unionByName(found), "ward-near")
+        now, now_path = _kept(found if near is None else near.unionByName(found), "ward-near")
         a, b = now.alias("a"), now.alias("b")
         mutual = (a.join(b, (F.col("a.o") == F.col("b.c")) & (F.col("b.o") == F.col("a.c"))).where(F.col("a.c") < F.col("b.c"))
                   .select(F.col("a.c").alias("parent"), F.col("b.c").alias("child"), F.col("a.d").alias("height"), F.col("a.s").alias("cross")))
         up = states.withColumnRenamed("cid", "parent")
         down = states.select(F.col("cid").alias("child"), *[F.col(c).alias(f"{c}2") for c in STATE[1:]])
         pairs = mutual.join(up, "parent").join(down, "child")
-        record, _ = kept(pairs.select("child", "parent", "height", (F.col("n") + F.col("n2")).alias("size"), F.lit(rnd).alias("round")),
+        record, _ = _kept(pairs.select("child", "parent", "height", (F.col("n") + F.col("n2")).alias("size"), F.lit(rnd).alias("round")),
                          "ward-merges")
         n_merge = record.count()
         if n_merge == 0:  # cannot happen for finite distances: the global closest pair is mutual
@@ -251,7 +247,7 @@ def ward_merges(points: DataFrame, tail_clusters: int = TAIL) -> DataFrame:
         parts.append(record)
         gone = record.select(F.explode(F.array("child", "parent")).alias("cid"))
         merged = pairs.withColumnRenamed("parent", "cid").drop("child", "height").mapInPandas(_joined_states, STATE_SCHEMA)
-        nxt, nxt_path = kept(states.join(gone, "cid", "left_anti").unionByName(merged), "ward-states")
+        nxt, nxt_path = _kept(states.join(gone, "cid", "left_anti").unionByName(merged), "ward-states")
         still = now.join(gone.select(F.col("cid").alias("c")), "c", "left_anti").join(gone.select(F.col("cid").alias("o")), "o", "left_anti")
         drop_scratch(spark, states_path, *([near_path] if near_path else []))
         states, states_path, near, near_path = nxt, nxt_path, still.select("c", "o", "d", "s"), now_path
@@ -259,7 +255,7 @@ def ward_merges(points: DataFrame, tail_clusters: int = TAIL) -> DataFrame:
         log.info("ward round %d: %d searched, %d merges, %d clusters left, %.1fs", rnd, n_queries, n_merge, n_states, time.time() - t_round)
     if n_states > 1:
         tail = states.groupBy(F.lit(0).alias("g")).applyInPandas(_tail_task(rnd), MERGE_SCHEMA)
-        parts.append(kept(tail, "ward-tail")[0])
+        parts.append(_kept(tail, "ward-tail")[0])
     drop_scratch(spark, states_path, *([near_path] if near_path else []))
     if not parts:
         return spark.createDataFrame([], MERGE_SCHEMA)
@@ -269,25 +265,58 @@ def ward_merges(points: DataFrame, tail_clusters: int = TAIL) -> DataFrame:
     return out
 
 
-def flat_clusters(points: DataFrame, merges: DataFrame, cuts: DataFrame) -> DataFrame:
-    """V5 for many cuts at once: ``cuts(th, t)`` -> ``(th, id, rep)``.
+CUT_BLOCK = 65_536  # leaves whose clusters one task finds at once
+
 
-    A point's cluster at cut t is the last ancestor reached through merges of
-    height <= t (heights grow along every path: Ward is monotone). Pointer
-    doubling: the path length is at most the number of Ward rounds, so
-    ceil(log2(rounds)) + 1 joins suffice without convergence checks.
+def leaf_order(points: DataFrame, merges: DataFrame) -> DataFrame:
+    """``(id, height, leaf)``: the leaves of the dendrogram, numbered from 1 so that every cluster is an
+    interval of them, each with the height at which the cluster it gives its name to is absorbed (null: never).
+
+    A cluster's name is its smallest member, and an absorbed cluster is laid behind what its parent
+    held before, so the member that names a cluster opens its interval. A leaf's place is the sum of
+    the offsets on its path to the root, found by pointer doubling: a path is at most as long as there
+    are rounds, and leaves that have arrived are not joined again.
     """
     n_rounds = merges.agg(F.max("round")).first()[0] or 0
-    pts = points.select(F.col("id").cast("long").alias("id"))
-    par = merges.select(F.col("child").alias("id"), "parent", "height")
-    # every point meets every cut: the cut table is the small, fixed threshold grid
-    base = pts.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    ptr = (base.join(par, "id", "left")
-           .select("th", "id", F.when(F.col("height") <= F.col("t"), F.col("parent")).otherwise(F.col("id")).alias("ptr")))
-    ptr = materialize(ptr, "cut-ptr")
-    steps = max(1, math.ceil(math.log2(max(n_rounds, 1))) + 1)
-    for _ in range(steps):
-        nxt = ptr.select("th", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
-        ptr = materialize(ptr.join(nxt, ["th", "ptr"], "left")
-                          .select("th", "id", F.coalesce("ptr2", "ptr").alias("ptr")), "cut-ptr")
-    return ptr.select("th", "id", F.col("ptr").alias("rep"))
+    pts = points.select(F.col("id").cast("long").alias("id"), F.col("w").cast("double").alias("w"))
+    # one merge of a parent a round: the rows of its window are its merges, not its members
+    mine = Window.partitionBy("parent").orderBy("round")
+    par = (merges.withColumn("held", F.lag("size").over(mine)).join(pts.select(F.col("id").alias("parent"), "w"), "parent")
+           .select(F.col("child").alias("id"), F.col("parent").alias("to"), F.coalesce("held", "w").alias("place"), "height"))
+    start = pts.select("id").join(par, "id", "left")
+    walk, path = _kept(start.select("id", F.coalesce("to", "id").alias("to"), F.coalesce("place", F.lit(0.0)).alias("place"),
+                                    "height", F.col("to").isNull().alias("arrived")), "cut-walk")
+    for _ in range(math.ceil(math.log2(max(n_rounds, 1))) + 1):
+        ahead = walk.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("place").alias("place2"), F.col("arrived").alias("arrived2"))
+        moved = walk.where(~F.col("arrived")).join(ahead, "to").select(
+            "id", F.col("to2").alias("to"), (F.col("place") + F.col("place2")).alias("place"), "height", F.col("arrived2").alias("arrived"))
+        walk, now = _kept(walk.where("arrived").unionByName(moved), "cut-walk")
+        drop_scratch(points.sparkSession, path)
+        path = now
+    return numbered(walk, [], [F.col("to").asc(), F.col("place").asc()], "leaf").select("id", "height", "leaf")
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def flat_clusters(points: DataFrame, merges: DataFrame, cuts: DataFrame) -> DataFrame:
+    """V5 for many cuts at once: ``points(id, w)``, ``cuts(th, t)`` -> ``(th, id, rep)``.
+
+    Heights grow along every path (Ward is monotone), so at cut t a leaf opens a cluster
+    if what it names is absorbed above t, and a leaf's cluster is the last one opened up
+    to it in leaf order: one sorted pass for all cuts. Blocks of leaves run alone; the
+    cluster that is open where a block begins comes from a table of one row per block.
+    """
+    grid = [(float(r.th), float(r.t)) for r in cuts.collect()]  # the small, fixed threshold grid
+    leaves = leaf_order(points, merges).withColumn("block", F.floor((F.col("leaf") - 1) / CUT_BLOCK))
+    opened = [F.when(F.col("height").isNull() | (F.col("height") > t), F.col("id")) for _, t in grid]
+    so_far = Window.partitionBy("block").orderBy("leaf").rowsBetween(Window.unboundedPreceding, 0)
+    inner = leaves.select("id", "block", *[F.last(o, ignorenulls=True).over(so_far).alias(f"r{i}") for i, o in enumerate(opened)])
+    blocks = leaves.groupBy("block").agg(*[F.max_by(o, F.when(o.isNotNull(), F.col("leaf"))).alias(f"e{i}") for i, o in enumerate(opened)])
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not leaves
+    carried = blocks.select("block", *[F.last(f"e{i}", ignorenulls=True).over(before).alias(f"c{i}") for i in range(len(grid))])
+    reps = [F.struct(F.lit(th).alias("th"), F.coalesce(f"r{i}", f"c{i}").alias("rep")) for i, (th, _) in enumerate(grid)]
+    return inner.join(carried, "block").select("id", F.explode(F.array(*reps)).alias("x")).select("x.th", "id", "x.rep")
