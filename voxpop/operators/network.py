@@ -65,9 +65,11 @@ def _degrees(edges: DataFrame) -> DataFrame:
 def communities(edges: DataFrame) -> DataFrame:
     """``(node, community)``; community id = a member node's name (string).
 
-    Levels of local moving by modularity gain: after each, communities become
-    the nodes of a smaller graph (inner weight as loops), until no level moves
-    anything.
+    Levels of local moving by modularity gain: after each, a community that fell
+    apart (its nodes move at the same time) is split into its connected parts,
+    which never lowers Q, and the parts become the nodes of a smaller graph
+    (inner weight as loops), until no level moves anything. So every community is
+    connected; its id is its smallest part's.
     """
     return community_levels(edges)[0]
 
@@ -82,7 +84,7 @@ def community_levels(edges: DataFrame) -> tuple[DataFrame, list[float]]:
     graph, loops = edges, edges.select(F.col("a").alias("node"), "weight").limit(0)
     levels: list[float] = []
     while True:
-        moved = materialize(_moved(graph, loops, m), "net-moved")
+        moved = materialize(connected_parts(graph, _moved(graph, loops, m)), "net-moved")
         if moved.where("node <> community").isEmpty():
             return comm, levels
         up = moved.select(F.col("node").alias("community"), F.col("community").alias("_up"))
@@ -97,6 +99,27 @@ def community_levels(edges: DataFrame) -> tuple[DataFrame, list[float]]:
         graph = merged.where("a <> b")
 
 
+def connected_parts(edges: DataFrame, comm: DataFrame) -> DataFrame:
+    """``(node, community)`` with every community split into its connected parts, named by their smallest node.
+
+    Each round a node takes the smallest label around it and then its label's label, so labels
+    run along paths in doubling steps; only edges inside communities are kept.
+    """
+    comm = materialize(comm.select("node", "community"), "net-parts")
+    to = lambda c: comm.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    inner = edges.join(to("a"), "a").join(to("b"), "b").where((F.col("ca") == F.col("cb")) & (F.col("a") != F.col("b"))).select("a", "b")
+    inner = materialize(inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"))), "net-inner")
+    label = comm.select("node", F.col("node").alias("part"))
+    while True:
+        around = inner.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("seen"))
+        low = materialize(label.join(around, "node", "left").select("node", F.col("part").alias("old"), F.least("part", "seen").alias("low")), "net-parts")
+        ahead = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
+        label = materialize(low.join(ahead, "low").select("node", "old", F.least("low", "next").alias("part")), "net-parts")
+        if label.where("old <> part").isEmpty():
+            return label.select("node", F.col("part").alias("community"))
+        label = label.select("node", "part")
+
+
 def _quality(edges: DataFrame, deg: DataFrame, comm: DataFrame, m: float) -> float:
     """Modularity of a level's graph but for the share of its loops, which no move changes."""
     to = lambda c: comm.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
