@@ -235,7 +235,7 @@ def q_csv_split_records(spark, sf_dir):
     """Texts that begin and end in quoted line breaks, their files cut into splits inside cells."""
     docs = TB.load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"\n,"\n'), F.coalesce("text", F.lit("")), F.lit('\n""')).alias("text"))
     path = K.write_csv(docs, scratch_path(spark, "csv-split"))
-    back = CSV.read_csv_tolerant(spark, path, required="text", split_bytes=1 << 18)
+    back = CSV.read_csv_tolerant(spark, path, required="text", split_bytes=1 << 20)
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
