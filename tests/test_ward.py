@@ -111,6 +111,32 @@ def test_no_table_of_a_round_outgrows_the_clusters(spark, monkeypatch):
     assert max(rows) == 90
 
 
+def test_no_state_is_copied_into_a_shuffle(spark):
+    """All pairs of blocks are a cross join; grouping by pairs of blocks wrote each state once for every block."""
+    rng = np.random.default_rng(0)
+    rows = [(i, 1.0, 0.0, 1, v.tolist(), [1.0], None, None, i % 2 == 0) for i, v in enumerate(rng.normal(size=(90, 4)))]
+    states = spark.createDataFrame(rows, WD.STATE_SCHEMA + ", asked boolean")
+    blocks, _ = WD._kept(WD.state_blocks(states, 45, (90, 90 * 4)), "blocks")
+    found = WD.nearest_clusters(blocks)
+    assert sorted(r.c for r in found.collect()) == [i for i in range(90) if i % 2 == 0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    assert "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan
+
+
+@pytest.mark.parametrize(("numbers", "products"), [(64, 100), (1 << 22, 1 << 22)])
+def test_wide_states_are_dealt_to_small_blocks(spark, monkeypatch, numbers, products):
+    """Blocks and the last task are bounded by what the states hold, not by clusters alone."""
+    n = 60
+    e, d = _load(spark, n)
+    monkeypatch.setattr(WD, "BLOCK_NUMBERS", 1 << 12 if numbers == 64 else numbers)
+    monkeypatch.setattr(WD, "TAIL_NUMBERS", numbers)
+    monkeypatch.setattr(WD, "PRODUCTS", products)
+    pts = V.normalize(e, "embedding", "unit").select("id", F.lit(1).alias("w"), "unit")
+    merges = WD.ward_merges(pts, tail_clusters=1000).collect()
+    assert np.allclose(sorted(r.height for r in merges), sorted(h for _, _, h in greedy_ward(d)), rtol=1e-9, atol=1e-12)
+
+
 def test_cuts_by_intervals_equal_paths(spark, monkeypatch):
     """Blocks of a few leaves, weights, and roots of several trees."""
     monkeypatch.setattr(WD, "CUT_BLOCK", 7)

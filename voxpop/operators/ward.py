@@ -15,11 +15,13 @@ vectors while they are few (``_most``), else its moments S = Σa and M = Σaaᵀ
 
     s = nX nY − 2 S_X·S_Y + ⟨M_X, M_Y⟩.
 
-A nearest neighbour is a search over blocks of states, two bounded blocks a
-task, and only its result leaves the task. Reducibility also says that a
-nearest neighbour stays the nearest until one of the two is merged, so a round
-searches only for clusters that merged or whose neighbour did. The written
-tables of a round are the states and the neighbours: O(clusters).
+A nearest neighbour is a search over blocks of states. A block is one row, so
+all pairs of blocks are a cross join of two short tables: no state is copied
+into a shuffle, two bounded blocks are in a task at a time, and only the nearest
+leaves it. Reducibility also says that a nearest neighbour stays the nearest
+until one of the two is merged, so a round searches only for clusters that
+merged or whose neighbour did. The written tables of a round are the states,
+their blocks and the neighbours: O(clusters).
 
 Duplicate points enter as one point with a weight: their internal merges are at
 height 0 and never change a cut. States are written to the shared checkpoint
@@ -36,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,15 +48,19 @@ from voxpop.session import drop_scratch, scratch_path
 
 log = logging.getLogger(__name__)
 
-#: Clusters on either side of a search task, and products of members in memory at once.
-QUERY_BLOCK, STATE_BLOCK, PRODUCTS = 512, 1024, 1 << 22
-#: Clusters that one task finishes: as many states as a search task holds on one side.
-TAIL = 1024
+#: Clusters in a block of those searched for, in a block of all, numbers that a block's states may hold, and products of members or numbers of moments in memory at once.
+QUERY_BLOCK, STATE_BLOCK, BLOCK_NUMBERS, PRODUCTS = 512, 1024, 1 << 22, 1 << 22
+#: Clusters that one task finishes, as many as a block holds, and the numbers that their states may hold.
+TAIL, TAIL_NUMBERS = 1024, 1 << 23
 
 MERGE_SCHEMA = "child long, parent long, height double, size double, round int"
 #: k members ``mem`` (k vectors one after the other) with weights ``mw``, or the sum ``s`` and the packed moments ``m``.
 STATE_SCHEMA = "cid long, n double, sw double, k int, mem array<double>, mw array<double>, s array<double>, m array<double>"
 STATE = ["cid", "n", "sw", "k", "mem", "mw", "s", "m"]
+#: A block of states as one row: the arrays of :class:`States`.
+ARRAYS = {"cid": "i8", "n": "f8", "sw": "f8", "small": "?", "k": "i8", "w": "f8", "vecs": "f8", "s": "f8", "m": "f8"}
+BLOCK_SCHEMA = "side int, block int, " + ", ".join(f"{c} binary" for c in ARRAYS)
+NEAR_SCHEMA = "c long, n double, d double, o long, s double"
 
 
 def _most(d: int) -> int:
@@ -68,35 +75,62 @@ def _packed(vecs: np.ndarray, w: np.ndarray) -> np.ndarray:
     return moments[i, j] * np.where(i == j, 1.0, math.sqrt(2.0))
 
 
+def _numbers(d: int) -> int:
+    """How many numbers the moments of a cluster are, with its size."""
+    return 1 + d + d * (d + 1) // 2
+
+
 class States:
     """Cluster states of one block, in the order of their ids."""
 
     def __init__(self, pdf: pd.DataFrame):
         pdf = pdf.sort_values("cid")
-        self.cid, self.n, self.sw = pdf["cid"].to_numpy(np.int64), pdf["n"].to_numpy(np.float64), pdf["sw"].to_numpy(np.float64)
-        self.small = pdf["mem"].notna().to_numpy()
-        few, many = pdf[self.small], pdf[~self.small]
-        self.k = few["k"].to_numpy(np.int64)
+        small = pdf["mem"].notna().to_numpy()
+        few, many = pdf[small], pdf[~small]
+        none = np.empty(0)
+        self._hold({
+            "cid": pdf["cid"].to_numpy(np.int64), "n": pdf["n"].to_numpy(np.float64), "sw": pdf["sw"].to_numpy(np.float64),
+            "small": small, "k": few["k"].to_numpy(np.int64),
+            "w": np.concatenate(few["mw"].to_list()) if len(few) else none, "vecs": np.concatenate(few["mem"].to_list()) if len(few) else none,
+            "s": np.concatenate(many["s"].to_list()) if len(many) else none, "m": np.concatenate(many["m"].to_list()) if len(many) else none})
+
+    @classmethod
+    def of_row(cls, columns: dict[str, pa.Array], at: int) -> States:
+        """From one row of a table of blocks."""
+        out = cls.__new__(cls)
+        out._hold({c: np.frombuffer(columns[c][at].as_buffer(), kind) for c, kind in ARRAYS.items()})
+        return out
+
+    def _hold(self, arrays: dict[str, np.ndarray]) -> None:
+        self.arrays = arrays
+        self.cid, self.n, self.sw, self.small, self.k, self.w = (arrays[c] for c in ("cid", "n", "sw", "small", "k", "w"))
         self.starts = np.r_[0, np.cumsum(self.k)]
-        self.w = np.concatenate(few["mw"].to_list()) if len(few) else np.empty(0)
-        self.vecs = np.concatenate(few["mem"].to_list()).reshape(len(self.w), -1) if len(few) else np.empty((0, 0))
-        self._s = np.stack(many["s"].to_list()) if len(many) else None
-        self._m = np.stack(many["m"].to_list()) if len(many) else None
+        self.vecs = arrays["vecs"].reshape(len(self.w), -1) if len(self.w) else np.empty((0, 0))
+        n_many = len(self.cid) - len(self.k)
+        self._s, self._m = (arrays[c].reshape(n_many, -1) if n_many else None for c in ("s", "m"))
+        self.d = self.vecs.shape[1] if len(self.w) else self._s.shape[1]
+        self._place = np.where(self.small, np.cumsum(self.small), np.cumsum(~self.small)) - 1  # among the small ones, or the others
         self._features: np.ndarray | None = None
 
-    def features(self) -> np.ndarray:
-        """n, S and M of every cluster in a row."""
-        if self._features is None:
-            d = self.vecs.shape[1] if len(self.w) else self._s.shape[1]
-            out = np.empty((len(self.cid), 1 + d + d * (d + 1) // 2))
-            out[:, 0] = self.n
-            if self._s is not None:
-                out[~self.small, 1 : d + 1], out[~self.small, d + 1 :] = self._s, self._m
-            for row, a, b in zip(np.flatnonzero(self.small), self.starts[:-1], self.starts[1:], strict=True):
-                out[row, 1 : d + 1] = self.w[a:b] @ self.vecs[a:b]
-                out[row, d + 1 :] = _packed(self.vecs[a:b], self.w[a:b])
+    def features(self, rows: np.ndarray) -> np.ndarray:
+        """n, S and M of these clusters, one in a row; those of a block that is no wider than PRODUCTS are kept."""
+        if self._features is not None:
+            return self._features[rows]
+        whole = len(self.cid) * _numbers(self.d) <= PRODUCTS
+        of = np.arange(len(self.cid)) if whole else rows
+        out = np.empty((len(of), _numbers(self.d)))
+        out[:, 0] = self.n[of]
+        for row, x in enumerate(of):
+            at = self._place[x]
+            if self.small[x]:
+                a, b = self.starts[at], self.starts[at + 1]
+                out[row, 1 : self.d + 1], out[row, self.d + 1 :] = self.w[a:b] @ self.vecs[a:b], _packed(self.vecs[a:b], self.w[a:b])
+            else:
+                out[row, 1 : self.d + 1], out[row, self.d + 1 :] = self._s[at], self._m[at]
+        if whole:
             self._features = out
-        return self._features
+            return out[rows]
+        return out
 
 
 def cross_sums(x: States, y: States) -> np.ndarray:
@@ -105,18 +139,29 @@ def cross_sums(x: States, y: States) -> np.ndarray:
     if x.small.any() and y.small.any():
         rows, cols = np.flatnonzero(x.small), np.flatnonzero(y.small)
         step = max(1, PRODUCTS // max(1, len(y.w) * int(x.k.max())))
+        single = len(x.w) == len(x.k) and len(y.w) == len(y.k)
+        weighted = (x.w != 1).any() or (y.w != 1).any()
         for a in range(0, len(rows), step):
             b = min(a + step, len(rows))
             part = slice(x.starts[a], x.starts[b])
-            d2 = np.square(np.maximum(0.0, 1.0 - x.vecs[part] @ y.vecs.T)) * x.w[part, None] * y.w[None, :]
-            sums = np.add.reduceat(np.add.reduceat(d2, y.starts[:-1], axis=1), x.starts[a:b] - x.starts[a], axis=0)
-            out[np.ix_(rows[a:b], cols)] = sums
-    for rows, cols in ((~x.small, np.ones(len(y.cid), bool)), (x.small, ~y.small)):
-        if rows.any() and cols.any():
-            left, right = x.features()[rows], y.features()[cols].copy()
-            d = (x.vecs.shape[1] if len(x.w) else x._s.shape[1]) + 1
-            right[:, 1:d] *= -2.0
-            out[np.ix_(rows, cols)] = np.maximum(0.0, left @ right.T)
+            d2 = x.vecs[part] @ y.vecs.T
+            np.subtract(1.0, d2, out=d2)
+            np.maximum(0.0, d2, out=d2)
+            np.square(d2, out=d2)
+            if weighted:
+                d2 *= x.w[part, None]
+                d2 *= y.w[None, :]
+            if not single:
+                d2 = np.add.reduceat(np.add.reduceat(d2, y.starts[:-1], axis=1), x.starts[a:b] - x.starts[a], axis=0)
+            out[np.ix_(rows[a:b], cols)] = d2
+    for of_x, of_y in ((~x.small, np.ones(len(y.cid), bool)), (x.small, ~y.small)):
+        rows, cols = np.flatnonzero(of_x), np.flatnonzero(of_y)
+        step = max(1, PRODUCTS // _numbers(x.d))
+        for c in range(0, len(cols) if len(rows) else 0, step):
+            right = y.features(cols[c : c + step])
+            right[:, 1 : y.d + 1] *= -2.0
+            for r in range(0, len(rows), step):
+                out[np.ix_(rows[r : r + step], cols[c : c + step])] = np.maximum(0.0, x.features(rows[r : r + step]) @ right.T)
     return out
 
 
@@ -128,28 +173,61 @@ def ward_distances(s: np.ndarray, x: States, y: States) -> np.ndarray:
     return d
 
 
-def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The nearest of one block of clusters for every query of another."""
-    if not (pdf["side"] == 0).any() or not (pdf["side"] == 1).any():
-        return pd.DataFrame({"c": [], "d": [], "o": [], "s": []})
-    x, y = States(pdf[pdf["side"] == 0]), States(pdf[pdf["side"] == 1])
-    s = cross_sums(x, y)
-    d = ward_distances(s, x, y)
-    at = d.argmin(1)  # ties: the smaller id
-    rows = np.arange(len(at))
-    found = np.isfinite(d[rows, at])
-    return pd.DataFrame({"c": x.cid, "d": d[rows, at], "o": y.cid[at], "s": s[rows, at]})[found]
+def _to_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    x = States(pdf)
+    row = {c: int(pdf[c].iloc[0]) for c in ("side", "block")} | {c: x.arrays[c].astype(kind).tobytes() for c, kind in ARRAYS.items()}
+    return pd.DataFrame([row])
 
 
-def nearest_clusters(queries: DataFrame, states: DataFrame, n_queries: int, n_states: int) -> DataFrame:
-    """(c, o, d, s): for every cluster of ``queries`` its nearest other one among ``states``, ties to the smaller id."""
-    qb, sb = math.ceil(n_queries / QUERY_BLOCK), math.ceil(n_states / STATE_BLOCK)
-    block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.lit(0).alias("side"), block(qb).alias("qb"), every(sb).alias("sb"), *STATE)
-    right = states.select(F.lit(1).alias("side"), every(qb).alias("qb"), block(sb).alias("sb"), *STATE)
-    found = left.unionByName(right).groupBy("qb", "sb").applyInPandas(_nearest, "c long, d double, o long, s double")
-    return found.groupBy("c").agg(F.min(F.struct("d", "o", "s")).alias("x")).select("c", "x.o", "x.d", "x.s")
+def state_blocks(states: DataFrame, n_asked: int, size: tuple[int, int]) -> DataFrame:
+    """Blocks of ``states`` as rows: on side 0 the ``n_asked`` that are ``asked`` for their nearest, on side 1 all.
+
+    ``size``: the clusters and the numbers that their states hold.
+    """
+    wide = math.ceil(size[1] / BLOCK_NUMBERS)
+    block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int").alias("block")
+    left = states.where("asked").select(F.lit(0).alias("side"), block(max(1, math.ceil(n_asked / QUERY_BLOCK), math.ceil(wide * n_asked / size[0]))), *STATE)
+    right = states.select(F.lit(1).alias("side"), block(max(math.ceil(size[0] / STATE_BLOCK), wide)), *STATE)
+    return left.unionByName(right).groupBy("side", "block").applyInPandas(_to_block, BLOCK_SCHEMA)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nearest for the clusters of a left block, over the right blocks that stand beside it one after the other."""
+    at, x, best = None, None, None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if at is not None and (found := np.isfinite(best[0])).any():
+            rows = {"c": x.cid, "n": x.n, "d": best[0], "o": best[1], "s": best[2]}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v[found]) for c, v in rows.items()})
+
+    for batch in batches:
+        left = {c: batch.column(c) for c in ARRAYS}
+        right = {c: batch.column(f"{c}2") for c in ARRAYS}
+        for row, block in enumerate(batch.column("block").to_pylist()):
+            if block != at:
+                yield from done()
+                at, x = block, States.of_row(left, row)
+                best = np.full(len(x.cid), np.inf), np.zeros(len(x.cid), np.int64), np.zeros(len(x.cid))
+            y = States.of_row(right, row)
+            s = cross_sums(x, y)
+            d = ward_distances(s, x, y)
+            near, each = d.argmin(1), np.arange(len(d))  # ties: the smaller id
+            new = d[each, near], y.cid[near], s[each, near]
+            nearer = (new[0] < best[0]) | (new[0] == best[0]) & (new[1] < best[1])
+            best = tuple(np.where(nearer, n, b) for n, b in zip(new, best, strict=True))
+    yield from done()
+
+
+def nearest_clusters(blocks: DataFrame) -> DataFrame:
+    """(c, n, o, d, s): for every cluster on side 0 of ``blocks`` its nearest other one on side 1, ties to the smaller id.
+
+    ``blocks`` is a written table: the cross join reads the blocks on the right once for each task of the left.
+    """
+    left = blocks.where("side = 0").select("block", *ARRAYS)
+    right = blocks.where("side = 1").select(*[F.col(c).alias(f"{c}2") for c in ARRAYS])
+    dealt = left.repartitionByRange(max(1, left.count()), "block")
+    found = dealt.crossJoin(right).mapInArrow(_nearest, NEAR_SCHEMA)
+    return found.groupBy("c").agg(F.min(F.struct("d", "o", "s", "n")).alias("x")).select("c", "x.n", "x.o", "x.d", "x.s")
 
 
 def _joined_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,8 +291,9 @@ def ward_merges(points: DataFrame, tail_clusters: int = TAIL) -> DataFrame:
     smallest member id); ``size`` counts weighted rows of the merged cluster.
 
     Rounds run as DataFrame jobs while more than ``tail_clusters`` clusters are
-    left; the bounded rest (a constant that does not grow with the data) is
-    finished by the same rule in one NumPy task.
+    left, or the states of the rest are too wide for one task; the bounded rest (a
+    constant that does not grow with the data) is finished by the same rule in
+    one NumPy task.
     """
     spark = points.sparkSession
     none = F.lit(None).cast("array<double>")
@@ -222,38 +301,44 @@ def ward_merges(points: DataFrame, tail_clusters: int = TAIL) -> DataFrame:
                           F.col("unit").cast("array<double>").alias("mem"), F.array(F.col("w").cast("double")).alias("mw"), none.alias("s"), none.alias("m"))
 
     states, states_path = _kept(first, "ward-states")
-    n_states = states.count()
+    d = (states.select(F.size("mem").alias("d")).first() or [0])[0]
+    # members up to _most(d), moments beyond
+    held = F.when(F.col("k") <= _most(d), F.col("k").cast("long") * d).otherwise(F.lit(_numbers(d)))
+    size = states.agg(F.count(F.lit(1)), F.sum(held)).first()
     near, near_path = None, None
     parts: list[DataFrame] = []
     rnd = 0
-    while n_states > max(1, tail_clusters):
+    while size[0] > max(1, tail_clusters) or size[0] > 1 and size[1] > TAIL_NUMBERS:
         rnd += 1
         t_round = time.time()
-        queries = states if near is None else states.join(near.select(F.col("c").alias("cid")), "cid", "left_anti")
-        n_queries = n_states if near is None else queries.count()
-        found = nearest_clusters(queries, states, n_queries, n_states)
+        asked = states.withColumn("asked", F.lit(True)) if near is None else (
+            states.join(near.select(F.col("c").alias("cid"), F.lit(False).alias("_a")), "cid", "left")
+            .withColumn("asked", F.coalesce("_a", F.lit(True))).drop("_a"))
+        n_asked = size[0] if near is None else asked.where("asked").count()
+        blocks, blocks_path = _kept(state_blocks(asked, n_asked, size), "ward-blocks")
+        found = nearest_clusters(blocks)
         now, now_path = _kept(found if near is None else near.unionByName(found), "ward-near")
         a, b = now.alias("a"), now.alias("b")
         mutual = (a.join(b, (F.col("a.o") == F.col("b.c")) & (F.col("b.o") == F.col("a.c"))).where(F.col("a.c") < F.col("b.c"))
-                  .select(F.col("a.c").alias("parent"), F.col("b.c").alias("child"), F.col("a.d").alias("height"), F.col("a.s").alias("cross")))
-        up = states.withColumnRenamed("cid", "parent")
-        down = states.select(F.col("cid").alias("child"), *[F.col(c).alias(f"{c}2") for c in STATE[1:]])
-        pairs = mutual.join(up, "parent").join(down, "child")
-        record, _ = _kept(pairs.select("child", "parent", "height", (F.col("n") + F.col("n2")).alias("size"), F.lit(rnd).alias("round")),
-                         "ward-merges")
+                  .select(F.col("b.c").alias("child"), F.col("a.c").alias("parent"), F.col("a.d").alias("height"),
+                          (F.col("a.n") + F.col("b.n")).alias("size"), F.lit(rnd).alias("round"), F.col("a.s").alias("cross")))
+        record, _ = _kept(mutual, "ward-merges")
         n_merge = record.count()
         if n_merge == 0:  # cannot happen for finite distances: the global closest pair is mutual
             break
-        parts.append(record)
+        parts.append(record.drop("cross"))
         gone = record.select(F.explode(F.array("child", "parent")).alias("cid"))
-        merged = pairs.withColumnRenamed("parent", "cid").drop("child", "height").mapInPandas(_joined_states, STATE_SCHEMA)
+        up = states.withColumnRenamed("cid", "parent")
+        down = states.select(F.col("cid").alias("child"), *[F.col(c).alias(f"{c}2") for c in STATE[1:]])
+        pairs = record.select("child", "parent", "cross").join(up, "parent").join(down, "child")
+        merged = pairs.withColumnRenamed("parent", "cid").drop("child").mapInPandas(_joined_states, STATE_SCHEMA)
         nxt, nxt_path = _kept(states.join(gone, "cid", "left_anti").unionByName(merged), "ward-states")
         still = now.join(gone.select(F.col("cid").alias("c")), "c", "left_anti").join(gone.select(F.col("cid").alias("o")), "o", "left_anti")
-        drop_scratch(spark, states_path, *([near_path] if near_path else []))
-        states, states_path, near, near_path = nxt, nxt_path, still.select("c", "o", "d", "s"), now_path
-        n_states -= n_merge
-        log.info("ward round %d: %d searched, %d merges, %d clusters left, %.1fs", rnd, n_queries, n_merge, n_states, time.time() - t_round)
-    if n_states > 1:
+        drop_scratch(spark, states_path, blocks_path, *([near_path] if near_path else []))
+        states, states_path, near, near_path = nxt, nxt_path, still.select("c", "n", "o", "d", "s"), now_path
+        size = states.agg(F.count(F.lit(1)), F.sum(held)).first()
+        log.info("ward round %d: %d searched, %d merges, %d clusters left, %.1fs", rnd, n_asked, n_merge, size[0], time.time() - t_round)
+    if size[0] > 1:
         tail = states.groupBy(F.lit(0).alias("g")).applyInPandas(_tail_task(rnd), MERGE_SCHEMA)
         parts.append(_kept(tail, "ward-tail")[0])
     drop_scratch(spark, states_path, *([near_path] if near_path else []))
