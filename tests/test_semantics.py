@@ -251,3 +251,13 @@ def test_literal_trie_equals_alternation():
         for _ in range(20):
             text = "".join(rnd.choice("abcx") for _ in range(25))
             assert re.findall(a, text) == re.findall(t, text)
+
+
+def test_cosine_pairs_copy_no_vector_into_a_shuffle(spark):
+    """Any number of blocks: each pair once, and no grouping by pairs of blocks."""
+    x = np.random.default_rng(1).normal(size=(50, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    for blocks in (4, 5):
+        pairs = V.cosine_pairs(df, min_blocks=blocks)
+        assert "FlatMapGroups" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.i, r.j) for r in pairs.collect()) == [(i, j) for i in range(50) for j in range(i + 1, 50)]
