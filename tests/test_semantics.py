@@ -261,3 +261,12 @@ def test_cosine_pairs_copy_no_vector_into_a_shuffle(spark):
         pairs = V.cosine_pairs(df, min_blocks=blocks)
         assert "FlatMapGroups" not in pairs._jdf.queryExecution().executedPlan().toString()
         assert sorted((r.i, r.j) for r in pairs.collect()) == [(i, j) for i in range(50) for j in range(i + 1, 50)]
+
+
+def test_factor_clusters_drop_unseen_columns(spark):
+    from voxpop.operators import clustering as CL
+
+    unit = [[0.0] * 6 + [0.6, 0.8], [0.0] * 6 + [1.0, 0.0]]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(unit)], "id long, unit array<double>")
+    assert [r.unit for r in CL._seen_columns(df).orderBy("id").collect()] == [[0.6, 0.8], [1.0, 0.0]]
+    assert CL._seen_columns(df.where("false")).count() == 0

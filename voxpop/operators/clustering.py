@@ -15,6 +15,7 @@ import time
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,11 @@ class ClusterResult:
     cuts: DataFrame  # (th, id, rep) for every distinct point and threshold
 
 
-def _distinct_points(df: DataFrame, key: str, vec_col: str, dedupe_col: str | None) -> DataFrame:
+def _distinct_points(df: DataFrame, key: str, vec_col: str, dedupe_col: str | None, vectors: DataFrame | None = None) -> DataFrame:
     """Collapse duplicates: one point per distinct ``dedupe_col`` with weight = copies."""
+    if vectors is not None:
+        g = df.groupBy(dedupe_col).agg(F.min(F.col(key).cast("long")).alias("id"), F.count(F.lit(1)).alias("w"))
+        return g.join(vectors, dedupe_col).select("id", F.col(vec_col).alias("vec"), "w", F.col(dedupe_col).alias("_dk"))
     if dedupe_col is None:
         return df.select(F.col(key).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.lit(1).alias("w"))
     g = df.groupBy(dedupe_col).agg(F.min(F.struct(F.col(key).cast("long").alias("id"), F.col(vec_col).alias("vec"))).alias("m"),
@@ -51,6 +55,19 @@ def _distinct_points(df: DataFrame, key: str, vec_col: str, dedupe_col: str | No
     return g.select(F.col("m.id").alias("id"), F.col("m.vec").alias("vec"), "w", F.col(dedupe_col).alias("_dk"))
 
 
+def _seen_columns(points: DataFrame) -> DataFrame:
+    """The unit vectors without the columns that are zero in all of them, which no product sees."""
+    held = materialize(points, "unit-vectors")
+    if held.isEmpty():
+        return held
+    found = held.select(Summarizer.metrics("numNonZeros").summary(V.array_to_vector("unit")).alias("s")).select(
+        V.vector_to_array("s.numNonZeros").alias("n")).first()
+    seen = [i for i, n in enumerate(found.n) if n > 0]
+    if 2 * len(seen) > len(found.n):
+        return held
+    return held.withColumn("unit", F.transform(F.lit(seen), lambda i: F.get("unit", i)))
+
+
 def rows_to_cluster(df: DataFrame, vec_col: str = "embedding", dedupe_col: str | None = "text") -> DataFrame:
     """P10: the rows that have a vector and, where equal texts count once, a text."""
     rows = df.where(F.col(vec_col).isNotNull())
@@ -58,11 +75,15 @@ def rows_to_cluster(df: DataFrame, vec_col: str = "embedding", dedupe_col: str |
 
 
 def cluster_texts(df: DataFrame, key: str = "row_id", vec_col: str = "embedding", dedupe_col: str | None = "text",
-                  thresholds: list[float] | None = None, block_rows: int = 1024) -> ClusterResult:
-    """V12. ``df(key, vec_col[, dedupe_col])``; rows with a null vector are dropped (P10)."""
+                  thresholds: list[float] | None = None, block_rows: int = 1024, vectors: DataFrame | None = None) -> ClusterResult:
+    """V12. ``df(key, vec_col[, dedupe_col])``; rows with a null vector are dropped (P10).
+
+    ``vectors``: ``(dedupe_col, vec_col)``, one row for each distinct value, where the rows of ``df`` do not
+    carry theirs; so no wide row is sorted or shuffled for every copy of a text.
+    """
     spark = df.sparkSession
-    rows = rows_to_cluster(df, vec_col, dedupe_col)
-    pts = materialize(V.normalize(_distinct_points(rows, key, vec_col, dedupe_col), "vec", "unit"), "sweep-points")
+    rows = df.where(F.col(dedupe_col).isNotNull()) if vectors is not None else rows_to_cluster(df, vec_col, dedupe_col)
+    pts = materialize(_seen_columns(V.normalize(_distinct_points(rows, key, vec_col, dedupe_col, vectors), "vec", "unit")).drop("vec"), "sweep-points")
     n = pts.count()
     ths = thresholds if thresholds is not None else threshold_grid()
     if n < 2:

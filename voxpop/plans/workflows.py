@@ -130,8 +130,13 @@ def cluster_and_name(factor_table: DataFrame, text_col: str = "factors_text", th
                                            else F.col(text_col)).alias("text")).where(F.col("text").isNotNull())
     if exclude_sentinels:
         texts = texts.where(~F.col("text").isin(*S.FACTOR_SENTINELS))
-    vecs = encoder_vectors if encoder_vectors is not None else V.text_vectors(texts, "text", "row_id")
-    res = CL.cluster_texts(texts.join(vecs, "row_id"), "row_id", "embedding", dedupe_col="text", thresholds=thresholds)
+    if encoder_vectors is not None:
+        res = CL.cluster_texts(texts.join(encoder_vectors, "row_id"), "row_id", "embedding", dedupe_col="text", thresholds=thresholds)
+    else:  # equal texts have equal vectors: one for each text, and rows by id as in the join above
+        texts = materialize(texts, "cluster-texts")
+        vecs = V.text_vectors(texts, "text", "text", of=texts.select("text").distinct())
+        rows = texts.join(texts.select("row_id"), "row_id")
+        res = CL.cluster_texts(rows, "row_id", "embedding", dedupe_col="text", thresholds=thresholds, vectors=vecs)
     report = None
     if res.best_threshold is not None:
         placed = res.assignments.where(F.col("cluster_id").isNotNull())
