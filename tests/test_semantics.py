@@ -263,6 +263,13 @@ def test_cosine_pairs_copy_no_vector_into_a_shuffle(spark):
         assert sorted((r.i, r.j) for r in pairs.collect()) == [(i, j) for i in range(50) for j in range(i + 1, 50)]
 
 
+def test_stream_files_grow_with_the_input(spark, monkeypatch):
+    from voxpop.plans import queries as Q
+
+    assert Q._files(spark.range(10, numPartitions=1)) == 4
+    assert Q._files(spark.range(10, numPartitions=9)) == 9
+
+
 def test_factor_clusters_drop_unseen_columns(spark):
     from voxpop.operators import clustering as CL
 
