@@ -263,6 +263,24 @@ def test_cosine_pairs_copy_no_vector_into_a_shuffle(spark):
         assert sorted((r.i, r.j) for r in pairs.collect()) == [(i, j) for i in range(50) for j in range(i + 1, 50)]
 
 
+def test_late_calls_wait_side_by_side(spark):
+    import time
+
+    def scorer(prompts):
+        if prompts.str.contains("late").any():
+            time.sleep(60)
+        return prompts
+
+    df = spark.createDataFrame([(i, "late" if i % 4 == 0 else "ok") for i in range(32)], "row_id long, text string").coalesce(1)
+    patience = SC.Patience(limit=1.0, at_once=8)
+    began = time.time()
+    got = SC.score_replies(df, scorer, F.col("text"), call_rows=4, patience=patience).collect()
+    assert time.time() - began < 12  # 8 calls of 2 waits each: 16 s one after the other
+    assert [(r.row_id, r._reply is None) for r in sorted(got)] == [(i, i % 4 == 0) for i in range(32)]
+    with pytest.raises(ValueError):
+        SC.Patience(at_once=2, give_up=1)
+
+
 def test_stream_files_grow_with_the_input(spark, monkeypatch):
     from voxpop.plans import queries as Q
 

@@ -21,6 +21,7 @@ import operator
 import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -81,12 +82,20 @@ class Patience:
     repeated ``retries`` times, after pauses of ``pause``, 2 ``pause``, 4 ``pause``, ...
     After ``give_up`` rows in a row without a reply a task stops calling: its other
     rows get an error without a call (None: it never stops).
+    ``at_once``: calls that a task waits for side by side, so that late ones cost
+    one wait, not one each; the scorer must allow it. With ``give_up`` the order of
+    the replies counts, so calls go one after the other.
     """
 
     limit: float | None = None
     retries: int = 0
     pause: float = 1.0
     give_up: int | None = None
+    at_once: int = 1
+
+    def __post_init__(self) -> None:
+        if self.at_once < 1 or self.at_once > 1 and self.give_up is not None:
+            raise ValueError("at_once must be 1 or more, and 1 with give_up")
 
 
 def _within(limit: float | None, scorer: Scorer, prompts: pd.Series) -> pd.Series:
@@ -158,13 +167,15 @@ def score_replies(df: DataFrame, scorer: Scorer, prompt: Column, call_rows: int
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         silent = [0]  # rows in a row without a reply, over the batches of the task
-        for batch in batches:
-            replies, errors = [], []
-            for at in range(0, len(batch), call_rows):
-                r, e = call(batch.iloc[at : at + call_rows].reset_index(drop=True), silent)
-                replies += r
-                errors += e
-            yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
+        with ThreadPoolExecutor(patience.at_once) as pool:
+            side_by_side = pool.map if patience.at_once > 1 else map
+            for batch in batches:
+                calls = [batch.iloc[at : at + call_rows].reset_index(drop=True) for at in range(0, len(batch), call_rows)]
+                replies, errors = [], []
+                for r, e in side_by_side(lambda c: call(c, silent), calls):
+                    replies += r
+                    errors += e
+                yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     scored = F.pandas_udf(run, "reply string, error string").asNondeterministic()
     return (df.withColumn("_scored", scored(prompt)).withColumn("_reply", F.col("_scored.reply"))
