@@ -281,6 +281,71 @@ def test_late_calls_wait_side_by_side(spark):
         SC.Patience(at_once=2, give_up=1)
 
 
+def _late_or_ok(prompts):
+    import time
+
+    if prompts.str.contains("late").any():
+        time.sleep(60)
+    return "r" + prompts
+
+
+def _scored(texts, scorer, call_rows, **patience):
+    from voxpop.operators.calls import score_batches
+
+    batches = (pd.Series(t, dtype=object) for t in texts)
+    return list(score_batches(batches, scorer, call_rows, SC.Patience(**patience)))
+
+
+def test_rows_of_late_calls_wait_side_by_side():
+    import time
+
+    texts = [[f"{'late' if i % 2 else 'ok'}{i}" for i in range(n)] for n in (64, 0, 7)]
+    began = time.time()
+    got = _scored(texts, _late_or_ok, 16, limit=0.5, retries=1, pause=0.01, at_once=2, rows_at_once=64)
+    assert time.time() - began < 8  # the rows of each call one after the other: 18 s and more
+    for batch, (replies, errors) in zip(texts, got, strict=True):
+        assert replies == [None if "late" in t else f"r{t}" for t in batch]
+        assert errors == ["TimeoutError: no reply within 0.5 s" if "late" in t else None for t in batch]
+    for wrong in ({"rows_at_once": 0}, {"rows_at_once": 2, "give_up": 1}):
+        with pytest.raises(ValueError):
+            SC.Patience(**wrong)
+
+
+def test_late_calls_leave_nothing_behind(tmp_path, monkeypatch):
+    import multiprocessing
+    import os
+    import threading
+
+    from voxpop.operators import calls as CA
+
+    monkeypatch.setattr(CA, "MOST_LATE", 8)
+
+    def scorer(prompts):
+        with open(tmp_path / str(os.getpid()), "a") as f:
+            f.write(f"{threading.active_count()}\n")
+        return _late_or_ok(prompts)
+
+    before = threading.active_count()
+    (_, errors), = _scored([["late"] * 64], scorer, 8, limit=0.2, at_once=2, rows_at_once=8)
+    assert errors == ["TimeoutError: no reply within 0.2 s"] * 64
+    assert threading.active_count() == before and not multiprocessing.active_children()
+    seen = [[int(n) for n in p.read_text().split()] for p in tmp_path.iterdir()]
+    assert len(seen) > 2 and sum(map(len, seen)) == 8 + 64
+    assert max(map(max, seen)) <= 2 + 8 + 2 + 8  # its two threads, the late calls, and as many as may be under way
+
+
+def test_errors_and_order_of_calls_side_by_side():
+    def scorer(prompts):
+        if prompts.str.contains("bad").any():
+            raise RuntimeError("no reply")
+        return prompts * 50_000
+
+    texts = [[f"{'bad' if i % 5 == 0 else 'x'}{i}" for i in range(41)] for _ in range(3)]
+    got = _scored(texts, scorer, 4, at_once=4, rows_at_once=3)
+    assert got == _scored(texts, scorer, 4)
+    assert [e for e in got[2][1] if e] == ["RuntimeError: no reply"] * 9
+
+
 def test_stream_files_grow_with_the_input(spark, monkeypatch):
     from voxpop.plans import queries as Q
 

@@ -18,10 +18,7 @@ back after. A scorer may be paid for or random: write a scored table (K2, or
 from __future__ import annotations
 
 import operator
-import threading
-import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +29,7 @@ from pyspark.sql import functions as F
 from voxpop import schema as S
 from voxpop.functions import reply as R
 from voxpop.functions import text as X
+from voxpop.operators.calls import score_batches
 
 Scorer = Callable[[pd.Series], pd.Series]
 
@@ -83,8 +81,12 @@ class Patience:
     After ``give_up`` rows in a row without a reply a task stops calling: its other
     rows get an error without a call (None: it never stops).
     ``at_once``: calls that a task waits for side by side, so that late ones cost
-    one wait, not one each; the scorer must allow it. With ``give_up`` the order of
-    the replies counts, so calls go one after the other.
+    one wait, not one each; the scorer must allow it. ``rows_at_once``: so many rows
+    of failed calls besides (None: they take the places of whole calls). With
+    ``give_up`` the order of the replies counts, so calls go one after the other.
+
+    With a limit, or side by side, calls run in child processes of the task (see
+    ``calls``): what a scorer changes in memory is lost with them.
     """
 
     limit: float | None = None
@@ -92,44 +94,13 @@ class Patience:
     pause: float = 1.0
     give_up: int | None = None
     at_once: int = 1
+    rows_at_once: int | None = None
 
     def __post_init__(self) -> None:
         if self.at_once < 1 or self.at_once > 1 and self.give_up is not None:
             raise ValueError("at_once must be 1 or more, and 1 with give_up")
-
-
-def _within(limit: float | None, scorer: Scorer, prompts: pd.Series) -> pd.Series:
-    """The scorer's reply, or TimeoutError after ``limit`` seconds; a call that never returns is left to a daemon thread."""
-    if limit is None:
-        return scorer(prompts)
-    box: list = []
-
-    def run() -> None:
-        try:
-            box.append((scorer(prompts), None))
-        except Exception as e:  # noqa: BLE001
-            box.append((None, e))
-
-    thread = threading.Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(limit)
-    if not box:
-        raise TimeoutError(f"no reply within {limit:g} s")
-    reply, error = box[0]
-    if error is not None:
-        raise error
-    return reply
-
-
-def _patiently(patience: Patience, scorer: Scorer, prompts: pd.Series) -> pd.Series:
-    for attempt in range(patience.retries + 1):
-        try:
-            return _within(patience.limit, scorer, prompts)
-        except Exception:  # noqa: BLE001
-            if attempt == patience.retries:
-                raise
-            time.sleep(patience.pause * 2**attempt)
-    raise AssertionError
+        if self.rows_at_once is not None and (self.rows_at_once < 1 or self.give_up is not None):
+            raise ValueError("rows_at_once must be 1 or more, and None with give_up")
 
 
 def score_replies(df: DataFrame, scorer: Scorer, prompt: Column, call_rows: int = CALL_ROWS, patience: Patience = Patience()) -> DataFrame:
@@ -138,44 +109,9 @@ def score_replies(df: DataFrame, scorer: Scorer, prompt: Column, call_rows: int
     A call that fails or exceeds ``patience`` is retried row by row; a row without a reply keeps its error.
     """
 
-    def call(prompts: pd.Series, silent: list[int]) -> tuple[list, list]:
-        stopped = f"Stopped: {patience.give_up} rows without a reply"
-        if patience.give_up is not None and silent[0] >= patience.give_up:
-            return [None] * len(prompts), [stopped] * len(prompts)
-        try:
-            # one try for the whole call: the rows below have their own
-            out = pd.Series(_within(patience.limit, scorer, prompts), index=prompts.index).astype(object)
-            silent[0] = 0
-            return out.where(out.notna(), None).tolist(), [None] * len(prompts)
-        except Exception:  # noqa: BLE001 - the call failed: retry row by row
-            replies, errors = [], []
-            for p in prompts:
-                if patience.give_up is not None and silent[0] >= patience.give_up:
-                    replies.append(None)
-                    errors.append(stopped)
-                    continue
-                try:
-                    reply = pd.Series(_patiently(patience, scorer, pd.Series([p]))).iloc[0]
-                    replies.append(None if pd.isna(reply) else reply)
-                    errors.append(None)
-                    silent[0] = 0
-                except Exception as e:  # noqa: BLE001
-                    replies.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
-                    silent[0] += 1
-            return replies, errors
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        silent = [0]  # rows in a row without a reply, over the batches of the task
-        with ThreadPoolExecutor(patience.at_once) as pool:
-            side_by_side = pool.map if patience.at_once > 1 else map
-            for batch in batches:
-                calls = [batch.iloc[at : at + call_rows].reset_index(drop=True) for at in range(0, len(batch), call_rows)]
-                replies, errors = [], []
-                for r, e in side_by_side(lambda c: call(c, silent), calls):
-                    replies += r
-                    errors += e
-                yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
+        for replies, errors in score_batches(batches, scorer, call_rows, patience):
+            yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     scored = F.pandas_udf(run, "reply string, error string").asNondeterministic()
     return (df.withColumn("_scored", scored(prompt)).withColumn("_reply", F.col("_scored.reply"))

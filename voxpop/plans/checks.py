@@ -143,7 +143,7 @@ def q_scored_with_time_limit(spark, sf_dir):
 
     posts = TB.posts(spark, sf_dir).select("row_id", "text")
     got = SC.label_with_scorer(posts, scorer, S.demand_taxonomy(), "text", "demand", limit=None, call_rows=32,
-                               patience=SC.Patience(limit=0.5, retries=1, pause=0.05, at_once=8))
+                               patience=SC.Patience(limit=0.5, retries=1, pause=0.05, at_once=8, rows_at_once=64))
     return got.select("row_id", "demand", "is_blank", "score_error")
 
 
