@@ -162,3 +162,52 @@ def test_cuts_by_intervals_equal_paths(spark, monkeypatch):
                     groups.setdefault(r.rep, set()).add(r.id)
             assert sorted(sorted(g) for g in groups.values()) == _spark_cut(some, n, t)
             assert all(rep == min(g) for rep, g in groups.items())
+
+
+def _random_points(spark, n, d=8):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, d)) + 1.5 * rng.normal(size=(6, d))[rng.integers(0, 6, n)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.integers(1, 4, n)
+    pts = spark.createDataFrame([(i, int(w[i]), x[i].tolist()) for i in range(n)], "id long, w int, unit array<double>")
+    dist = np.maximum(1 - x @ x.T, 0)
+    np.fill_diagonal(dist, 0)
+    return pts, dist * np.sqrt(2.0 * np.outer(w, w) / (w[:, None] + w[None, :])), w  # Ward's distance of groups of copies
+
+
+@pytest.mark.parametrize(("n", "matrix"), [(1100, 1024), (150, 8)])
+def test_last_clusters_need_no_rounds_of_jobs(spark, monkeypatch, n, matrix):
+    """Far more clusters than a matrix of sums holds are searched in one task; 1,100 took rounds of jobs before."""
+    monkeypatch.setattr(WD, "MATRIX", matrix)
+    monkeypatch.setattr(WD, "state_blocks", None)
+    pts, dist, w = _random_points(spark, n)
+    merges = WD.ward_merges(pts).collect()
+    ref = greedy_ward(dist, w)
+    assert np.allclose(sorted(r.height for r in merges), sorted(h for _, _, h in ref), rtol=1e-9, atol=1e-12)
+    for t in np.quantile([h for _, _, h in ref], [0.2, 0.5, 0.8, 0.95]) + 1e-9:  # beside a height
+        assert _spark_cut(merges, n, t) == cut(n, ref, t)
+
+
+def test_tail_goes_on_from_the_rounds(spark, monkeypatch):
+    """Neighbours known from the rounds are not searched again; rounds and merges are those of one task."""
+    monkeypatch.setattr(WD, "MATRIX", 8)
+    pts, _, _ = _random_points(spark, 150)
+    plain = lambda m: sorted((r.child, r.parent, round(r.height, 9), r.size, r.round) for r in m.collect())
+    whole = plain(WD.ward_merges(pts))
+    assert plain(WD.ward_merges(pts, tail_clusters=70)) == whole
+
+
+@pytest.mark.parametrize("small", [lambda i: True, lambda i: False, lambda i: i % 3 > 0])
+def test_nearest_by_bounds_takes_few_sums(small, monkeypatch):
+    """The nearest of all sums, of which only those within reach of the bounds are taken."""
+    rng = np.random.default_rng(6)
+    x, _ = _states(rng, [1 + i % 7 for i in range(200)], 24, small)
+    s = WD.cross_sums(x, x)
+    d = WD.ward_distances(s, x, x)
+    taken, sums = [], WD.pair_sums
+    monkeypatch.setattr(WD, "pair_sums", lambda x, p, y, q: taken.append(len(p)) or sums(x, p, y, q))
+    near = WD.Nearest(x)
+    near.search(x)
+    assert np.array_equal(near.o, x.cid[d.argmin(1)])
+    assert np.allclose(near.d, d.min(1), rtol=1e-9) and np.allclose(near.s, s[np.arange(200), d.argmin(1)], rtol=1e-9)
+    assert sum(taken) < 0.25 * 200 * 200
